@@ -90,21 +90,20 @@ def assign(docs: DataFrame, shards: int = 16, vnodes: int = 128, key: str = "doc
         counts[a] += c
     total = sum(counts)
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
-    filled, table = [0] * shards, []
+    filled = [0] * shards
     ranges = play(counts, owners, capacity)
     offset: dict[tuple[int, int], int] = {}
     for a, parts in enumerate(ranges):
         for first, end, s in parts:
             offset[a, first] = filled[s]
             filled[s] += end - first
-    for a, p in base:
-        table.append((a, p, base[a, p], owners[a], [(f, e, s, offset[a, f]) for f, e, s in ranges[a]]))
+    table = [(a, owners[a], [base.get((a, p), 0) for p in range(SPLITS)], [(f, e, s, offset[a, f]) for f, e, s in ranges[a]]) for a in range(len(nodes)) if counts[a]]
     spark = docs.sparkSession
-    schema = "arc int, part int, base long, home_shard int, ranges array<struct<first: long, end: long, shard: int, slot: long>>"
-    lookup = spark.createDataFrame(table, schema)  # bounded as hist is
+    schema = "arc int, home_shard int, base array<long>, ranges array<struct<first: long, end: long, shard: int, slot: long>>"
+    lookup = spark.createDataFrame(table, schema)  # a row for each virtual node
     w = Window.partitionBy("arc", "part").orderBy("place", F.col(key), "text_crc32", "size")
     ranked = arcs.withColumn("rank", F.row_number().over(w).cast("long") - 1)
-    placed = ranked.join(F.broadcast(lookup), ["arc", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
+    placed = ranked.join(F.broadcast(lookup), "arc").withColumn("rank", F.col("rank") + F.col("base")[F.col("part")])
     hit = F.filter("ranges", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") < x["end"]))[0]
     return placed.withColumn("hit", hit).select(
         key, "size", "text_crc32", "home_shard", F.col("hit.shard").alias("shard"), (F.col("hit.slot") + F.col("rank") - F.col("hit.first")).alias("slot")
