@@ -225,10 +225,11 @@ def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
         pos = np.arange(len(d)) - np.repeat(begin, n_shared)
         keep = pos < np.repeat(take, n_shared)
         central = np.repeat(n_shared * 1_000_000 // np.maximum(1, size), n_shared)
-        return pd.DataFrame({"gram": h[keep].view(np.int64), "doc_id": d[keep], "n": s[keep], "central": central[keep]})
+        rank = pos + np.repeat(size - n_shared, n_shared)  # n-grams that no other document has come first
+        return pd.DataFrame({"gram": h[keep].view(np.int64), "doc_id": d[keep], "n": s[keep], "rank": rank[keep], "central": central[keep]})
 
     spread = rows.mapInArrow(deal, BLOCKS).groupBy("block").applyInPandas(shared, "bucket int, hashes binary, docs binary, sizes binary, freq binary")
-    columns = materialize(spread.groupBy("bucket").applyInPandas(rarest, "gram long, doc_id long, n long, central long"), "columns")
+    columns = materialize(spread.groupBy("bucket").applyInPandas(rarest, "gram long, doc_id long, n long, rank long, central long"), "columns")
     return _product(columns, rows)
 
 
@@ -252,26 +253,40 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _product(columns: DataFrame, rows: DataFrame) -> DataFrame:
     """Links between rows of common columns; see the module's text."""
-    fits = lambda n, m: (F.col(n) * DEN >= F.col(m) * NUM) & (F.col(m) * DEN >= F.col(n) * NUM)
+
+    def fits(n, i, m, j):
+        """Sizes n and m may reach the threshold if the first common n-gram has ranks i and j: at most min(n - i, m - j) are common."""
+        both = NUM * (n + m)
+        return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & ((n - i) * (NUM + DEN) >= both) & ((m - j) * (NUM + DEN) >= both)
+
+    c = F.col
     labelled = columns.withColumn("component", F.col("doc_id"))
     tested = found = None
     stage = "centre"
     while True:
-        best = F.max(F.struct("central", "n", "doc_id"))
+        best = F.max(F.struct("central", "n", "doc_id", "rank"))
         if stage == "centre":
             # of each component of a column the most central row, paired with the most central of the column
             own = labelled.groupBy("gram", "component").agg(best.alias("own"))
             own = materialize(own.select("gram", F.pmod(F.xxhash64("component"), F.lit(16)).alias("salt"), "component", "own"), "own")
             top = own.groupBy("gram").agg(F.max(F.struct("own", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
             top = materialize(top.select("gram", "top", F.explode(F.array([F.lit(k).cast("long") for k in range(16)])).alias("salt")), "top")
-            pairs = own.join(top, ["gram", "salt"]).where("component <> top.component").select(F.col("own.doc_id").alias("d"), F.col("own.n").alias("n"), F.col("top.own.doc_id").alias("e"), F.col("top.own.n").alias("m"))
+            pairs = own.join(top, ["gram", "salt"]).where((c("component") != c("top.component")) & fits(c("own.n"), c("own.rank"), c("top.own.n"), c("top.own.rank")))
+            pairs = pairs.select(c("own.doc_id").alias("d"), c("top.own.doc_id").alias("e"))
         else:
-            mixed = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-            side = materialize(labelled.join(mixed, "gram", "left_semi"), "mixed")
-            one = side.select("gram", F.col("doc_id").alias("d"), "n", "component")
-            two = side.select("gram", F.col("doc_id").alias("e"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = one.join(two, "gram").where("component < other")
-        pairs = pairs.where(fits("n", "m")).select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
+            # rows that could reach the threshold with the smallest row of their column, in columns of several components
+            span = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")]
+            side = labelled
+            for _ in range(3):
+                mixed = materialize(side.groupBy("gram").agg(*span).where("lo < hi").select("gram", "least"), "mixed")
+                other = F.greatest("least", F.ceil(c("n") * NUM / DEN))
+                side = materialize(side.drop("least").join(mixed, "gram").where((c("n") - c("rank")) * (NUM + DEN) >= NUM * (c("n") + other)), "side")
+            mixed = side.groupBy("gram").agg(*span).where("lo < hi").select("gram")
+            side = materialize(side.join(mixed, "gram", "left_semi"), "side")
+            one = side.select("gram", c("doc_id").alias("d"), "n", c("rank").alias("i"), "component")
+            two = side.select("gram", c("doc_id").alias("e"), c("n").alias("m"), c("rank").alias("j"), c("component").alias("other"))
+            pairs = one.join(two, "gram").where((c("component") < c("other")) & fits(c("n"), c("i"), c("m"), c("j"))).select("d", "e")
+        pairs = pairs.select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
