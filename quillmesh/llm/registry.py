@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import decontam, html_extract, langid, ngram_join, packing, pii, quality, sharding, topk
+from quillmesh.llm import decontam, html_extract, langid, ngram_join, packing, pii, quality, sharding, suffix_dedup, topk
 
 QUERIES = {
     "op1_ordinal": quality.op1_ordinal,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bin_completion": packing.op3_bin_completion,
     "op4_blocked_product": ngram_join.op4_blocked_product,
     "op5_tree_scoring": html_extract.op5_tree_scoring,
+    "op6_loser_trees": suffix_dedup.op6_loser_trees,
     "op7_ring": sharding.op7_ring,
     "op8_mtree": topk.op8_mtree,
     "op9_bigru": langid.op9_bigru,
