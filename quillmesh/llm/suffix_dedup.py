@@ -274,14 +274,14 @@ def _runs(rows, splitters):
     yield from out
 
 
-def _read_run(payload: bytes, info: bytes):
+def _read_run(origin: str, payload: bytes, info: bytes):
     info = np.frombuffer(info, np.int32).reshape(-1, 5).tolist()
     lcps = np.frombuffer(payload, np.uint16, len(info)).tolist()
     at, key = 2 * len(info), b""
     for c, f in zip(lcps, info):
         key = key[:c] + payload[at : at + KEY - c]
         at += KEY - c
-        yield key, f, c
+        yield key, (f, origin), c
 
 
 def merge(runs: list[tuple[str, bytes, bytes]], side: int) -> dict[str, list]:
@@ -307,7 +307,7 @@ def merge(runs: list[tuple[str, bytes, bytes]], side: int) -> dict[str, list]:
             out.setdefault(origin, []).append((f[0], *best))
 
     cur = None
-    tree = LoserTree([(((k, (f, o), c)) for k, f, c in _read_run(p, i)) for o, p, i in runs])
+    tree = LoserTree([_read_run(*r) for r in runs])
     for c, key, (f, origin) in tree:
         if cur is None:
             cur = (key, f, origin, (0, 0))
