@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize, need, parallelism, slices, space_words
+from quillmesh.llm.common import materialize, need, parallelism, slices, space_words, trim
 from quillmesh.llm.components import components
 
 N = 5
 NUM, DEN = 80, 100
-BLOCK_POSTINGS = 1_000_000
+BLOCK_POSTINGS = 500_000
 #: Most ids that are broadcast, counted before; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -145,7 +145,7 @@ def _postings(docs: DataFrame, blocks: int, prefix: bool) -> DataFrame:
                 part = g[: int(prefix_length(np.int64(len(g))))] if prefix else g
                 held.append((part, i, len(g)))
                 size += len(part)
-            if size > 3_000_000:
+            if size > 1_000_000:
                 yield flush()
                 size = 0
         if held:
@@ -155,23 +155,32 @@ def _postings(docs: DataFrame, blocks: int, prefix: bool) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest binary): digest identifies the set; null for an empty one."""
+    """(doc_id, n_shingles, digest binary, v long): digest identifies the set, v is its first half; null for an empty one."""
 
     def run(batches):
         for b in slices(batches, 256):
             sets = grams(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in sets], pa.binary())], ["doc_id", "n_shingles", "digest"])
+            keys = [_digest(g) for g in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([_vertex(k) for k in keys], pa.int64())], ["doc_id", "n_shingles", "digest", "v"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, v long")
+
+
+def _digest(g: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None
+
+
+def _vertex(digest: bytes | None) -> int | None:
+    return digest and int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is in ``ids``, which are broadcast if they are few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    """The rows whose doc_id is in ``ids``, which are broadcast if they are few, with the digest looked for."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id").select("digest", "text")
 
 
 def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (a, b) between class representatives whose components are those of all links."""
+    """Links (a, b) between classes, by v, whose components are those of all links."""
     spark = docs.sparkSession
     total = every.agg(F.sum(F.least("n_shingles", (F.col("n_shingles") * 2 / 5).cast("long") + 2)), F.sum("n_shingles")).first()
     blocks = max(4 * parallelism(spark), -(-(total[0] or 0) // BLOCK_POSTINGS))
@@ -179,19 +188,23 @@ def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
     def count(pdf):
         h, d, _ = _joined(pdf)
         ids, n = np.unique(d[_frequency(h) > 1], return_counts=True)
+        trim()
         return pd.DataFrame({"doc_id": ids, "n": n})
 
     found = _postings(docs, blocks, True).groupBy("block").applyInPandas(count, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
     least = F.floor(F.ceil(F.col("n_shingles") * NUM / DEN) / 5) + 1
     near = every.join(found, "doc_id").where((F.col("n") >= least) & F.col("digest").isNotNull()).select("digest").distinct()
-    picked = materialize(reps.join(near, "digest").select(F.col("rep").alias("doc_id")), "picked")
+    picked = materialize(reps.join(near, "digest").select(F.col("rep").alias("doc_id"), "digest"), "picked")
 
     def sets(batches):
         for b in slices(batches, 256):
-            got = grams(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], ["doc_id", "n", "grams"])
+            got = [g for d, g in zip(b.column(0).to_pylist(), grams(b.column(1).to_pylist())) if _digest(g) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([_vertex(_digest(g)) for g in got], pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], ["doc_id", "n", "grams"])
 
-    rows = materialize(_only(docs, picked).mapInArrow(sets, "doc_id long, n long, grams binary").dropDuplicates(["doc_id"]), "sets")
+    rows = _only(docs, picked).mapInArrow(sets, "doc_id long, n long, grams binary")
+    if not every.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id"])  # rows that repeat as a whole
+    rows = materialize(rows, "sets")
     size = rows.agg(F.sum("n")).first()[0] or 0
     blocks = max(4 * parallelism(spark), -(-size // BLOCK_POSTINGS))
     buckets = max(4 * parallelism(spark), -(-size // BLOCK_POSTINGS))
@@ -311,12 +324,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """
     docs = need(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     every = materialize(classes(docs), "classes")
-    reps = materialize(every.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = materialize(every.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "v").agg(F.min("doc_id").alias("rep")), "reps")
     # rows of one doc_id with different sets tie their classes together
-    twice = every.where("digest IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
-    same = every.join(twice, "doc_id").join(reps, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    label = components(links(docs, every, reps).unionAll(same))
-    of = materialize(reps.join(label, reps.rep == label.v, "left").select("digest", F.coalesce("component", "rep").alias("class_component")), "of")
+    same = every.where("digest IS NOT NULL").groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("hi")).where("a < hi").select("doc_id", "a")
+    same = every.join(same, "doc_id").select("a", F.col("v").alias("b"))
+    label = components(links(docs, every, reps).unionAll(same)).withColumnRenamed("v", "at")
+    whole = materialize(reps.join(label, reps.v == label["at"], "left").select("digest", "rep", F.coalesce("component", reps.v).alias("component")), "whole")
+    least = whole.groupBy("component").agg(F.min("rep").alias("class_component"))
+    of = materialize(whole.join(least, "component").select("digest", "class_component"), "of")
     out = every.join(of, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id"))
 
