@@ -238,3 +238,30 @@ def _redact(text: str | None, spans: list) -> str | None:
 def op10_boosted(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return detect(docs, train(docs)).drop("redacted")
+
+
+def scrub(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The rows with every span replaced by ``[KIND]``; the count of characters, if there is such a column, follows the text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+    count = docs.columns.index(n_chars) if n_chars in docs.columns else None
+
+    def run(batches):
+        m = sent.value
+        for b in slices(batches, 512):
+            texts = b.column(at).to_pylist()
+            base = [base_spans(t) if t and _ANY.search(t) else [] for t in texts]
+            found = [proposals(t) if t and _ANY.search(t) else [] for t in texts]
+            x = [features(t, *f) for t, fs in zip(texts, found) for f in fs]
+            p = m.probability(np.array(x)) if x else np.zeros(0)
+            out, begin = [], 0
+            for t, bs, fs in zip(texts, base, found):
+                out.append(_redact(t, select(t, bs, fs, p[begin : begin + len(fs)], m.threshold) if fs else bs))
+                begin += len(fs)
+            columns = list(b.columns)
+            columns[at] = pa.array(out, b.column(at).type)
+            if count is not None:
+                columns[count] = pa.array([n if o == t else len(o) for n, o, t in zip(columns[count].to_pylist(), out, texts)], columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)
