@@ -86,6 +86,14 @@ def _from_planes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _bucketed(d: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, rows) of the buckets that the ids fall into."""
+    at = (d * np.int64(0x9E3779B1) & np.int64(0x7FFFFFFF)) % buckets
+    order = np.argsort(at, kind="stable")
+    cut = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return [(int(at[order[a]]), order[a:z]) for a, z in zip(cut, np.append(cut[1:], len(order)))]
+
+
 BLOCKS = "block int, hashes binary, docs binary, sizes binary"
 
 
@@ -183,15 +191,22 @@ def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between classes, by v, whose components are those of all links."""
     spark = docs.sparkSession
     total = every.agg(F.sum(F.least("n_shingles", (F.col("n_shingles") * 2 / 5).cast("long") + 2)), F.sum("n_shingles")).first()
-    blocks = max(4 * parallelism(spark), -(-(total[0] or 0) // BLOCK_POSTINGS))
+    blocks = max(parallelism(spark), -(-(total[0] or 0) // BLOCK_POSTINGS))
 
     def count(pdf):
         h, d, _ = _joined(pdf)
         ids, n = np.unique(d[_frequency(h) > 1], return_counts=True)
+        out = _bucketed(ids, buckets)
         trim()
-        return pd.DataFrame({"doc_id": ids, "n": n})
+        return pd.DataFrame({"bucket": [b for b, _ in out], "docs": [_planes(ids[o]) for _, o in out], "n": [_planes(n[o].astype(np.int32)) for _, o in out]})
 
-    found = _postings(docs, blocks, True).groupBy("block").applyInPandas(count, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    def add(pdf):
+        ids, n = (np.concatenate([_from_planes(x, k) for x in pdf[c]]) for c, k in (("docs", np.int64), ("n", np.int32)))
+        ids, at = np.unique(ids, return_inverse=True)
+        return pd.DataFrame({"doc_id": ids, "n": np.bincount(at, n).astype(np.int64)})
+
+    buckets = int(blocks)
+    found = _postings(docs, blocks, True).groupBy("block").applyInPandas(count, "bucket int, docs binary, n binary").groupBy("bucket").applyInPandas(add, "doc_id long, n long")
     least = F.floor(F.ceil(F.col("n_shingles") * NUM / DEN) / 5) + 1
     near = every.join(found, "doc_id").where((F.col("n") >= least) & F.col("digest").isNotNull()).select("digest").distinct()
     picked = materialize(reps.join(near, "digest").select(F.col("rep").alias("doc_id"), "digest"), "picked")
@@ -206,8 +221,7 @@ def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
         rows = rows.dropDuplicates(["doc_id"])  # rows that repeat as a whole
     rows = materialize(rows, "sets")
     size = rows.agg(F.sum("n")).first()[0] or 0
-    blocks = max(4 * parallelism(spark), -(-size // BLOCK_POSTINGS))
-    buckets = max(4 * parallelism(spark), -(-size // BLOCK_POSTINGS))
+    blocks = buckets = int(max(parallelism(spark), -(-size // BLOCK_POSTINGS)))
 
     def deal(batches):
         for b in slices(batches, 4096):
@@ -221,11 +235,9 @@ def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
         f = _frequency(h)
         keep = f > 1
         h, d, s, f = h[keep], d[keep], s[keep], f[keep].astype(np.int32)
-        at = (d * np.int64(0x9E3779B1) & np.int64(0x7FFFFFFF)) % buckets
-        order = np.argsort(at, kind="stable")
-        cut = np.flatnonzero(np.diff(at[order], prepend=-1))
-        out = [order[a:z] for a, z in zip(cut, np.append(cut[1:], len(order)))]
-        return pd.DataFrame({"bucket": [int(at[o[0]]) for o in out], "hashes": [_planes(h[o]) for o in out], "docs": [_planes(d[o]) for o in out], "sizes": [_planes(s[o]) for o in out], "freq": [_planes(f[o]) for o in out]})
+        out = _bucketed(d, buckets)
+        trim()
+        return pd.DataFrame({"bucket": [b for b, _ in out], **{c: [_planes(x[o]) for _, o in out] for c, x in (("hashes", h), ("docs", d), ("sizes", s), ("freq", f))}})
 
     def rarest(pdf):
         h, d, s, f = (np.concatenate([_from_planes(x, k) for x in pdf[c]]) for c, k in (("hashes", np.uint64), ("docs", np.int64), ("sizes", np.int32), ("freq", np.int32)))

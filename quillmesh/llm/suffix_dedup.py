@@ -36,8 +36,8 @@ LEFT = SPAN - K
 WINDOW = SPAN - K + 1
 KEY = SPAN + LEFT
 NONE = -(1 << 63)
-BUFFER = 4_000_000
-ORIGIN_ENTRIES = 60_000
+BUFFER = 1_000_000
+ORIGIN_ENTRIES = 25_000
 PART_ENTRIES, MAX_PARTS = 15_000, 4096
 #: Most bytes of anchors or spans that are broadcast, counted before; beyond it the texts are shuffled.
 BROADCAST_BYTES = 48_000_000
