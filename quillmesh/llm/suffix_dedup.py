@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize, need, parallelism, slices
+from quillmesh.llm.common import materialize, need, parallelism, slices, trim
 
 SPAN, K = 400, 32
 LEFT = SPAN - K
@@ -130,6 +130,7 @@ def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
         i, d, p = i[order], d[order], p[order]
         begin = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])])) if len(i) else np.zeros(0, int)
         end = np.append(begin[1:], len(i))
+        trim()
         return pd.DataFrame({"id": i[begin], "digest": d[begin], "places": [p[a:z].tobytes() for a, z in zip(begin, end)]})
 
     dealt = units.mapInArrow(deal, "block int, h binary, id binary, digest binary, place binary")
@@ -323,7 +324,7 @@ def merge(runs: list[tuple[str, bytes, bytes]], side: int) -> dict[str, list]:
 
 
 def spans(units: DataFrame) -> DataFrame:
-    """(id, digest, spans array<binary>): the repeated stretches as int32 pairs [start, end), unmerged."""
+    """(id, digest, spans array<binary>): the repeated stretches as int32 pairs [start, end), not yet united."""
     spark = units.sparkSession
     size = units.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(4 * parallelism(spark), size // 200_000_000)
@@ -367,6 +368,7 @@ def spans(units: DataFrame) -> DataFrame:
     def merging(pdf):
         side = int(pdf["side"].iloc[0])
         got = merge(list(zip(pdf["origin"], pdf["payload"], pdf["info"])), side)
+        trim()
         return pd.DataFrame({"kind": [0] * len(got), "side": [side] * len(got), "origin": list(got), "payload": [np.array(v, np.int32).tobytes() for v in got.values()]})
 
     results = runs.where("kind = 0").groupBy("side", "part").applyInPandas(merging, "kind int, side int, origin string, payload binary")
@@ -391,51 +393,108 @@ def spans(units: DataFrame) -> DataFrame:
         right = np.where(sure, r1, np.where(q1, r1, np.where(q2, r2, 0)))
         has = (sure | q1 | q2)[e]
         head = np.frombuffer(where["payload"], np.int64)
-        rows = {"h": head[e], "id": i, "digest": d, "a": p - np.where(has, left[e], 0), "z": p + np.where(has, right[e], 0), "first": p - l2[e], "last": p + r1[e] - SPAN, "open": unsure[e]}
-        return pd.DataFrame(rows)[has | (r1 + l2 >= SPAN)[e]]
-
-    settled = materialize(both.groupBy("origin").applyInPandas(settle, "h long, id long, digest long, a long, z long, first long, last long, open boolean"), "settled")
-    out = settled.select("id", "digest", "a", "z")
-    if not settled.where("open").isEmpty():
-        out = out.unionAll(_windows(units, settled))
-    return _packed(out)
-
-
-def _packed(rows: DataFrame) -> DataFrame:
-    """Spans of a text as one array of pairs."""
-    return rows.where("z > a").groupBy("id", "digest").agg(F.collect_set(F.struct(F.col("a").cast("int").alias("a"), F.col("z").cast("int").alias("z"))).alias("spans"))
+        has = (sure | q1 | q2)[e]
+        near = (r1 + l2 >= SPAN)[e]
+        order = np.lexsort((p, d, i))
+        order = order[has[order] | near[order]]
+        e, i, d, p = e[order], i[order], d[order], p[order]
+        begin = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])])) if len(i) else np.zeros(0, int)
+        out = []
+        for a, z in zip(begin.tolist(), np.append(begin[1:], len(i)).tolist()):
+            x = e[a:z]
+            some = has[order[a:z]]
+            stretch = _union(p[a:z][some] - left[x][some], p[a:z][some] + right[x][some])
+            some = near[order[a:z]]
+            x, at = x[some], p[a:z][some]
+            cands = np.column_stack([head[x], at - l2[x], at + r1[x] - SPAN, unsure[x]]).astype(np.int64)
+            out.append((int(i[a]), int(d[a]), stretch.tobytes(), cands.tobytes(), int(unsure[x].sum())))
+        trim()
+        return pd.DataFrame(out, columns=["id", "digest", "spans", "cands", "n_open"])
+
+    settled = materialize(both.groupBy("origin").applyInPandas(settle, "id long, digest long, spans binary, cands binary, n_open long"), "settled")
+    out = settled.select("id", "digest", "spans")
+    if not settled.where("n_open > 0").isEmpty():
+        out = out.unionAll(_windows(units, settled, int(blocks)))
+    return _merged(out, "spans")
+
+
+def _union(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Overlapping and touching stretches as one: int32 pairs [start, end), ascending."""
+    keep = z > a
+    a, z = a[keep], z[keep]
+    order = np.argsort(a, kind="stable")
+    a, z = a[order], np.maximum.accumulate(z[order]) if len(order) else z
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]])) if len(a) else np.zeros(0, int)
+    return np.column_stack([a[new], np.append(z[new[1:] - 1], z[-1:]) if len(a) else z]).astype(np.int32)
+
+
+def _windows(units: DataFrame, settled: DataFrame, blocks: int) -> DataFrame:
+    """Stretches (id, digest, spans) of the repeated windows among those that anchors leave open.
+
+    A window is repeated only within [first, last] of its anchor, and so is its partner within that of its own anchor,
+    whose K bytes are the same. Windows are known by 128-bit digests, exchanged in blocks of these; of windows that
+    aren't open themselves a task sends one, so that frequent ones are combined before the shuffle.
+    """
 
+    def heads(batches):
+        for b in slices(batches, 4096):
+            c = np.concatenate([np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()]).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(c[c[:, 3] > 0, 0]))], ["h"])
 
-def _windows(units: DataFrame, settled: DataFrame) -> DataFrame:
-    """Spans (id, digest, a, z) of the repeated windows among those that anchors leave open.
+    def each(batches):
+        for b in slices(batches, 1024):
+            raw = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in b.column(2).to_pylist()]
+            n, c = [len(x) for x in raw], np.concatenate(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), *(pa.array(np.repeat(b.column(k).to_numpy(zero_copy_only=False), n)) for k in (0, 1)), pa.array(np.ascontiguousarray(c[:, 1:]).view("V24").ravel().tolist(), pa.binary())], ["h", "id", "digest", "at"])
 
-    A window is repeated only within [first, last] of its anchor, and so is its partner within that of its own anchor.
-    Windows are known by 128-bit digests; a task sends each of them once with the first place that it saw and a mark
-    if it saw several, so that frequent windows are combined before the shuffle.
-    """
-    open_ = settled.where("open").select("h").distinct()
-    near = settled.join(open_, "h", "left_semi")
-    at = F.struct(*(F.col(c).cast("int").alias(c) for c in ("first", "last")), "open")
-    wanted = materialize(near.groupBy("id", "digest").agg(F.collect_set(at).alias("at")), "open")
-    rows = units.join(wanted, ["id", "digest"]).select("id", "digest", "text", "at")
+    open_ = settled.where("n_open > 0").select("cands").mapInArrow(heads, "h long").distinct()
+    rows = settled.select("id", "digest", "cands").mapInArrow(each, "h long, id long, digest long, at binary")
+    wanted = materialize(_merged(rows.join(open_, "h", "left_semi"), "at"), "open")
+    texts = _with_texts(units, wanted, "at", "inner")
 
-    def run(batches):
-        for b in slices(batches, 16):
-            ids, digests, texts = _rows(b)
-            out = []
-            for i, d, t, at in zip(ids.tolist(), digests.tolist(), texts, b.column(3).to_pylist()):
+    def deal(batches):
+        for b in slices(batches, 512):
+            ids, digests, raw = _rows(b)
+            digest, who, where, own = [], [], [], []
+            for k, (t, at) in enumerate(zip(raw, b.column(3).to_pylist())):
                 starts: dict[int, bool] = {}
-                for x in at:
-                    for s in range(max(0, x["first"]), min(len(t) - SPAN, x["last"]) + 1):
-                        starts[s] = starts.get(s, False) or x["open"]
-                out += [(hashlib.blake2b(t[s : s + SPAN], digest_size=16).digest(), i, d, s, o) for s, o in starts.items()]
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 5, kinds)], ["w", "id", "digest", "a", "open"])
+                for first, last, is_open in np.unique(np.frombuffer(b"".join(at), np.int64).reshape(-1, 3), axis=0).tolist():
+                    for s in range(max(0, first), min(len(t) - SPAN, last) + 1):
+                        starts[s] = starts.get(s, False) or bool(is_open)
+                digest += [xxhash.xxh3_128_digest(t[s : s + SPAN]) for s in starts]
+                who += [k] * len(starts)
+                where += starts
+                own += starts.values()
+            w = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2)
+            who, where, own = np.array(who, np.int64), np.array(where, np.int32), np.array(own, bool)
+            order = np.lexsort((~own, w[:, 1], w[:, 0]))
+            w, who, where, own = w[order], who[order], where[order], own[order]
+            same = (w[1:] == w[:-1]).all(1)
+            several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(w) else own
+            keep = own | np.concatenate([[True], ~same]) if len(w) else own
+            w, who, where, own, several = w[keep], who[keep], where[keep], own[keep], several[keep]
+            at = ((w[:, 0] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+            cut = np.searchsorted(at, np.arange(blocks + 1))
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            col = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), col(w), col(ids[who]), col(digests[who]), col(where), col(own.astype(np.int8) + 2 * several.astype(np.int8))], ["block", "w", "id", "digest", "a", "flags"])
+
+    def twice(pdf):
+        w = np.frombuffer(b"".join(pdf["w"]), np.uint64).reshape(-1, 2)
+        i, d, a, f = (np.frombuffer(b"".join(pdf[c]), k) for c, k in (("id", np.int64), ("digest", np.int64), ("a", np.int32), ("flags", np.int8)))
+        order = np.lexsort((w[:, 1], w[:, 0]))
+        same = (w[order][1:] == w[order][:-1]).all(1)
+        again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (f[order] >= 2)
+        order = order[again & (f[order] % 2 == 1)]
+        order = order[np.lexsort((a[order], d[order], i[order]))]
+        i, d, a = i[order], d[order], a[order].astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])])) if len(i) else np.zeros(0, int)
+        end = np.append(begin[1:], len(i))
+        trim()
+        return pd.DataFrame({"id": i[begin], "digest": d[begin], "spans": [_union(a[x:z], a[x:z] + SPAN).tobytes() for x, z in zip(begin, end)]})
 
-    windows = materialize(rows.mapInArrow(run, "w binary, id long, digest long, a long, open boolean"), "windows")
-    twice = materialize(windows.groupBy("w").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select("w"), "twice")
-    mine = materialize(windows.where("open"), "mine")
-    return mine.join(twice, "w").select("id", "digest", "a", (F.col("a") + SPAN).alias("z"))
+    dealt = texts.mapInArrow(deal, "block int, w binary, id binary, digest binary, a binary, flags binary")
+    return dealt.groupBy("block").applyInPandas(twice, "id long, digest long, spans binary")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -445,20 +504,15 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text
     """
     units = need(docs, doc_id, text).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NONE)).alias("id"), F.xxhash64(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = materialize(spans(units.where(F.octet_length("text") >= SPAN)), "spans")
-    size = found.agg(F.sum(F.size("spans") * 8 + 48)).first()[0] or 0
-    rows = units.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, ["id", "digest"], "left").select("id", "digest", "text", "spans")
+    rows = _with_texts(units, found, "spans", "left")
 
     def run(batches):
         for b in slices(batches, 256):
             ids, _, texts = _rows(b)
             out = []
             for i, t, s in zip(ids.tolist(), texts, b.column(3).to_pylist()):
-                joined: list[list[int]] = []
-                for a, z in sorted((x["a"], x["z"]) for x in s or []):
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], z)
-                    else:
-                        joined.append([a, z])
+                pairs = np.frombuffer(b"".join(s or []), np.int32).reshape(-1, 2).astype(np.int64)
+                joined = _union(pairs[:, 0], pairs[:, 1]).tolist()
                 kept, at = [], 0
                 for a, z in joined:
                     kept.append(t[at:a])
