@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -259,7 +260,7 @@ def _runs(rows, splitters):
                     before = keys[e]
                     k, at = items[e]
                     info += [e, k[2], k[3], len(at) > 1, not cut[part] <= pos < cut[part + 1]]
-                out.append((0, side, part, origin, np.array(lcps, np.uint16).tobytes() + b"".join(rest), np.array(info, np.int32).tobytes(), None, None, None))
+                out.append((0, side, part, origin, zlib.compress(np.array(lcps, np.uint16).tobytes() + b"".join(rest), 1), np.array(info, np.int32).tobytes(), None, None, None))
         entries.clear()
         origin = uuid.uuid4().hex
 
@@ -276,6 +277,7 @@ def _runs(rows, splitters):
 
 
 def _read_run(origin: str, payload: bytes, info: bytes):
+    payload = zlib.decompress(payload)
     info = np.frombuffer(info, np.int32).reshape(-1, 5).tolist()
     lcps = np.frombuffer(payload, np.uint16, len(info)).tolist()
     at, key = 2 * len(info), b""
