@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that say nothing about the counterparty.
 STOPWORDS = (
@@ -51,7 +52,7 @@ LONG_NUMBER = r"\b[0-9]{6,}\b"
 _U = "(?U)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -127,12 +128,16 @@ def _lookup() -> Column:
     return F.create_map(*(F.lit(x) for kv in ABBREVIATIONS.items() for x in kv))
 
 
-def core_tokens(text: Column) -> Column:
-    """Words without stop words, abbreviations written out, equal neighbours once; ``text`` as from surface()."""
+def full_tokens(text: Column) -> Column:
+    """Words without stop words, abbreviations written out; ``text`` as from surface()."""
     stop = F.array(*map(F.lit, STOPWORDS))
     plain = lambda a: F.filter(a, lambda x: ~F.array_contains(stop, x) & (x != ""))
-    full = plain(F.transform(plain(F.split(text, " ")), lambda x: F.coalesce(_lookup()[x], x)))
-    return F.filter(full, lambda x, i: (i == 0) | (x != F.get(full, i - 1)))
+    return plain(F.transform(plain(F.split(text, " ")), lambda x: F.coalesce(_lookup()[x], x)))
+
+
+def without_repeats(tokens: str) -> Column:
+    """Equal neighbours once. Takes a column's name: an expression would be computed again for every element."""
+    return F.filter(tokens, lambda x, i: (i == 0) | (x != F.get(F.col(tokens), i - 1)))
 
 
 def expansions(text: Column) -> Column:
@@ -150,10 +155,10 @@ def normalize(df, text: str = "text", with_nfkc: bool = True):
 
     Null stays null; a blank text has an empty core. The stages are columns of their own, so none is computed twice.
     """
-    s = df.withColumn("_source", ascii_source(F.col(text), with_nfkc)).withColumn("_surface", surface(F.col("_source")))
+    s = df.withColumn("_source", ascii_source(F.col(text), with_nfkc)).withColumn("_surface", surface(F.col("_source"))).withColumn("_full", full_tokens(F.col("_surface")))
     return s.select(
         *df.columns,
-        F.array_join(core_tokens(F.col("_surface")), " ").alias("core_text"),
+        F.array_join(without_repeats("_full"), " ").alias("core_text"),
         F.trim(F.regexp_replace("_source", "[^a-z0-9]+", " ")).alias("ascii_text"),
         legal_types(F.col("_source")).alias("legal_types"),
         reference_numbers(F.col("_source")).alias("reference_numbers"),

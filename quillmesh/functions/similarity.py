@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Weights of the hybrid score, with and without embeddings.
 WITH_EMBEDDING = {"char_tfidf": 0.20, "wratio": 0.15, "partial_ratio": 0.08, "token_set_ratio": 0.07, "jaro_winkler": 0.12, "token_prefix": 0.08, "embedding": 0.20, "identifier": 0.10}
@@ -127,7 +128,7 @@ def wratio_of(a: str, b: str) -> float:
 
 
 def _pairs(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([0.0 if not x or not y else f(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -1,5 +1,313 @@
 """Registered queries of the matching engine and their SQL."""
 
-FLAGSHIP = ""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillmesh.functions import normalize as N
+from quillmesh.functions import similarity as S
+from quillmesh.operators import evaluation as E
+from quillmesh.operators import matching as M
+from quillmesh.operators import ranking as R
+from quillmesh.operators import training as T
+from quillmesh.plans import inputs as I
+from quillmesh.session import load
+from quillmesh.sources import tables as D
+
+FLAGSHIP = "match_candidates"
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _documents(spark, sf):
+    return N.normalize(load(spark, sf, "documents").select("doc_id", "text"), "text", with_nfkc=False)
+
+
+_DOCS = I.sql_normalized("documents", "doc_id", "text")
+
+
+@query(f"SELECT doc_id, core_text, ascii_text FROM {_DOCS}")
+def normalize_core(spark, sf):
+    return _documents(spark, sf).select("doc_id", "core_text", "ascii_text")
+
+
+_found = lambda p, g: f"list_sort(list_distinct(regexp_extract_all(src, '{p}', {g})))"
+
+
+@query(f"SELECT doc_id, upper(array_to_string({_found(N.REFERENCE, 1)}, '|')) AS reference_numbers FROM {_DOCS}")
+def reference_extract(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.array_join(F.array_sort("reference_numbers"), "|").alias("reference_numbers"))
+
+
+@query(rf"""SELECT doc_id, upper(regexp_replace(array_to_string({_found(N.IBAN, 0)}, '|'), '\s+', '', 'g')) AS ibans, array_to_string({_found(N.TAX, 1)}, '|') AS tax_numbers, array_to_string({_found(N.IDENTITY, 1)}, '|') AS identity_numbers FROM {_DOCS}""")
+def identifiers_extract(spark, sf):
+    return _documents(spark, sf).select("doc_id", *(F.array_join(F.array_sort(f"identifiers.{c}"), "|").alias(c) for c in ("ibans", "tax_numbers", "identity_numbers")))
+
+
+def _legal_sql() -> str:
+    x, cases = I.sql_removed("src"), []
+    for name, p in N.LEGAL_FORMS:
+        cases.append(f"CASE WHEN regexp_matches({x}, '{p}') THEN '{name}' END")
+        x = f"regexp_replace({x}, '{p}', ' ', 'g')"
+    return f"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct([{', '.join(cases)}])), '|'), '') AS legal_types FROM {_DOCS}"
+
+
+@query(_legal_sql())
+def legal_types(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.array_join(F.array_sort("legal_types"), "|").alias("legal_types"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(upper(text), '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, '([A-Z]{0,3}[0-9]{6,}|[0-9]{6,}[A-Z]{0,3})')))), '|') AS identifiers FROM documents""")
+def identifier_sets(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(N.name_identifiers(F.col("text"))), "|").alias("identifiers"))
+
+
+@query(f"""WITH {I.SQL_POOL}, {I.SQL_QUERIES}, o AS (SELECT normalized_alias, count(DISTINCT company_id) AS n FROM pool GROUP BY 1)
+SELECT query_id, n IS NOT NULL AS exact_match, coalesce(n = 1 AND length(regexp_replace(query_text, '[^a-z0-9]', '', 'g')) >= 3, false) AS unique_exact_match, n IS NOT NULL AND NOT coalesce(n = 1 AND length(regexp_replace(query_text, '[^a-z0-9]', '', 'g')) >= 3, false) AS ambiguous_exact_match
+FROM queries LEFT JOIN o ON query_text = normalized_alias""")
+def exact_match_flags(spark, sf):
+    f = M.exact_flags(I.queries(spark, sf), I.pool(spark, sf))
+    return f.select("query_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("exact_match", "unique_exact_match", "ambiguous_exact_match")))
+
+
+@query(f"WITH {I.SQL_POOL} SELECT normalized_alias, count(DISTINCT company_id) AS n_owners, min(company_id) AS first_owner FROM pool GROUP BY 1 HAVING count(DISTINCT company_id) > 1")
+def alias_collisions(spark, sf):
+    return M.collisions(I.pool(spark, sf))
+
+
+@query(f"""WITH {I.SQL_POOL}, x AS (SELECT normalized_alias, count(DISTINCT company_id) AS owners, count(*) AS n FROM pool GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS aliases, count(*) AS distinct_texts, CAST(sum(CASE WHEN owners > 1 THEN 1 ELSE 0 END) AS BIGINT) AS shared_texts, (SELECT count(DISTINCT company_id) FROM pool) AS companies FROM x""")
+def index_stats(spark, sf):
+    return M.index_stats(I.pool(spark, sf))
+
+
+def _ids(table: str) -> str:
+    return f"(SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(upper(text), '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, '([A-Z]{{0,3}}[0-9]{{6,}}|[0-9]{{6,}}[A-Z]{{0,3}})')))) AS i FROM {table})"
+
+
+@query(f"SELECT DISTINCT a.doc_id AS query_id, b.doc_id AS alias_id FROM {_ids('(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))')} a JOIN {_ids('documents')} b USING (i)")
+def identifier_overlap_join(spark, sf):
+    d = load(spark, sf, "documents")
+    q = d.join(load(spark, sf, "labels").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("raw_text"))
+    return M.identifier_pairs(q, d.select(F.col("doc_id").alias("alias_id"), F.col("text").alias("alias_text")))
+
+
+_PREFIX = """CASE WHEN q = c THEN CAST(1 AS DOUBLE) WHEN least(length(q), length(c)) < 3 THEN 0 WHEN cp = least(length(q), length(c)) THEN least(CAST(1 AS DOUBLE), CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE) * least(length(q), length(c)) / greatest(length(q), length(c))) WHEN cp >= 2 THEN least(CAST(0.55 AS DOUBLE), CAST(0.55 AS DOUBLE) * cp / greatest(length(q), length(c))) ELSE 0 END"""
+
+
+@query(f"""WITH {I.SQL_POOL}, {I.SQL_QUERIES}, p AS (SELECT query_id, query_text, normalized_alias FROM queries JOIN pool ON query_id = company_id),
+w AS (SELECT query_id, qi, q, unnest(string_split(normalized_alias, ' ')) AS c FROM (SELECT query_id, normalized_alias, unnest(range(1, len(string_split(query_text, ' ')) + 1)) AS qi, unnest(string_split(query_text, ' ')) AS q FROM p) WHERE q <> ''),
+s AS (SELECT query_id, qi, q, max({_PREFIX}) AS s FROM (SELECT *, len(list_filter(range(1, least(length(q), length(c)) + 1), lambda i: substr(q, 1, i) = substr(c, 1, i))) AS cp FROM w) GROUP BY 1, 2, 3)
+SELECT p.query_id, round(coalesce(sum(s * greatest(1, least(8, length(q)))) / sum(greatest(1, least(8, length(q)))), 0), 6) AS token_prefix FROM p LEFT JOIN s USING (query_id) GROUP BY 1""")
+def token_prefix(spark, sf):
+    j = I.queries(spark, sf).join(I.pool(spark, sf), F.col("query_id") == F.col("company_id"))
+    return j.select("query_id", F.round(S.token_prefix_score(F.col("query_text"), F.col("normalized_alias")), 6).alias("token_prefix"))
+
+
+@query(f"""WITH {I.SQL_POOL}, {I.SQL_QUERIES} SELECT query_id, round(jaro_winkler_similarity(query_text, normalized_alias), 6) AS jaro_winkler FROM queries JOIN pool ON query_id = company_id""")
+def jaro_winkler(spark, sf):
+    j = I.queries(spark, sf).join(I.pool(spark, sf), F.col("query_id") == F.col("company_id"))
+    return j.select("query_id", F.round(S.jaro_winkler("query_text", "normalized_alias"), 6).alias("jaro_winkler"))
+
+
+def _grams(x: str, words: bool) -> str:
+    one = "flatten(list_transform(range(2, 6), lambda k: list_transform(range(1, length({s}) - k + 2), lambda i: substr({s}, i, k))))"
+    if words:
+        inner = one.format(s="p")
+        return f"flatten(list_transform(list_filter(string_split({x}, ' '), lambda w: w <> ''), lambda w: flatten(list_transform([' ' || w || ' '], lambda p: {inner}))))"
+    return one.format(s=x)
+
+
+def _tfidf(words: bool) -> str:
+    return f"""WITH {I.SQL_POOL}, {I.SQL_QUERIES},
+atf AS MATERIALIZED (SELECT alias_id, g, 1 + ln(CAST(count(*) AS DOUBLE)) AS tf FROM (SELECT alias_id, unnest({_grams("normalized_alias", words)}) AS g FROM pool) GROUP BY 1, 2),
+idf AS MATERIALIZED (SELECT g, ln((1 + (SELECT count(*) FROM pool)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM atf GROUP BY 1),
+aw AS MATERIALIZED (SELECT alias_id, g, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY alias_id)) AS w FROM atf JOIN idf USING (g)),
+qtf AS (SELECT query_id, g, 1 + ln(CAST(count(*) AS DOUBLE)) AS tf FROM (SELECT query_id, unnest({_grams("query_text", words)}) AS g FROM queries) GROUP BY 1, 2),
+qw AS MATERIALIZED (SELECT query_id, g, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY query_id)) AS w FROM qtf JOIN idf USING (g)),
+s AS (SELECT query_id, alias_id, round(sum(qw.w * aw.w), 6) AS score FROM qw JOIN aw USING (g) GROUP BY 1, 2)
+SELECT query_id, alias_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, alias_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+def _topk(spark, sf, words):
+    s = M.TfIdf(I.pool(spark, sf), words).scores(I.queries(spark, sf))
+    return M.top(s.withColumn("score", F.round("score", 6)), 10).select("query_id", "alias_id", "score", "rank")
+
+
+@query(_tfidf(False))
+def tfidf_char_topk(spark, sf):
+    return _topk(spark, sf, False)
+
+
+@query(_tfidf(True))
+def tfidf_charwb_topk(spark, sf):
+    return _topk(spark, sf, True)
+
+
+@query()
+def match_candidates(spark, sf):
+    """The whole retrieval: channels, edit scores, hybrid, best alias, top k, decision."""
+    m = M.match(I.queries(spark, sf), I.pool(spark, sf), limit=10)
+    return m.select("query_id", "company_id", "alias_id", "rank", "hybrid_score", "char_tfidf", "jaro_winkler", "wratio", "partial_ratio", "token_set_ratio", "token_prefix", "identifier_overlap", "exact_match", "unique_exact_match", "ambiguous_exact_match", "margin", "decision")
+
+
+_reranked = lambda spark, sf: R.rerank(I.candidates(spark, sf))
+_RERANK_OUT = ("query_id", "company_id", "reranker_gap", "base_weight", "adjusted_score", "reranker_weight", "final_score", "retrieval_rank", "final_rank", "margin", "decision")
+
+
+@query(f"WITH {I.SQL_RERANKED} SELECT query_id, company_id, round(reranker_gap, 6) AS reranker_gap, base_weight, adjusted_score, reranker_weight, final_score, CAST(retrieval_rank AS INTEGER) AS retrieval_rank, CAST(final_rank AS INTEGER) AS final_rank, margin, decision FROM reranked")
+def rerank_final(spark, sf):
+    return _reranked(spark, sf).select(*_RERANK_OUT).withColumn("reranker_gap", F.round("reranker_gap", 6))
+
+
+_SHADOW = I.SQL_RERANKED + """, s0 AS (SELECT *, round(CAST(0.6 AS DOUBLE) * final_score + CAST(0.4 AS DOUBLE) * lexical_evidence, 6) AS shadow_score FROM reranked),
+s1 AS (SELECT *, row_number() OVER w AS shadow_rank, lead(shadow_score) OVER w AS snext, min(shadow_score) OVER g AS lo, max(shadow_score) OVER g AS hi, count(*) OVER g AS cnt FROM s0 WINDOW w AS (PARTITION BY query_id ORDER BY shadow_score DESC, final_rank), g AS (PARTITION BY query_id)),
+sh AS MATERIALIZED (SELECT query_id, company_id, shadow_score, final_rank, shadow_rank, expected_company_id, difficulty, snext, round(CASE WHEN cnt = 1 THEN 1 WHEN hi - lo <= CAST(1e-12 AS DOUBLE) THEN CAST(0.5 AS DOUBLE) ELSE (shadow_score - lo) / (hi - lo) END, 6) AS shadow_normalized FROM s1)"""
+
+
+def _shadowed(spark, sf):
+    c = _reranked(spark, sf).withColumn("shadow_score", F.round(F.lit(0.6) * F.col("final_score") + F.lit(0.4) * F.col("lexical_evidence"), 6))
+    return R.shadow(c)
+
+
+@query(f"""WITH {_SHADOW}, t AS (SELECT query_id, max(CASE WHEN shadow_rank = 1 THEN round(shadow_score - coalesce(snext, 0), 6) END) AS shadow_margin, max(CASE WHEN shadow_rank = 1 THEN company_id END) <> max(CASE WHEN final_rank = 1 THEN company_id END) AS winner_changed FROM sh GROUP BY 1)
+SELECT query_id, company_id, shadow_score, shadow_normalized, CAST(shadow_rank AS INTEGER) AS shadow_rank, CAST(final_rank - shadow_rank AS INTEGER) AS rank_delta, shadow_margin, winner_changed FROM sh JOIN t USING (query_id)""")
+def shadow_rank_delta(spark, sf):
+    return _shadowed(spark, sf).select("query_id", "company_id", "shadow_score", "shadow_normalized", "shadow_rank", "rank_delta", "shadow_margin", "winner_changed")
+
+
+def _rows(spark, sf):
+    c = _reranked(spark, sf)
+    r = E.rows(c.drop("expected_company_id"), c.select("query_id", "expected_company_id").distinct())
+    return r.join(c.groupBy("query_id").agg(F.max("difficulty").alias("difficulty")), "query_id")
+
+
+@query(f"WITH {I.SQL_ROWS} SELECT query_id, difficulty, CAST(true_rank AS INTEGER) AS true_rank, CAST(rank_before AS INTEGER) AS rank_before, decision, best_score, margin, top1, top5, top10, reciprocal_rank, reranker_effect FROM rows_")
+def evaluation_rows(spark, sf):
+    return _rows(spark, sf).select("query_id", "difficulty", "true_rank", "rank_before", "decision", "best_score", "margin", "top1", "top5", "top10", "reciprocal_rank", "reranker_effect")
+
+
+_POSITIVE = """count(*) AS total, round(count_if(top1) / count(*), 6) AS top1_accuracy, round(count_if(top5) / count(*), 6) AS recall_at_5, round(count_if(top10) / count(*), 6) AS recall_at_10, round(sum(reciprocal_rank) / count(*), 6) AS mrr,
+  round(count_if(decision = 'AUTO_MATCH') / count(*), 6) AS auto_match_coverage, round(count_if(decision = 'AUTO_MATCH' AND top1) / nullif(count_if(decision = 'AUTO_MATCH'), 0), 6) AS auto_match_precision, round(count_if(decision = 'AUTO_MATCH' AND NOT top1) / count(*), 6) AS false_match_rate,
+  round(count_if(decision = 'MANUAL_REVIEW') / count(*), 6) AS manual_review_rate, round(count_if(decision = 'UNKNOWN') / count(*), 6) AS unknown_rate, round(count_if(true_rank IS NULL) / count(*), 6) AS candidate_miss_rate"""
+
+
+@query(f"WITH {I.SQL_ROWS} SELECT {_POSITIVE} FROM rows_")
+def benchmark_metrics(spark, sf):
+    return E.positive_metrics(_rows(spark, sf))
+
+
+@query(f"WITH {I.SQL_ROWS} SELECT difficulty, reranker_effect, {_POSITIVE} FROM rows_ GROUP BY difficulty, reranker_effect")
+def metrics_by_group(spark, sf):
+    return E.positive_metrics(_rows(spark, sf), "difficulty", "reranker_effect")
+
+
+@query(f"WITH {I.SQL_ROWS} SELECT difficulty, count(*) AS total, round(count_if(decision = 'UNKNOWN') / count(*), 6) AS unknown_recall, round((count(*) - count_if(decision = 'UNKNOWN')) / count(*), 6) AS false_match_rate, round(count_if(decision = 'AUTO_MATCH') / count(*), 6) AS auto_match_rate, round(count_if(decision = 'MANUAL_REVIEW') / count(*), 6) AS manual_review_rate, round(avg(best_score), 6) AS average_best_score FROM rows_ GROUP BY difficulty")
+def negative_metrics(spark, sf):
+    return E.negative_metrics(_rows(spark, sf), "difficulty")
+
+
+@query(f"WITH {I.SQL_ROWS} SELECT query_id, decision, best_score, margin, CASE decision WHEN 'UNKNOWN' THEN 'CORRECT_REJECTION' WHEN 'AUTO_MATCH' THEN 'CRITICAL_FALSE_AUTO' WHEN 'MANUAL_REVIEW' THEN 'FALSE_REVIEW' ELSE 'OTHER' END AS risk FROM rows_ ORDER BY CASE decision WHEN 'AUTO_MATCH' THEN 0 WHEN 'MANUAL_REVIEW' THEN 1 WHEN 'UNKNOWN' THEN 2 ELSE 3 END, best_score DESC, margin DESC, query_id LIMIT 30")
+def riskiest_topk(spark, sf):
+    return E.riskiest(_rows(spark, sf)).select("query_id", "decision", "best_score", "margin", E.risk(F.col("decision")).alias("risk"))
+
+
+@query(f"WITH {I.SQL_ROWS} SELECT error_type, count(*) AS n FROM (SELECT CASE WHEN top1 THEN 'NONE' WHEN decision = 'AUTO_MATCH' THEN 'FALSE_AUTO' WHEN query_id % 7 = 0 THEN 'AMBIGUOUS' WHEN true_rank IS NULL THEN 'NOT_IN_TOP_10' WHEN true_rank = 2 THEN 'NEAR_MISS' ELSE 'RANKING_ERROR' END AS error_type FROM rows_) GROUP BY 1")
+def error_types(spark, sf):
+    r = _rows(spark, sf)
+    return r.groupBy(E.error_type(F.col("decision"), F.col("top1"), F.col("query_id") % 7 == 0, F.col("true_rank")).alias("error_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SHADOW}, t AS (SELECT query_id, any_value(difficulty) AS difficulty, coalesce(max(CASE WHEN company_id = expected_company_id THEN final_rank END), 0) AS c, coalesce(max(CASE WHEN company_id = expected_company_id THEN shadow_rank END), 0) AS s FROM sh GROUP BY 1)
+SELECT difficulty, count(*) AS queries, round(avg(CAST(c = 1 AS DOUBLE)), 6) AS current_top1, round(avg(CAST(s = 1 AS DOUBLE)), 6) AS shadow_top1, round(avg(CASE WHEN c > 0 THEN CAST(1 AS DOUBLE) / c ELSE 0 END), 6) AS current_mrr, round(avg(CASE WHEN s > 0 THEN CAST(1 AS DOUBLE) / s ELSE 0 END), 6) AS shadow_mrr,
+  round(avg(CASE WHEN c > 0 THEN 1 / log2(c + 1) ELSE 0 END), 6) AS current_ndcg, round(avg(CASE WHEN s > 0 THEN 1 / log2(s + 1) ELSE 0 END), 6) AS shadow_ndcg, count_if(c > 0 AND s > 0 AND s < c)::BIGINT AS improved, count_if(c > 0 AND s > 0 AND s > c)::BIGINT AS hurt, count_if(c > 0 AND s > 0 AND s = c)::BIGINT AS unchanged, count_if(NOT (c > 0 AND s > 0))::BIGINT AS missing FROM t GROUP BY 1""")
+def shadow_summary(spark, sf):
+    c = _shadowed(spark, sf)
+    hit = F.col("company_id") == F.col("expected_company_id")
+    t = c.groupBy("query_id").agg(F.max("difficulty").alias("difficulty"), F.max(F.when(hit, F.col("final_rank"))).alias("current_rank"), F.max(F.when(hit, F.col("shadow_rank"))).alias("shadow_rank"))
+    return E.ranked_summary(t, "current_rank", "shadow_rank", "difficulty")
+
+
+@query(f"WITH {I.SQL_CANDIDATES} SELECT query_id AS group_id, count(*) AS candidates, CAST(count_if(company_id = expected_company_id) AS BIGINT) AS positives, count(DISTINCT difficulty) AS types, count(DISTINCT expected_company_id) AS expected FROM cand GROUP BY 1 HAVING count(*) < 2 OR count_if(company_id = expected_company_id) <> 1")
+def group_validation(spark, sf):
+    c = I.candidates(spark, sf).select(F.col("query_id").alias("group_id"), F.col("difficulty").alias("dataset_type"), "expected_company_id", (F.col("company_id") == F.col("expected_company_id")).cast("long").alias("label"))
+    return T.invalid_groups(c)
+
+
+_SPLIT = """c AS (SELECT o_custkey AS company_id, bool_or(o_orderstatus = 'F') AS hard FROM orders GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY hard ORDER BY md5(CAST(company_id AS VARCHAR)), company_id) AS k, count(*) OVER (PARTITION BY hard) AS n FROM c)"""
+
+
+@query(f"WITH {_SPLIT} SELECT o_orderkey AS group_id, o_custkey AS company_id, k.k <= least(greatest(round(n * CAST(0.2 AS DOUBLE)), 1), greatest(n - 1, 0)) AS validation FROM orders JOIN k ON company_id = o_custkey")
+def company_disjoint_split(spark, sf):
+    g = load(spark, sf, "orders").select(F.col("o_orderkey").alias("group_id"), F.col("o_custkey").alias("company_id"), (F.col("o_orderstatus") == "F").alias("hard"))
+    return T.split(g).select("group_id", "company_id", "validation")
+
+
+@query("SELECT o_orderkey AS group_id, CASE WHEN o_orderstatus = 'F' THEN CAST(3 AS DOUBLE) + greatest(CAST(0 AS DOUBLE), (1 + o_custkey % 9) - CAST(2 AS DOUBLE)) * CAST(0.15 AS DOUBLE) ELSE 1 END AS weight FROM orders")
+def group_weights(spark, sf):
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("group_id"), T.group_weight(F.col("o_orderstatus") == "F", 1 + F.col("o_custkey") % 9).alias("weight"))
+
+
+@query("SELECT event_type, round(avg(value), 3) AS mean, round(quantile_cont(value, 0.5), 3) AS median, round(quantile_cont(value, 0.95), 3) AS p95 FROM events GROUP BY 1")
+def latency_percentiles(spark, sf):
+    return E.latency(load(spark, sf, "events"), "value", "event_type")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def upsert_last_wins(spark, sf):
+    e = load(spark, sf, "events").select("user_id", "event_type", "value", F.col("event_id").alias("seq"))
+    none = e.drop("seq").limit(0)
+    return D.upsert(none, e, ["user_id"], "seq")
+
+
+@query("SELECT doc_id, 1000000000000 + CAST(('0x' || substr(sha256(source || ':' || CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) AS stable_id FROM documents")
+def stable_company_id(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", N.stable_id(F.concat_ws(":", "source", F.col("doc_id").cast("string"))).alias("stable_id"))
+
+
+@query(f"""WITH {I.SQL_POOL}, b AS (SELECT company_id, brand_name, trim(coalesce(nullif(core_text, ''), ascii_text)) AS n FROM {I.sql_normalized("names", "company_id, brand_name", "brand_name")})
+SELECT company_id, brand_name FROM b WHERE n <> '' AND NOT EXISTS (SELECT 1 FROM pool WHERE pool.company_id = b.company_id AND pool.normalized_alias = b.n)""")
+def implicit_alias_antijoin(spark, sf):
+    c = I.names(spark, sf)
+    given = c.select(F.col("company_id").alias("alias_id"), "company_id", F.col("legal_name").alias("alias_text"), F.lit("EXPLICIT").alias("alias_type"))
+    p = M.build_pool(c.withColumn("legal_name", F.lit("")), given, with_nfkc=False)
+    return p.where("alias_type = 'BRAND_NAME'").select("company_id", F.col("alias_text").alias("brand_name"))
+
+
+@query("SELECT DISTINCT o_custkey AS company_id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def holdout_antijoin(spark, sf):
+    o = load(spark, sf, "orders")
+    return o.select(F.col("o_custkey").alias("company_id")).distinct().join(o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("company_id")), "company_id", "left_anti")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 100 OFFSET 50")
+def paginate(spark, sf):
+    return D.page(load(spark, sf, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"], 100, 50)
+
+
+@query("SELECT difficulty, reranker_effect, n FROM (SELECT coalesce(o_orderstatus, 'ALL') AS difficulty, coalesce(o_orderpriority, 'ALL') AS reranker_effect, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ()))")
+def grouping_sets(spark, sf):
+    g = load(spark, sf, "orders").groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    return g.select(F.coalesce("o_orderstatus", F.lit("ALL")).alias("difficulty"), F.coalesce("o_orderpriority", F.lit("ALL")).alias("reranker_effect"), "n")
+
+
+@query()
+def ltr_train_eval(spark, sf):
+    """A pairwise ranking model trained on one side of the split and evaluated on the other."""
+    c = _reranked(spark, sf).select(F.col("query_id").alias("group_id"), "company_id", "expected_company_id", F.col("difficulty").alias("dataset_type"), (F.col("company_id") == F.col("expected_company_id")).cast("int").alias("label"), F.col("company_id").alias("candidate_position"), F.col("final_rank").alias("current_final_rank"), "retrieval_score", "reranker_score", "lexical_evidence", "final_score")
+    c = c.join(T.invalid_groups(c).select("group_id"), "group_id", "left_anti")
+    features = ["retrieval_score", "reranker_score", "lexical_evidence", "final_score"]
+    parts = T.split(c.select("group_id", F.col("group_id").alias("company_id"), (F.col("dataset_type") == "F").alias("hard")).distinct()).select("group_id", "validation")
+    c = c.join(parts, "group_id")
+    model = T.pairwise_model(c.where("NOT validation"), features)
+    return E.ranked_summary(T.evaluate(T.predict(model, c.where("validation"), features)))
