@@ -13,7 +13,8 @@ match to the left, l1; in the second order l2 and r2. If both matches have SPAN
 both ways), exactly the bytes from l2 before the anchor to r1 after it are repeated there; if r1 + l2 < SPAN, none are. What
 remains open, where different partners trade left against right, is settled by the windows themselves.
 
-Frequent contexts are collapsed in every task, ranges are cut by the whole key, and each task sends one suffix beyond
+Anchors whose whole context is repeated are settled by the first exchange, and only one of each context is sorted, where
+other contexts share its K bytes. Ranges are cut by the whole key, and each task sends one suffix beyond
 either end of a range, so neighbours across ranges are seen and no group of equal K bytes has to meet in one task.
 """
 
@@ -39,7 +40,7 @@ KEY = SPAN + LEFT
 NONE = -(1 << 63)
 BUFFER = 1_000_000
 ORIGIN_ENTRIES = 25_000
-PART_ENTRIES, MAX_PARTS = 15_000, 4096
+PART_ENTRIES, MAX_PARTS = 40_000, 4096
 #: Most bytes of anchors or spans that are broadcast, counted before; beyond it the texts are shuffled.
 BROADCAST_BYTES = 48_000_000
 #: One up, so that a zero ends a suffix before any byte; no UTF-8 text has a byte 255.
@@ -106,36 +107,54 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(2).to_pylist()]
 
 
+def _context(text: bytes, place: int) -> int:
+    """A 64-bit hash of all that a key of the anchor holds; only anchors of equal K bytes are compared by it."""
+    return xxhash.xxh3_64_intdigest(text[max(0, place - LEFT) : place + SPAN], min(place, LEFT))
+
+
 def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
-    """(id, digest, places array<int>) of the anchors whose K bytes occur at several places."""
+    """(id, digest, full binary, places binary) of the anchors whose K bytes occur at several places.
+
+    ``full``: int32 pairs (place, -1) of the anchors whose whole context occurs at several places, which settles them.
+    ``places``: int32 pairs (place, several) of the anchors to be sorted: one of each context, where contexts differ.
+    """
 
     def deal(batches):
         for b in slices(batches, 2048):
             ids, digests, texts = _rows(b)
             which, place, h = anchors(texts)
+            c = np.array([_context(texts[k], p) for k, p in zip(which.tolist(), place.tolist())], np.uint64)
             order = np.argsort(h)
-            which, place, h = which[order], place[order].astype(np.int32), h[order]
+            which, place, h, c = which[order], place[order].astype(np.int32), h[order], c[order]
             at = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(at, np.arange(blocks + 1))
             some = np.flatnonzero(np.diff(cut)).tolist()
             col = lambda a: pa.array([a[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), col(h), col(ids[which]), col(digests[which]), col(place)], ["block", "h", "id", "digest", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), col(h), col(c), col(ids[which]), col(digests[which]), col(place)], ["block", "h", "c", "id", "digest", "place"])
 
     def again(pdf):
-        h, i, d, p = (np.frombuffer(b"".join(pdf[c]), k) for c, k in (("h", np.uint64), ("id", np.int64), ("digest", np.int64), ("place", np.int32)))
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        order = order[np.lexsort((p[order], d[order], i[order]))]
-        i, d, p = i[order], d[order], p[order]
+        h, c, i, d, p = (np.frombuffer(b"".join(pdf[x]), k) for x, k in (("h", np.uint64), ("c", np.uint64), ("id", np.int64), ("digest", np.int64), ("place", np.int32)))
+        order = np.lexsort((p, d, i, c, h))
+        h, c, i, d, p = h[order], c[order], i[order], d[order], p[order]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]]) if len(h) else new_h
+        group_h, group_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
+        full = np.bincount(group_c)[group_c] > 1 if len(h) else new_h
+        mixed = np.bincount(group_h, new_c)[group_h] > 1 if len(h) else new_h
+        send = mixed & new_c
+        keep = full | send
+        i, d, p, full, send = i[keep], d[keep], p[keep], full[keep], send[keep]
+        order = np.lexsort((p, d, i))
+        i, d, p, full, send = i[order], d[order], p[order], full[order], send[order]
         begin = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])])) if len(i) else np.zeros(0, int)
         end = np.append(begin[1:], len(i))
+        whole = np.column_stack([p, np.full(len(p), -1)]).astype(np.int32)
+        sent = np.column_stack([p, full]).astype(np.int32)
         trim()
-        return pd.DataFrame({"id": i[begin], "digest": d[begin], "places": [p[a:z].tobytes() for a, z in zip(begin, end)]})
+        return pd.DataFrame({"id": i[begin], "digest": d[begin], "full": [whole[a:z][full[a:z]].tobytes() for a, z in zip(begin, end)], "places": [sent[a:z][send[a:z]].tobytes() for a, z in zip(begin, end)]})
 
-    dealt = units.mapInArrow(deal, "block int, h binary, id binary, digest binary, place binary")
-    return dealt.groupBy("block").applyInPandas(again, "id long, digest long, places binary")
+    dealt = units.mapInArrow(deal, "block int, h binary, c binary, id binary, digest binary, place binary")
+    return dealt.groupBy("block").applyInPandas(again, "id long, digest long, full binary, places binary")
 
 
 def _merged(parts: DataFrame, column: str) -> DataFrame:
@@ -232,7 +251,7 @@ def _runs(rows, splitters):
     def flush():
         nonlocal origin
         items = list(entries.items())
-        where = [(e, i, d, p) for e, (_, at) in enumerate(items) for i, d, p in at]
+        where = [(e, i, d, p) for e, (_, at) in enumerate(items) for i, d, p, _ in at]
         cols = [np.array([w[k] for w in where], np.int64).tobytes() for k in range(4)]
         head = np.array([xxhash.xxh3_64_intdigest(k[0][:K]) for k, _ in items], np.uint64).tobytes()
         out.append((1, 0, 0, origin, head, cols[0], cols[1], cols[2], cols[3]))
@@ -259,14 +278,14 @@ def _runs(rows, splitters):
                     rest.append(keys[e][c:])
                     before = keys[e]
                     k, at = items[e]
-                    info += [e, k[2], k[3], len(at) > 1, not cut[part] <= pos < cut[part + 1]]
+                    info += [e, k[2], k[3], len(at) > 1 or bool(at[0][3]), not cut[part] <= pos < cut[part + 1]]
                 out.append((0, side, part, origin, zlib.compress(np.array(lcps, np.uint16).tobytes() + b"".join(rest), 1), np.array(info, np.int32).tobytes(), None, None, None))
         entries.clear()
         origin = uuid.uuid4().hex
 
     for i, d, text, places in rows:
-        for p in places:
-            entries.setdefault(_keys(text, p), []).append((i, d, p))
+        for p, several in places:
+            entries.setdefault(_keys(text, p), []).append((i, d, p, several))
         if len(entries) >= ORIGIN_ENTRIES:
             flush()
             yield from out
@@ -326,12 +345,13 @@ def merge(runs: list[tuple[str, bytes, bytes]], side: int) -> dict[str, list]:
 
 
 def spans(units: DataFrame) -> DataFrame:
-    """(id, digest, spans array<binary>): the repeated stretches as int32 pairs [start, end), not yet united."""
+    """(id, digest, spans array<binary>): the repeated stretches as int32 pairs [start, end), not yet united; (place, -1) for a repeated context."""
     spark = units.sparkSession
     size = units.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(4 * parallelism(spark), size // 200_000_000)
-    found = materialize(_merged(repeated_anchors(units, int(blocks)), "places"), "anchors")
-    total = found.agg(F.sum(F.aggregate(F.transform("places", lambda x: F.octet_length(x) / 4), F.lit(0.0), lambda a, x: a + x))).first()[0] or 0
+    raw = materialize(repeated_anchors(units, int(blocks)), "anchors")
+    found = materialize(_merged(raw.where("octet_length(places) > 0"), "places"), "places")
+    total = raw.agg(F.sum(F.octet_length("places") / 8)).first()[0] or 0
     parts = int(min(MAX_PARTS, max(parallelism(spark), total // PART_ENTRIES)))
     texts = _with_texts(units, found, "places", "inner")
 
@@ -339,13 +359,13 @@ def spans(units: DataFrame) -> DataFrame:
         for b in slices(batches, 64):
             ids, digests, raw = _rows(b)
             for i, d, t, ps in zip(ids.tolist(), digests.tolist(), raw, b.column(3).to_pylist()):
-                yield i, d, t, np.sort(np.concatenate([np.frombuffer(p, np.int32) for p in ps])).tolist()
+                yield i, d, t, np.frombuffer(b"".join(ps), np.int32).reshape(-1, 2).tolist()
 
     every = max(1, int(total // (8 * parts)))
 
     def sample(batches):
         for b in slices(batches, 64):
-            got = [_keys(t, p) for i, _, t, ps in unpack([b]) for p in ps if (i * 2654435761 + p * 40503) % 1000003 % every == 0]
+            got = [_keys(t, p) for i, _, t, ps in unpack([b]) for p, _ in ps if (i * 2654435761 + p * 40503) % 1000003 % every == 0]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] + k[1] for k in got], pa.binary()), pa.array([k[1] + k[0] for k in got], pa.binary())], ["a", "b"])
 
     keys = texts.mapInArrow(sample, "a binary, b binary").collect()  # about 8 for each range
@@ -414,7 +434,7 @@ def spans(units: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["id", "digest", "spans", "cands", "n_open"])
 
     settled = materialize(both.groupBy("origin").applyInPandas(settle, "id long, digest long, spans binary, cands binary, n_open long"), "settled")
-    out = settled.select("id", "digest", "spans")
+    out = settled.select("id", "digest", "spans").unionAll(raw.where("octet_length(full) > 0").select("id", "digest", "full"))
     if not settled.where("n_open > 0").isEmpty():
         out = out.unionAll(_windows(units, settled, int(blocks)))
     return _merged(out, "spans")
@@ -514,7 +534,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text
             out = []
             for i, t, s in zip(ids.tolist(), texts, b.column(3).to_pylist()):
                 pairs = np.frombuffer(b"".join(s or []), np.int32).reshape(-1, 2).astype(np.int64)
-                joined = _union(pairs[:, 0], pairs[:, 1]).tolist()
+                whole = pairs[:, 1] < 0  # an anchor whose context is repeated: as far as keys reach, if that is a window
+                a = np.where(whole, np.maximum(0, pairs[:, 0] - LEFT), pairs[:, 0])
+                z = np.where(whole, np.minimum(len(t), pairs[:, 0] + SPAN), pairs[:, 1])
+                joined = _union(a, np.where(z - a >= SPAN, z, a)).tolist()
                 kept, at = [], 0
                 for a, z in joined:
                     kept.append(t[at:a])
