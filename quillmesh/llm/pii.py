@@ -138,7 +138,7 @@ class Model:
     """The trees, the calibration and each kind's threshold."""
 
     def __init__(self, rows: list[tuple[list[float], int]]):
-        x = np.array([r[0] for r in rows], float).reshape(len(rows), -1)
+        x = np.array([r[0] for r in rows], float) if rows else np.zeros((0, len(features("", 0, 0, 0))))
         y = np.array([r[1] for r in rows], float)
         held = np.arange(len(y)) % 3 == 0
         self.trees = Boosted().fit(x[~held], y[~held])
