@@ -157,7 +157,7 @@ def pooled(model: BiGRU, texts: list[bytes], rows: int = 512) -> np.ndarray:
         q = model.probabilities(model.states(codes))
         q *= (codes != PAD)[..., None]
         np.add.at(total, [i for i, _ in part], q.sum(0))
-    return total / np.maximum(1, np.array([[len(t)] for t in texts]))
+    return total / np.maximum(1, np.array([len(t) for t in texts]).reshape(-1, 1))
 
 
 def held_out(doc_id: str = "doc_id"):
