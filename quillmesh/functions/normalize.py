@@ -107,18 +107,18 @@ def without_identifiers(source: Column) -> Column:
     return reduce(_remove, (IBAN, TAX, IDENTITY, REFERENCE, DATE, TIME), source)
 
 
-def legal_types(source: Column) -> Column:
-    """Names of the legal forms found in turn, each taken out before the next is looked for."""
-    c, found = without_identifiers(source), []
+def legal_types(bare: Column) -> Column:
+    """Names of the legal forms found in turn, each taken out before the next is looked for; ``bare`` as from without_identifiers()."""
+    c, found = bare, []
     for name, pattern in LEGAL_FORMS:
         found.append(F.when(c.rlike(_U + pattern), F.lit(name)))
         c = _remove(c, pattern)
     return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
-def surface(source: Column) -> Column:
-    """What is left of the source when identifiers, legal forms and long numbers are gone, in words of a-z and 0-9."""
-    c = without_identifiers(source)
+def surface(bare: Column) -> Column:
+    """What is left without identifiers when legal forms and long numbers are gone too, in words of a-z and 0-9."""
+    c = bare
     for _, pattern in LEGAL_FORMS:
         c = _remove(c, pattern)
     return F.trim(F.regexp_replace(_remove(c, LONG_NUMBER), "[^a-z0-9]+", " "))
@@ -155,12 +155,12 @@ def normalize(df, text: str = "text", with_nfkc: bool = True):
 
     Null stays null; a blank text has an empty core. The stages are columns of their own, so none is computed twice.
     """
-    s = df.withColumn("_source", ascii_source(F.col(text), with_nfkc)).withColumn("_surface", surface(F.col("_source"))).withColumn("_full", full_tokens(F.col("_surface")))
+    s = df.withColumn("_source", ascii_source(F.col(text), with_nfkc)).withColumn("_bare", without_identifiers(F.col("_source"))).withColumn("_surface", surface(F.col("_bare"))).withColumn("_full", full_tokens(F.col("_surface")))
     return s.select(
         *df.columns,
         F.array_join(without_repeats("_full"), " ").alias("core_text"),
         F.trim(F.regexp_replace("_source", "[^a-z0-9]+", " ")).alias("ascii_text"),
-        legal_types(F.col("_source")).alias("legal_types"),
+        legal_types(F.col("_bare")).alias("legal_types"),
         reference_numbers(F.col("_source")).alias("reference_numbers"),
         removed_tokens(F.col("_surface")).alias("removed_tokens"),
         expansions(F.col("_surface")).alias("expanded_tokens"),
