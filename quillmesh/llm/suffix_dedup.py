@@ -41,6 +41,8 @@ NONE = -(1 << 63)
 BUFFER = 1_000_000
 ORIGIN_ENTRIES = 25_000
 PART_ENTRIES, MAX_PARTS = 40_000, 4096
+#: The residual lookup by anchor hash splits each hash in so many parts, since one may hold a third of all rows.
+SALTS = 64
 #: Most bytes of anchors or spans that are broadcast, counted before; beyond it the texts are shuffled.
 BROADCAST_BYTES = 48_000_000
 #: One up, so that a zero ends a suffix before any byte; no UTF-8 text has a byte 255.
@@ -469,9 +471,11 @@ def _windows(units: DataFrame, settled: DataFrame, blocks: int) -> DataFrame:
             n, c = [len(x) for x in raw], np.concatenate(raw)
             yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), *(pa.array(np.repeat(b.column(k).to_numpy(zero_copy_only=False), n)) for k in (0, 1)), pa.array(np.ascontiguousarray(c[:, 1:]).view("V24").ravel().tolist(), pa.binary())], ["h", "id", "digest", "at"])
 
-    open_ = settled.where("n_open > 0").select("cands").mapInArrow(heads, "h long").distinct()
+    open_ = materialize(settled.where("n_open > 0").select("cands").mapInArrow(heads, "h long").distinct(), "heads")
+    open_ = open_.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = settled.select("id", "digest", "cands").mapInArrow(each, "h long, id long, digest long, at binary")
-    wanted = materialize(_merged(rows.join(open_, "h", "left_semi"), "at"), "open")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "digest", "at"), F.lit(SALTS)).cast("int"))
+    wanted = materialize(_merged(rows.join(open_, ["h", "salt"], "left_semi"), "at"), "open")
     texts = _with_texts(units, wanted, "at", "inner")
 
     def deal(batches):
