@@ -119,34 +119,65 @@ def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
 
     ``full``: int32 pairs (place, -1) of the anchors whose whole context occurs at several places, which settles them.
     ``places``: int32 pairs (place, several) of the anchors to be sorted: one of each context, where contexts differ.
+    Each origin (a slice of a task) deals one entry of each context into the blocks and keeps its anchors, so a context
+    that holds a third of all anchors reaches its block once an origin; the verdicts go back to the origins. The dealt
+    rows are a written table, since origins are named at random.
     """
 
+    kinds = (pa.int32(), pa.string(), *[pa.binary()] * 7)
+    names = ("block", "origin", "h", "c", "entry", "flags", "id", "digest", "place")
+
     def deal(batches):
         for b in slices(batches, 2048):
             ids, digests, texts = _rows(b)
             which, place, h = anchors(texts)
+            if not len(h):
+                continue
             c = np.array([_context(texts[k], p) for k, p in zip(which.tolist(), place.tolist())], np.uint64)
-            order = np.argsort(h)
+            order = np.lexsort((c, h))
             which, place, h, c = which[order], place[order].astype(np.int32), h[order], c[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+            entry = (np.cumsum(new) - 1).astype(np.int32)
+            h, c, several = h[new], c[new], (np.bincount(entry) > 1).astype(np.int8)
             at = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(at, np.arange(blocks + 1))
             some = np.flatnonzero(np.diff(cut)).tolist()
-            col = lambda a: pa.array([a[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), col(h), col(c), col(ids[which]), col(digests[which]), col(place)], ["block", "h", "c", "id", "digest", "place"])
+            col = lambda a: [a[cut[k] : cut[k + 1]].tobytes() for k in some]
+            rows = [(-1, None, None, entry.tobytes(), None, ids[which].astype(np.int64).tobytes(), digests[which].astype(np.int64).tobytes(), place.tobytes())]
+            rows += [(k, *x, None, None, None) for k, x in zip(some, zip(col(h), col(c), col(np.arange(len(h), dtype=np.int32)), col(several)))]
+            block, *rest = zip(*rows)
+            columns = (block, [uuid.uuid4().hex] * len(rows), *rest)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], list(names))
 
     def again(pdf):
-        h, c, i, d, p = (np.frombuffer(b"".join(pdf[x]), k) for x, k in (("h", np.uint64), ("c", np.uint64), ("id", np.int64), ("digest", np.int64), ("place", np.int32)))
-        order = np.lexsort((p, d, i, c, h))
-        h, c, i, d, p = h[order], c[order], i[order], d[order], p[order]
-        new_h = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]]) if len(h) else new_h
+        h, c, e, several = (np.frombuffer(b"".join(pdf[x]), k) for x, k in (("h", np.uint64), ("c", np.uint64), ("entry", np.int32), ("flags", np.int8)))
+        origin = np.repeat(np.arange(len(pdf)), [len(x) // 4 for x in pdf["entry"]])
+        order = np.lexsort((e, origin, c, h))
+        h, c, e, several, origin = h[order], c[order], e[order], several[order], origin[order]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
         group_h, group_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        full = np.bincount(group_c)[group_c] > 1 if len(h) else new_h
-        mixed = np.bincount(group_h, new_c)[group_h] > 1 if len(h) else new_h
-        send = mixed & new_c
-        keep = full | send
-        i, d, p, full, send = i[keep], d[keep], p[keep], full[keep], send[keep]
-        order = np.lexsort((p, d, i))
+        full = np.bincount(group_c, 1 + several)[group_c] > 1
+        send = (np.bincount(group_h, new_c)[group_h] > 1) & new_c
+        flags = (full + 2 * send).astype(np.int8)
+        order = np.flatnonzero(flags)
+        order = order[np.argsort(origin[order], kind="stable")]
+        e, flags, origin = e[order], flags[order], origin[order]
+        some, begin = np.unique(origin, return_index=True)
+        end = np.append(begin[1:], len(origin))
+        trim()
+        return pd.DataFrame({"origin": pdf["origin"].to_numpy()[some], "entry": [e[a:z].tobytes() for a, z in zip(begin, end)], "flags": [flags[a:z].tobytes() for a, z in zip(begin, end)]})
+
+    def home(pdf):
+        """The origin's anchors with the flags of their entries; of an entry to be sorted, the first anchor."""
+        own = pdf["flags"].isna()
+        e, i, d, p = (np.frombuffer(pdf[own].iloc[0][x], k) for x, k in (("entry", np.int32), ("id", np.int64), ("digest", np.int64), ("place", np.int32)))
+        flags = np.zeros(int(e[-1]) + 1, np.int8)
+        flags[np.frombuffer(b"".join(pdf[~own]["entry"]), np.int32)] = np.frombuffer(b"".join(pdf[~own]["flags"]), np.int8)
+        full = flags[e] % 2 == 1
+        send = (flags[e] >= 2) & np.concatenate([[True], e[1:] != e[:-1]])
+        order = np.flatnonzero(full | send)
+        order = order[np.lexsort((p[order], d[order], i[order]))]
         i, d, p, full, send = i[order], d[order], p[order], full[order], send[order]
         begin = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])])) if len(i) else np.zeros(0, int)
         end = np.append(begin[1:], len(i))
@@ -155,8 +186,11 @@ def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
         trim()
         return pd.DataFrame({"id": i[begin], "digest": d[begin], "full": [whole[a:z][full[a:z]].tobytes() for a, z in zip(begin, end)], "places": [sent[a:z][send[a:z]].tobytes() for a, z in zip(begin, end)]})
 
-    dealt = units.mapInArrow(deal, "block int, h binary, c binary, id binary, digest binary, place binary")
-    return dealt.groupBy("block").applyInPandas(again, "id long, digest long, full binary, places binary")
+    dealt = materialize(units.mapInArrow(deal, "block int, origin string, h binary, c binary, entry binary, flags binary, id binary, digest binary, place binary"), "dealt")
+    judged = dealt.where("block >= 0").select("block", "origin", "h", "c", "entry", "flags").groupBy("block").applyInPandas(again, "origin string, entry binary, flags binary")
+    members = dealt.where("block < 0").select("origin", "entry", "flags", "id", "digest", "place")
+    both = members.unionAll(judged.select("origin", "entry", "flags", *(F.lit(None).cast("binary").alias(x) for x in ("id", "digest", "place"))))
+    return both.groupBy("origin").applyInPandas(home, "id long, digest long, full binary, places binary")
 
 
 def _merged(parts: DataFrame, column: str) -> DataFrame:
