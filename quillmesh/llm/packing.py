@@ -5,17 +5,21 @@ the input. The driver solves it over counts and gets patterns (lengths of one se
 get their places by their rank among the pieces of their length, so no group of equal lengths meets in one task.
 
 The solver: best-fit decreasing gives the first incumbent. Bin completion then takes the largest length left,
-enumerates the undominated fillings of the rest of its sequence, least waste first, applies each as often as counts
-allow and branches; a branch ends when its sequences plus the bound on what is left reach the incumbent. The search
-stops at a proven optimum or after ``NODES`` nodes, with the best solution so far, which always holds every piece.
+enumerates all undominated fillings of the rest of its sequence, least waste first, one at a time, and branches on each
+and on how often it is made: as often as counts allow, half of that, down to once. A branch ends when its sequences plus
+the bound on what is left reach the incumbent, or where the same lengths were left before after as few sequences. The
+search stops at a proven optimum, which a tree searched to its end is too, after ``NODES`` nodes, or after ``STEPS``
+steps of the search for fillings, with the best solution so far, which always holds every piece.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ CAPACITY = 1024
 END_ID = 2
 BUCKETS = 64
 NODES = 20_000
-WIDTH = 6
+STEPS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"
 
 
@@ -130,40 +134,53 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int, width: int = WIDTH, steps: int = 400) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` that waste at most ``waste``, least waste and fewest pieces first.
+def fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int, after: tuple | None = None) -> Iterator[tuple[int, tuple[int, ...]] | None]:
+    """(left, pieces) of the undominated fillings of ``room`` that waste at most ``waste``, least waste and fewest pieces first.
 
-    A filling is dominated when a longer piece, or one piece for two of its pieces, fits in place of what it has.
+    A filling is dominated when a longer piece, or one piece for two of its pieces, fits in place of what it has. Each
+    step of the search that gives none is a None. With ``after``, one of the fillings, only those that follow it come.
     """
-    found: list[tuple[int, int, tuple[int, ...]]] = []
-    budget = steps
-    stack = [((), room, len(sizes))]
-    while stack and budget and len(found) < 4 * width:
-        chosen, left, upto = stack.pop()
-        budget -= 1
-        hi = bisect_right(sizes, left, 0, upto)
-        if hi == 0:
-            if left <= waste and not _dominated(chosen, left, sizes, counts):
-                found.append((left, len(chosen), chosen))
-            continue
-        tried = 0
-        more = []
-        at = hi - 1
-        while at >= 0 and tried < 4:
+    sizes_in = sizes[: bisect_right(sizes, room)]
+    reach = [1]  # sums of at most room that sizes[:i] can make, as bits
+    for s in sizes_in:
+        sums, n, step = reach[-1], min(counts[s], room // s), 1
+        while n:
+            sums |= sums << min(step, n) * s & (1 << room + 1) - 1
+            n, step = n - min(step, n), 2 * step
+        reach.append(sums)
+
+    def exact(left: int, chosen: tuple[int, ...], upto: int, total: int, pieces: int, behind: tuple[int, ...] | None):
+        """Adds ``pieces`` from sizes[:upto] of exactly this total to the chosen, those after ``behind``; as deep as lengths differ."""
+        if not pieces:
+            if not total and behind is None:
+                yield None if _dominated(chosen, left, sizes, counts) else (left, chosen)
+            return
+        yield None
+        for at in range(bisect_left(sizes, behind[0] if behind else -(-total // pieces)), min(upto, bisect_right(sizes, total))):
             s = sizes[at]
-            if counts[s] > chosen.count(s):
-                more.append((chosen + (s,), left - s, at + 1 if counts[s] > chosen.count(s) + 1 else at))
-                tried += 1
-            at -= 1
-        if tried == 0 and left <= waste and not _dominated(chosen, left, sizes, counts):
-            found.append((left, len(chosen), chosen))
-        # the remainder that one piece fills exactly is the best try
-        stack.extend(sorted(more, key=lambda x: (counts.get(x[1], 0) > 0, -x[1])))
-    found.sort()
-    return [f for _, _, f in found[:width]]
+            free = at + 1
+            while free < len(sizes) and sizes[free] <= s + left and counts[sizes[free]] <= chosen.count(sizes[free]):
+                free += 1
+            if free == len(sizes) or sizes[free] > s + left:  # else it fits in place of s
+                for n in range(behind.count(s) if behind else 1, min(counts[s], total // s, pieces) + 1):
+                    if reach[at] >> total - n * s & 1:
+                        yield from exact(left, chosen + (s,) * n, at, total - n * s, pieces - n, behind[n:] if behind else None)
+                    behind = None
+            behind = None
+
+    for left in range(after[0] if after else 0, min(waste, room) + 1):
+        total = room - left
+        if reach[-1] >> total & 1:
+            behind = after[1] if after and left == after[0] else None
+            for pieces in range(len(behind) if behind is not None else 0, total // sizes_in[0] + 1 if sizes_in else 1):
+                if pieces * sizes_in[-1] >= total if pieces else not total:
+                    yield from exact(left, (), len(sizes_in), total, pieces, behind)
+                behind = None
 
 
 def _dominated(chosen: tuple[int, ...], left: int, sizes: list[int], counts: dict[int, int]) -> bool:
+    """Whether a longer piece, or one piece for two of its pieces, fits in place of what the filling has."""
+
     def free(lo: int, hi: int) -> bool:
         i = bisect_left(sizes, lo)
         return i < len(sizes) and sizes[i] <= hi and counts[sizes[i]] > chosen.count(sizes[i])
@@ -173,8 +190,8 @@ def _dominated(chosen: tuple[int, ...], left: int, sizes: list[int], counts: dic
     return any(free(a + b, a + b + left) for i, a in enumerate(chosen[:4]) for b in chosen[i + 1 : 5])
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """(patterns with times, lower bound)."""
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(patterns with times, lower bound); the bound is met where the search proved the optimum."""
     counts = {k: c for k, c in counts.items() if c}
     full = counts.pop(capacity, 0)
     best = best_fit_decreasing(counts, capacity)
@@ -183,44 +200,64 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     state = dict(counts)
     sizes = sorted(state)
     mass = sum(k * c for k, c in state.items())
-    trail: list[list] = []  # [fillings still to be tried, the (pattern, times) made]
+    trail: list[list] = []  # [filling last tried, how often it may still be made, the (pattern, times) made]
+    seen: dict[bytes, int] = {}  # what was left, by digest: fewest sequences it was reached with
     used = 0
 
-    def expand() -> list:
-        """Patterns to try for the largest length left; none if the waste bound ends the branch."""
+    def advance(node: list) -> None:
+        """The node's next undominated filling, if any fits the waste bound and the steps left, with its times."""
+        nonlocal steps
         waste = (bins - 1 - used) * capacity - mass
         if waste < 0:
-            return []
+            return
         largest = sizes[-1]
         state[largest] -= 1
-        options = fillings(sizes if state[largest] else sizes[:-1], state, capacity - largest, waste)
+        rest = sizes if state[largest] else sizes[:-1]
+        found = None
+        for found in fillings(rest, state, capacity - largest, waste, node[0]):
+            steps -= 1
+            if found or steps <= 0:
+                break
         state[largest] += 1
-        return [(largest, *f) for f in options]
-
-    while bins > bound and nodes > 0:
+        if found:
+            node[0] = found
+            times = min(state[s] // n for s, n in Counter((largest, *found[1])).items())
+            times = min(times, waste // found[0]) if found[0] else times
+            while times:  # once is among them, so every number of repeats can be made
+                node[1].append(times)
+                times //= 2
+
+    while bins > bound and nodes > 0 and steps > 0:
         if sizes:
-            nodes -= 1
-            trail.append([expand(), None])
-        else:
-            if used < bins:
-                bins, best = used, [made for _, made in trail]
+            key = hashlib.blake2b(np.fromiter(state.values(), np.int64, len(state)).tobytes(), digest_size=16).digest()
+            if used < seen.get(key, bins):
+                seen[key] = used
+                trail.append([None, [], None])
+        elif used < bins:
+            bins, best = used, [made for *_, made in trail]
             if bins <= bound:
                 break
         while trail:  # undo the last choice, and those before it that have no other filling
-            if made := trail[-1][1]:
+            node = trail[-1]
+            if made := node[2]:
                 _take(state, sizes, made, -1)
                 used, mass = used - made[1], mass + sum(made[0]) * made[1]
-                trail[-1][1] = None
-            if trail[-1][0]:
+                node[2] = None
+            if not node[1]:
+                advance(node)
+            if node[1] or steps <= 0:
                 break
             trail.pop()
-        if not trail:
+        if steps <= 0:
+            break
+        if not trail:  # the whole tree is searched
+            bound = bins
             break
-        pattern = trail[-1][0].pop(0)
-        made = (pattern, min(state[s] // n for s, n in Counter(pattern).items()))
+        nodes -= 1
+        made = ((sizes[-1], *node[0][1]), node[1].pop(0))
         _take(state, sizes, made, 1)
-        used, mass = used + made[1], mass - sum(pattern) * made[1]
-        trail[-1][1] = made
+        used, mass = used + made[1], mass - sum(made[0]) * made[1]
+        node[2] = made
     return ([((capacity,), full)] if full else []) + best, bound + full
 
 

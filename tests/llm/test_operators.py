@@ -134,6 +134,19 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert Counter(x for p, n in got for x in p * n) == Counter(items)
 
 
+def test_bin_completion_tries_all_undominated_fillings():
+    items = [460, 450, 440, 430, 420, 350, 340, 330, 320, 310] + [254] * 5
+    got, bound = packing.bin_completion(dict(Counter(items)), 1024)
+    assert sum(n for _, n in got) == 5 == bound
+    assert Counter(x for p, n in got for x in p * n) == Counter(items)
+    counts = {2: 3, 3: 2, 5: 1, 7: 1}
+    every = [f for f in packing.fillings(sorted(counts), counts, 12, 2) if f]
+    ways = ((7,) * a + (5,) * b + (3,) * c + (2,) * d for a in range(2) for b in range(2) for c in range(3) for d in range(4))
+    want = {(12 - sum(f), f) for f in ways if 10 <= sum(f) <= 12 and not packing._dominated(f, 12 - sum(f), sorted(counts), counts)}
+    assert len(every) == len(want) and set(every) == want
+    assert all([x for x in packing.fillings(sorted(counts), counts, 12, 2, f) if x] == every[i + 1 :] for i, f in enumerate(every))
+
+
 def test_encoder():
     e = packing.Encoder()
     from tokenizers import Tokenizer
