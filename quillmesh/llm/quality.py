@@ -58,8 +58,9 @@ class Features:
         found |= {self.number("\1" + p) for p in {w[:k] for w in lower for k in (4, 5) if len(w) >= k}}  # stems of inflected words
         n = max(1, len(words))
         marks = len(_TRAIL.findall(text)) if text else 0
-        letters = max(1, sum(map(str.isalpha, text[:: max(1, len(text) // 2000)]))) if text else 1
-        caps = sum(map(str.isupper, text[:: max(1, len(text) // 2000)])) if text else 0
+        characters = Counter(text or "")
+        letters = max(1, sum(c for x, c in characters.items() if x.isalpha()))
+        caps = sum(c for x, c in characters.items() if x.isupper())
         once = sum(c == 1 for c in tally.values())
         bare = sum(c for w, c in tally.items() if not w[:1].isalnum() and not w[-1:].isalnum())
         size = sum(len(w) * c for w, c in tally.items()) / n

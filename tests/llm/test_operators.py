@@ -238,6 +238,13 @@ def test_quality(spark):
     assert not quality.score(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string"), m).where("keep").count()
 
 
+def test_quality_counts_capitals_of_whole_texts():
+    number = quality.Features()
+    for n in (100, 4000, 50_000):  # every stride over the text meets capitals only, or small letters only
+        found = set(number("Ab" * n).tolist())
+        assert number.number("\0caps5") in found and number.number("\0caps6") not in found
+
+
 def test_ordinal_gradient_reduces_loss():
     r = np.random.default_rng(0)
     x = [r.choice(64, 8, replace=False).astype(np.int32) for _ in range(400)]
