@@ -3,8 +3,8 @@
 Base spans follow fixed patterns and checks and always stay. The patterns alone lose what stands side by side (two card
 numbers with a space between are one run of 32 digits, which fails its check) or is written around a rule ("x at y dot
 com", a number without its plus). Generators therefore propose many overlapping spans; boosted trees, trained here on
-a bounded sample with the base spans as positives and with proposals that contradict every check, or cut into a base
-span, as negatives, score them; per kind, the lowest calibrated probability that kept the wanted precision on held-out
+a bounded sample with the base spans, and base phones rewritten without plus or country code, as positives and with
+proposals that contradict every check, or cut into a positive, as negatives, score them; per kind, the lowest calibrated probability that kept the wanted precision on held-out
 proposals selects spans, best first, which are added where they overlap no span so far.
 """
 
@@ -41,6 +41,8 @@ _AT = re.compile(
 _QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])")
 _RUN = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*")
 _GROUP = re.compile(r"[0-9]+")
+_COUNTRY = re.compile(r"\+[0-9]{1,3}[\x20.-]*(?=[(0-9])")
+_DATE = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)[0-9]{2})(?![0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -114,26 +116,53 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
 
 
 def labelled(text: str) -> list[tuple[list[float], int]]:
-    """Proposals that the patterns judge beyond doubt: base spans are positive; what cuts into one, or fails every check of its kind, is negative."""
+    """Proposals that the patterns judge beyond doubt: base spans are positive; what cuts into one, or fails every check of its kind, is negative.
+
+    Each base phone is also judged as it reads without its plus, and without its country code.
+    """
     base = base_spans(text)
     exact = {(k, s, e) for s, k, e, _ in base}
     out = []
     for k, s, e in proposals(text):
         if (k, s, e) in exact:
             out.append((features(text, k, s, e), 1))
-        elif any(s < b and a < e for a, _, b, _ in base) or not _plausible(k, text[s:e]):
+        elif any(s < b and a < e for a, _, b, _ in base) or not _plausible(k, text, s, e):
             out.append((features(text, k, s, e), 0))
+    for a, k, b, _ in base:
+        if k == 3:
+            for plain in _plain(text[a:b]):
+                near = text[max(0, a - 80) : a] + plain + text[b : b + 80]
+                at = min(a, 80)
+                for kind, s, e in proposals(near):
+                    if s < at + len(plain) and at < e:
+                        out.append((features(near, kind, s, e), int((kind, s, e) == (3, at, at + len(plain)))))
     return out
 
 
-def _plausible(kind: int, span: str) -> bool:
+def _plain(phone: str) -> list[str]:
+    """A phone number without its plus, and without its country code where enough digits are left."""
+    found = [phone[1:]]
+    if (m := _COUNTRY.match(phone)) and valid("phone", phone[m.end() :]):
+        found.append(phone[m.end() :])
+    return found
+
+
+def _plausible(kind: int, text: str, start: int, end: int) -> bool:
+    span = text[start:end]
     if kind == 0:
         return True
     if kind == 3:
-        return span[:1] == "+" and valid("phone", span)
+        return valid("phone", span) and (span[:1] == "+" or _written(text, start, end))
     return valid(KINDS[kind], span)
 
 
+def _written(text: str, start: int, end: int) -> bool:
+    """Whether digits without a plus stand as a phone number may: apart from letters, and in groups or after a word for it, not as a date."""
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum() or _DATE.search(text[start:end]):
+        return False
+    return len(_GROUP.findall(text[start:end])) > 1 or bool(_WORDS[0].search(text[max(0, start - 24) : start]))
+
+
 class Model:
     """The trees, the calibration and each kind's threshold."""
 

@@ -219,6 +219,20 @@ def test_pii_base_and_added():
     assert pii._redact("x a@b.c y", pii.base_spans("x a@b.c y")) == "x [EMAIL] y"
 
 
+def test_pii_adds_phones_without_plus():
+    r = random.Random(5)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    rows = []
+    for _ in range(150):
+        rows += pii.labelled(f"call us at +1 ({digits(3)}) {digits(3)}-{digits(4)} or write, id a{digits(11)}b on 2024-{digits(2)}-{digits(2)} {digits(4)}.")
+    model = pii.Model([rows[i] for i in np.random.default_rng(7).permutation(len(rows))])
+    for phone in ("(487) 555-7209", "1 (487) 555-7209"):
+        s = f"so call us at {phone} today, key x12345678901y."
+        found = pii.proposals(s)
+        p = model.probability(np.array([pii.features(s, *f) for f in found]))
+        assert [(k, s[a:e]) for a, _, e, k in pii.select(s, pii.base_spans(s), found, p, model.threshold)] == [("phone", phone)]
+
+
 def test_pii_query(spark, docs):
     model = pii.train(docs)
     rows = pii.detect(docs, model).collect()
