@@ -32,7 +32,7 @@ SAMPLE_DOCS, SAMPLE_SPANS = 6000, 60_000
 PRECISION = 0.995
 MIN_PROBABILITY = 0.9
 
-_ANY = re.compile(r"[0-9@]|[(\[ ]dot[)\] ]", re.I)
+_ANY = re.compile(r"[0-9@]|[(\[]at[)\]]|[(\[ ]dot[)\] ]", re.I)
 _AT = re.compile(
     r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|\(at\)|\[at\])\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]{2,63}){1,4}"
     r"|[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{2,63}){1,4}",
@@ -83,7 +83,7 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
         groups = [(run.start() + g.start(), run.start() + g.end()) for g in _GROUP.finditer(run.group())]
         for i in range(len(groups)):
             digits = 0
-            for j in range(i, min(len(groups), i + 8)):
+            for j in range(i, len(groups)):
                 digits += groups[j][1] - groups[j][0]
                 if digits > 19:
                     break

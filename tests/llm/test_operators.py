@@ -219,6 +219,14 @@ def test_pii_base_and_added():
     assert pii._redact("x a@b.c y", pii.base_spans("x a@b.c y")) == "x [EMAIL] y"
 
 
+def test_pii_proposals_are_whole():
+    assert all(pii._ANY.search(s) and pii.proposals(s) for s in ("mail jane.doe (at) example.com now", "mail jane.doe [AT] example.com now"))
+    card, other = (" ".join(c) for c in ("4111111111111111", "5500005555555559"))
+    pairs = "12 34 56 78 90 12 34 56 78 9"
+    s = f"{card} {other} and {pairs}."
+    assert {card, other, pairs} <= {s[a:e] for k, a, e in pii.proposals(s) if k == 2}
+
+
 def test_pii_adds_phones_without_plus():
     r = random.Random(5)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
