@@ -203,17 +203,19 @@ def select(text: str, base: list, found: list, p: np.ndarray, threshold: dict) -
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """Trains on at most SAMPLE_DOCS documents, taken evenly by a hash of their text, and SAMPLE_SPANS of their proposals."""
-    n = max(1, docs.count())
-    share = min(1.0, SAMPLE_DOCS / n)
+    """Trains on at most SAMPLE_DOCS different texts, those of the smallest hashes, and SAMPLE_SPANS of their proposals, again by hash."""
+    hashed = need(docs, text).where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # a top-k of hashes
 
     def run(batches):
         for b in slices(batches, 256):
-            rows = [r for t in b.column(0).to_pylist() if t and _ANY.search(t) for r in labelled(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())], ["x", "y"])
+            rows = [(h, k, *r) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if _ANY.search(t) for k, r in enumerate(labelled(t))]
+            types = (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["h", "k", "x", "y"])
 
-    picked = need(docs, text).where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    rows = picked.mapInArrow(run, "x array<double>, y int").limit(SAMPLE_SPANS).collect()
+    picked = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("text").alias("text"))  # copies meet as one before the shuffle
+    found = picked.mapInArrow(run, "h long, k int, x array<double>, y int")
+    rows = found.orderBy(F.xxhash64("h", "k"), "h", "k").limit(SAMPLE_SPANS).select("x", "y").collect()
     rows.sort(key=lambda r: (r["x"], r["y"]))  # the same rows give the same model, in whichever order they came
     mixed = np.random.default_rng(7).permutation(len(rows))
     return Model([(list(rows[i]["x"]), rows[i]["y"]) for i in mixed])

@@ -241,6 +241,22 @@ def test_pii_adds_phones_without_plus():
         assert [(k, s[a:e]) for a, _, e, k in pii.select(s, pii.base_spans(s), found, p, model.threshold)] == [("phone", phone)]
 
 
+def test_pii_sample_is_bounded_and_has_each_text_once(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 40)
+    monkeypatch.setattr(pii, "SAMPLE_SPANS", 50)
+    seen = []
+    monkeypatch.setattr(pii, "Model", seen.append)
+    copies = ["token a12345678901b c12345678901d " * 20] * 100
+    others = [f"mail user{i}@example.com" for i in range(60)]
+    for n in (1, 5):
+        pii.train(spark.createDataFrame([(t,) for t in copies + others], "text string").repartition(n))
+    assert sorted(seen[0]) == sorted(seen[1])
+    assert len(seen[0]) <= 50 and sum(y for _, y in seen[0]) >= 5
+    monkeypatch.setattr(pii, "SAMPLE_SPANS", 60_000)
+    pii.train(spark.createDataFrame([(t,) for t in copies + others], "text string"))
+    assert 39 <= sum(y for _, y in seen[2]) <= 40
+
+
 def test_pii_query(spark, docs):
     model = pii.train(docs)
     rows = pii.detect(docs, model).collect()
