@@ -178,7 +178,7 @@ def extract(source: str | None) -> str:
                 continue
             points = 1 + text.count(",") + min(3.0, len(text) / 100)
             up, share = (n.parent if n.tag in ("p", "pre", "td", "blockquote", "li") else n), 1.0
-            while up is not None and share >= 0.125:
+            while up is not None and share:  # to the root, or till the halves vanish
                 up.score += points * share
                 scored[id(up)] = up
                 up, share = up.parent, share / 2

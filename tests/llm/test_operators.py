@@ -208,6 +208,12 @@ def test_html(page, want):
     assert html_extract.extract(page) == want
 
 
+def test_html_scores_containers_far_above_paragraphs():
+    texts = [f"Paragraph number {i}, of a page, whose container stands far above it." for i in range(40)]
+    page = "<body><div>" + "".join("<div>" * 5 + f"<p>{t}</p>" + "</div>" * 5 for t in texts) + "</div></body>"
+    assert html_extract.extract(page) == "\n".join(texts)
+
+
 def test_pii_base_and_added():
     card, other = "4111111111111111", "5500005555555559"
     s = f"a.b@c.de x 1.2.3.4 y 1.2.3.999 or {card} and +1 (487) 555-7209."
