@@ -4,18 +4,18 @@ A byte goes when a string of SPAN bytes over it also starts anywhere else. Any t
 same least K-byte hash (leftmost on ties) at the same place, so only suffixes at such anchors, one in about SPAN / 2
 bytes, need sorting; anchors whose K bytes occur once in the corpus are left out after a first exchange of hashes.
 
-The suffix at an anchor is cut at SPAN bytes and followed by the SPAN - K bytes before it, reversed; a second order has
-the two parts the other way round. Every task sorts its suffixes, collapses equal ones and sends, for each range of the
-order, one front-coded run (common prefix with the one before, and the rest). A range merges its runs with a loser tree
-whose players remember their common prefix with the last output, so no known prefix is compared again, and which yields
-the common prefixes of neighbours. Next neighbours in the first order give the longest match to the right, r1, and its
-match to the left, l1; in the second order l2 and r2. If both matches have SPAN bytes (or one does and reaches as far
-both ways), exactly the bytes from l2 before the anchor to r1 after it are repeated there; if r1 + l2 < SPAN, none are. What
-remains open, where different partners trade left against right, is settled by the windows themselves.
-
-Anchors whose whole context is repeated are settled by the first exchange, and only one of each context is sorted, where
-other contexts share its K bytes. Ranges are cut by the whole key, and each task sends one suffix beyond
-either end of a range, so neighbours across ranges are seen and no group of equal K bytes has to meet in one task.
+The suffix at an anchor is cut at SPAN bytes and followed by the SPAN - K bytes before it, reversed. Every task sorts its
+suffixes, collapses equal ones and sends, for each range of the order, one front-coded run (common prefix with the one
+before, and the rest). A range merges its runs with a loser tree whose players remember their common prefix with the
+last output, so no known prefix is compared again, and which yields the common prefixes of neighbours: they say which
+contexts are repeated as a whole and how far the others match. One of each context that is still open, or that may be
+the partner of one, goes into runs of a second order, with the two parts the other way round, straight out of the first
+merge; its merge settles the rest but for what different partners trade left against right. That remainder is
+settled by the windows themselves.
+
+Ranges are cut by the whole key, and each run brings one suffix beyond either end of its range, so neighbours across
+ranges are seen and no group of equal K bytes has to meet in one task. A context that a third of all rows hold reaches
+its range once a run.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,10 @@ WINDOW = SPAN - K + 1
 KEY = SPAN + LEFT
 NONE = -(1 << 63)
 BUFFER = 1_000_000
-ORIGIN_ENTRIES = 25_000
-PART_ENTRIES, MAX_PARTS = 40_000, 4096
+#: Different suffixes of a run over all its ranges: more when there are many ranges, so that each keeps several.
+ORIGIN_ENTRIES, MOST_ORIGIN_ENTRIES = 25_000, 200_000
+#: Suffixes of a range. Beyond PART_ENTRIES * MAX_PARTS (2e9 of them, over 0.3 TB of repeated text) ranges grow instead of their number.
+PART_ENTRIES, MAX_PARTS = 40_000, 50_000
 #: The residual lookup by anchor hash splits each hash in so many parts, since one may hold a third of all rows.
 SALTS = 64
 #: Most bytes of anchors or spans that are broadcast, counted before; beyond it the texts are shuffled.
@@ -109,23 +113,66 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(2).to_pylist()]
 
 
-def _context(text: bytes, place: int) -> int:
-    """A 64-bit hash of all that a key of the anchor holds; only anchors of equal K bytes are compared by it."""
-    return xxhash.xxh3_64_intdigest(text[max(0, place - LEFT) : place + SPAN], min(place, LEFT))
+def _spread(keys: np.ndarray, several: np.ndarray, member: bytes, blocks: int) -> pa.RecordBatch:
+    """One origin's share of an exchange: its different keys (sorted rows of uint64), dealt by their first word, and what stays with it."""
+    at = ((keys[:, 0] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    cut = np.searchsorted(at, np.arange(blocks + 1))
+    some = np.flatnonzero(np.diff(cut)).tolist()
+    entry, flags = np.arange(len(keys), dtype=np.int32), several.astype(np.int8)
+    col = lambda a: [None, *(a[cut[k] : cut[k + 1]].tobytes() for k in some)]
+    columns = ([-1, *some], [uuid.uuid4().hex] * (len(some) + 1), col(keys), col(entry), col(flags), [member, *[None] * len(some)])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), *[pa.binary()] * 4))], EXCHANGE_NAMES)
 
 
-def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
-    """(id, digest, full binary, places binary) of the anchors whose K bytes occur at several places.
+EXCHANGE = "block int, origin string, keys binary, entry binary, flags binary, member binary"
+EXCHANGE_NAMES = [f.split()[0] for f in EXCHANGE.split(", ")]
+
 
-    ``full``: int32 pairs (place, -1) of the anchors whose whole context occurs at several places, which settles them.
-    ``places``: int32 pairs (place, several) of the anchors to be sorted: one of each context, where contexts differ.
-    Each origin (a slice of a task) deals one entry of each context into the blocks and keeps its anchors, so a context
-    that holds a third of all anchors reaches its block once an origin; the verdicts go back to the origins. The dealt
-    rows are a written table, since origins are named at random.
+def _exchange(dealt: DataFrame, words: int, home, schema: str, name: str) -> DataFrame:
+    """home(member, numbers of the origin's keys that occur at several places), for each origin.
+
+    Each origin sends a key once, with a mark if it has it several times itself, so a key that a third of all rows hold
+    reaches its block once an origin. The dealt rows are a written table, since origins are named at random.
     """
+    dealt = materialize(dealt, name)
+
+    def judge(pdf):
+        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64).reshape(-1, words)
+        entry, several = (np.frombuffer(b"".join(pdf[c]), k) for c, k in (("entry", np.int32), ("flags", np.int8)))
+        origin = np.repeat(np.arange(len(pdf)), [len(x) // 4 for x in pdf["entry"]])
+        order = np.lexsort(tuple(keys[:, w] for w in reversed(range(words))))
+        same = (keys[order][1:] == keys[order][:-1]).all(1)
+        again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (several[order] > 0)
+        order = np.sort(order[again])
+        some, begin = np.unique(origin[order], return_index=True)
+        end = np.append(begin[1:], len(order))
+        trim()
+        return pd.DataFrame({"origin": pdf["origin"].to_numpy()[some], "entry": [entry[order[a:z]].tobytes() for a, z in zip(begin, end)]})
+
+    def back(pdf):
+        own = pdf["entry"].isna()
+        out = home(pdf[own].iloc[0]["member"], np.frombuffer(b"".join(pdf[~own]["entry"]), np.int32))
+        trim()
+        return out
 
-    kinds = (pa.int32(), pa.string(), *[pa.binary()] * 7)
-    names = ("block", "origin", "h", "c", "entry", "flags", "id", "digest", "place")
+    judged = dealt.where("block >= 0").select("block", "origin", "keys", "entry", "flags").groupBy("block").applyInPandas(judge, "origin string, entry binary")
+    both = dealt.where("block < 0").select("origin", F.lit(None).cast("binary").alias("entry"), "member").unionAll(judged.select("origin", "entry", F.lit(None).cast("binary").alias("member")))
+    return both.groupBy("origin").applyInPandas(back, schema)
+
+
+def _different(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different rows, whether each occurs several times, and each row's number among them."""
+    if not len(rows):
+        return rows, np.zeros(0, bool), np.zeros(0, np.int64)
+    order = np.lexsort(tuple(rows[:, w] for w in reversed(range(rows.shape[1]))))
+    new = np.concatenate([[True], (rows[order][1:] != rows[order][:-1]).any(1)])
+    number = np.empty(len(rows), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return np.ascontiguousarray(rows[order][new]), np.bincount(number) > 1, number
+
+
+def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
+    """(id, digest, places binary): the int32 places of the anchors whose K bytes occur at several places."""
 
     def deal(batches):
         for b in slices(batches, 2048):
@@ -133,68 +180,30 @@ def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
             which, place, h = anchors(texts)
             if not len(h):
                 continue
-            c = np.array([_context(texts[k], p) for k, p in zip(which.tolist(), place.tolist())], np.uint64)
-            order = np.lexsort((c, h))
-            which, place, h, c = which[order], place[order].astype(np.int32), h[order], c[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-            entry = (np.cumsum(new) - 1).astype(np.int32)
-            h, c, several = h[new], c[new], (np.bincount(entry) > 1).astype(np.int8)
-            at = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-            cut = np.searchsorted(at, np.arange(blocks + 1))
-            some = np.flatnonzero(np.diff(cut)).tolist()
-            col = lambda a: [a[cut[k] : cut[k + 1]].tobytes() for k in some]
-            rows = [(-1, None, None, entry.tobytes(), None, ids[which].astype(np.int64).tobytes(), digests[which].astype(np.int64).tobytes(), place.tobytes())]
-            rows += [(k, *x, None, None, None) for k, x in zip(some, zip(col(h), col(c), col(np.arange(len(h), dtype=np.int32)), col(several)))]
-            block, *rest = zip(*rows)
-            columns = (block, [uuid.uuid4().hex] * len(rows), *rest)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], list(names))
-
-    def again(pdf):
-        h, c, e, several = (np.frombuffer(b"".join(pdf[x]), k) for x, k in (("h", np.uint64), ("c", np.uint64), ("entry", np.int32), ("flags", np.int8)))
-        origin = np.repeat(np.arange(len(pdf)), [len(x) // 4 for x in pdf["entry"]])
-        order = np.lexsort((e, origin, c, h))
-        h, c, e, several, origin = h[order], c[order], e[order], several[order], origin[order]
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-        group_h, group_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        full = np.bincount(group_c, 1 + several)[group_c] > 1
-        send = (np.bincount(group_h, new_c)[group_h] > 1) & new_c
-        flags = (full + 2 * send).astype(np.int8)
-        order = np.flatnonzero(flags)
-        order = order[np.argsort(origin[order], kind="stable")]
-        e, flags, origin = e[order], flags[order], origin[order]
-        some, begin = np.unique(origin, return_index=True)
-        end = np.append(begin[1:], len(origin))
-        trim()
-        return pd.DataFrame({"origin": pdf["origin"].to_numpy()[some], "entry": [e[a:z].tobytes() for a, z in zip(begin, end)], "flags": [flags[a:z].tobytes() for a, z in zip(begin, end)]})
-
-    def home(pdf):
-        """The origin's anchors with the flags of their entries; of an entry to be sorted, the first anchor."""
-        own = pdf["flags"].isna()
-        e, i, d, p = (np.frombuffer(pdf[own].iloc[0][x], k) for x, k in (("entry", np.int32), ("id", np.int64), ("digest", np.int64), ("place", np.int32)))
-        flags = np.zeros(int(e[-1]) + 1, np.int8)
-        flags[np.frombuffer(b"".join(pdf[~own]["entry"]), np.int32)] = np.frombuffer(b"".join(pdf[~own]["flags"]), np.int8)
-        full = flags[e] % 2 == 1
-        send = (flags[e] >= 2) & np.concatenate([[True], e[1:] != e[:-1]])
-        order = np.flatnonzero(full | send)
-        order = order[np.lexsort((p[order], d[order], i[order]))]
-        i, d, p, full, send = i[order], d[order], p[order], full[order], send[order]
-        begin = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])])) if len(i) else np.zeros(0, int)
-        end = np.append(begin[1:], len(i))
-        whole = np.column_stack([p, np.full(len(p), -1)]).astype(np.int32)
-        sent = np.column_stack([p, full]).astype(np.int32)
-        trim()
-        return pd.DataFrame({"id": i[begin], "digest": d[begin], "full": [whole[a:z][full[a:z]].tobytes() for a, z in zip(begin, end)], "places": [sent[a:z][send[a:z]].tobytes() for a, z in zip(begin, end)]})
-
-    dealt = materialize(units.mapInArrow(deal, "block int, origin string, h binary, c binary, entry binary, flags binary, id binary, digest binary, place binary"), "dealt")
-    judged = dealt.where("block >= 0").select("block", "origin", "h", "c", "entry", "flags").groupBy("block").applyInPandas(again, "origin string, entry binary, flags binary")
-    members = dealt.where("block < 0").select("origin", "entry", "flags", "id", "digest", "place")
-    both = members.unionAll(judged.select("origin", "entry", "flags", *(F.lit(None).cast("binary").alias(x) for x in ("id", "digest", "place"))))
-    return both.groupBy("origin").applyInPandas(home, "id long, digest long, full binary, places binary")
+            keys, several, number = _different(h[:, None])
+            begin = np.flatnonzero(np.diff(which, prepend=-1))
+            docs = np.column_stack([ids[which[begin]], digests[which[begin]], np.diff(np.append(begin, len(which)))]).astype(np.int64)
+            member = len(docs).to_bytes(8, "little") + docs.tobytes() + np.stack([number, place]).astype(np.int32).tobytes()
+            yield _spread(keys, several, member, blocks)
+
+    def home(member, repeated):
+        n = int.from_bytes(member[:8], "little")
+        docs = np.frombuffer(member, np.int64, 3 * n, 8).reshape(n, 3)
+        number, place = np.frombuffer(member, np.int32, offset=8 + docs.nbytes).reshape(2, -1)
+        flag = np.zeros(int(number.max()) + 1, bool)
+        flag[repeated] = True
+        keep = flag[number]
+        end = np.cumsum(docs[:, 2])
+        places = [place[a:z][keep[a:z]].tobytes() for a, z in zip(end - docs[:, 2], end)]
+        out = pd.DataFrame({"id": docs[:, 0], "digest": docs[:, 1], "places": places})
+        return out[[bool(p) for p in places]]
+
+    return _exchange(units.mapInArrow(deal, EXCHANGE), 1, home, "id long, digest long, places binary", "dealt")
 
 
 def _merged(parts: DataFrame, column: str) -> DataFrame:
-    return parts.groupBy("id", "digest").agg(F.collect_list(column).alias(column))
+    """One row for each text; a set, since rows that repeat as a whole say the same again."""
+    return parts.groupBy("id", "digest").agg(F.collect_set(column).alias(column))
 
 
 def _with_texts(units: DataFrame, other: DataFrame, column: str, how: str) -> DataFrame:
@@ -203,10 +212,16 @@ def _with_texts(units: DataFrame, other: DataFrame, column: str, how: str) -> Da
     return units.join(F.broadcast(other) if size <= BROADCAST_BYTES else other, ["id", "digest"], how).select("id", "digest", "text", column)
 
 
-def _keys(text: bytes, place: int) -> tuple[bytes, bytes, int, int]:
-    right = text[place : place + SPAN]
-    left = text[max(0, place - LEFT) : place][::-1]
-    return right.translate(_UP).ljust(SPAN, b"\0"), left.translate(_UP).ljust(LEFT, b"\0"), len(right), len(left)
+def _contexts(text: bytes, places: list[int]):
+    """(place, right part, left part reversed) of anchors, ready to sort."""
+    up = text.translate(_UP)
+    back, n = up[::-1], len(up)
+    for p in places:
+        yield p, up[p : p + SPAN], back[n - p : n - p + LEFT]
+
+
+def _key(one: bytes, first: int, two: bytes, second: int) -> bytes:
+    return one.ljust(first, b"\0") + two.ljust(second, b"\0")
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -275,134 +290,217 @@ class LoserTree:
             self.winner = cur
 
 
-RUNS = "kind int, side int, part int, origin string, payload binary, info binary, ids binary, digests binary, places binary"
+#: What a run says of a suffix: where it stands, the lengths of its parts, SEVERAL | BORDER | WANT, and its match to the right.
+ENTRY = np.dtype([("id", "<i8"), ("digest", "<i8"), ("place", "<i4"), ("right", "<u2"), ("left", "<u2"), ("flags", "<u2"), ("r1", "<u2"), ("l1", "<u2")])
+ID, DIGEST, PLACE, RIGHT, LEFT_, FLAGS, R1, L1 = range(8)
+SEVERAL, BORDER, WANT = 1, 2, 4
+RUNS = "part int, payload binary, info binary"
+
+
+def _coded(keys: list[bytes], items: list[tuple], splitters: list[bytes]):
+    """The sorted suffixes as front-coded runs (part, payload, info), one for each range, with the next suffix beyond either end."""
+    cut = [0, *(bisect_left(keys, s) for s in splitters), len(keys)]
+    info = np.array(items, ENTRY)
+    press = zstandard.ZstdCompressor(level=3)
+    for part in range(len(cut) - 1):
+        a, z = max(0, cut[part] - 1), min(len(keys), cut[part + 1] + 1)
+        if a >= z:
+            continue
+        lcps = [0, *(common(keys[k - 1], keys[k]) for k in range(a + 1, z))]
+        rest = b"".join(keys[k][c:] for k, c in zip(range(a, z), lcps))
+        own = info[a:z].copy()
+        own["flags"][: cut[part] - a] |= BORDER
+        own["flags"][cut[part + 1] - a :] |= BORDER
+        yield part, press.compress(np.array(lcps, np.uint16).tobytes() + rest), own.tobytes()
 
 
-def _runs(rows, splitters):
-    """The runs and the places of one origin: entries are distinct contexts of its anchors."""
-    entries: dict[tuple, list] = {}
-    origin = uuid.uuid4().hex
-    out = []
+def _read_run(payload: bytes, info: bytes):
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    items = np.frombuffer(info, ENTRY).tolist()
+    at, key = 2 * len(items), b""
+    for c, f in zip(np.frombuffer(raw, np.uint16, len(items)).tolist(), items):
+        end = at + KEY - c
+        key = key[:c] + raw[at:end]
+        at = end
+        yield key, f, c
+
+
+def _runs(rows, splitters: list[bytes], spread: int, limit: int):
+    """The runs of a task, each from about ``limit`` different suffixes; equal ones are collapsed.
+
+    What a run holds several times is settled there: all its places go out at once, in packets of negative parts.
+    """
+    entries: dict[bytes, list] = {}
+    whole: set[tuple] = set()
 
     def flush():
-        nonlocal origin
-        items = list(entries.items())
-        where = [(e, i, d, p) for e, (_, at) in enumerate(items) for i, d, p, _ in at]
-        cols = [np.array([w[k] for w in where], np.int64).tobytes() for k in range(4)]
-        head = np.array([xxhash.xxh3_64_intdigest(k[0][:K]) for k, _ in items], np.uint64).tobytes()
-        out.append((1, 0, 0, origin, head, cols[0], cols[1], cols[2], cols[3]))
-        for side in (0, 1):
-            keys = [(k[0] + k[1]) if side == 0 else (k[1] + k[0]) for k, _ in items]
-            order = sorted(range(len(keys)), key=keys.__getitem__)
-            cut = [0]
-            for s in splitters[side]:
-                lo, hi = cut[-1], len(order)
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid + 1, hi) if keys[order[mid]] < s else (lo, mid)
-                cut.append(lo)
-            cut.append(len(order))
-            for part in range(len(cut) - 1):
-                a, z = max(0, cut[part] - 1), min(len(order), cut[part + 1] + 1)
-                if a == z:
-                    continue
-                lcps, rest, info, before = [], [], [], b""
-                for pos in range(a, z):
-                    e = order[pos]
-                    c = common(before, keys[e])
-                    lcps.append(c)
-                    rest.append(keys[e][c:])
-                    before = keys[e]
-                    k, at = items[e]
-                    info += [e, k[2], k[3], len(at) > 1 or bool(at[0][3]), not cut[part] <= pos < cut[part + 1]]
-                out.append((0, side, part, origin, zlib.compress(np.array(lcps, np.uint16).tobytes() + b"".join(rest), 1), np.array(info, np.int32).tobytes(), None, None, None))
+        keys = sorted(entries)
+        if whole:
+            got = np.array(sorted(whole), PLACES)
+            yield -1 - zlib.crc32(got.tobytes()) % spread, got.tobytes(), None
+        yield from _coded(keys, [tuple(entries[k]) for k in keys], splitters)
         entries.clear()
-        origin = uuid.uuid4().hex
+        whole.clear()
 
     for i, d, text, places in rows:
-        for p, several in places:
-            entries.setdefault(_keys(text, p), []).append((i, d, p, several))
-        if len(entries) >= ORIGIN_ENTRIES:
-            flush()
-            yield from out
-            out.clear()
+        for p, right, left in _contexts(text, places):
+            key = _key(right, SPAN, left, LEFT)
+            e = entries.get(key)
+            if e is None:
+                entries[key] = [i, d, p, len(right), len(left), 0, 0, 0]
+            else:
+                e[FLAGS] = SEVERAL
+                whole.update(((e[ID], e[DIGEST], e[PLACE]), (i, d, p)))
+        if len(entries) >= limit or len(whole) >= 8 * limit:
+            yield from flush()
     if entries:
-        flush()
-    yield from out
-
-
-def _read_run(origin: str, payload: bytes, info: bytes):
-    payload = zlib.decompress(payload)
-    info = np.frombuffer(info, np.int32).reshape(-1, 5).tolist()
-    lcps = np.frombuffer(payload, np.uint16, len(info)).tolist()
-    at, key = 2 * len(info), b""
-    for c, f in zip(lcps, info):
-        key = key[:c] + payload[at : at + KEY - c]
-        at += KEY - c
-        yield key, (f, origin), c
-
-
-def merge(runs: list[tuple[str, bytes, bytes]], side: int) -> dict[str, list]:
-    """For each origin the entries with (longest first part, second part with it) from the neighbours in this order."""
-    first, second = (SPAN, LEFT) if side == 0 else (LEFT, SPAN)
-    out: dict[str, list] = {}
-
-    def match(c: int, key: bytes, f: list, other: bytes, g: list) -> tuple[int, int]:
-        """(first, second) common lengths within the texts' ends."""
-        a, b = (1, 2) if side == 0 else (2, 1)
-        one = min(c, first, f[a], g[a])
-        two = c - first if c >= first else common(key[first:], other[first:])
-        return one, min(two, f[b], g[b], second)
-
-    def close(cur, nxt):
-        key, f, origin, best = cur
-        a, b = (1, 2) if side == 0 else (2, 1)
-        if f[3]:
-            best = (f[a], f[b])
-        if nxt is not None:
-            best = max(best, nxt)
-        if not f[4]:
-            out.setdefault(origin, []).append((f[0], *best))
+        yield from flush()
+
+
+PLACES = np.dtype([("id", "<i8"), ("digest", "<i8"), ("place", "<i4")])
+
+
+def merge_right(runs: list[tuple[bytes, bytes]]) -> tuple[list[tuple], list[tuple[bytes, tuple]]]:
+    """Merges one range by (right, left): ((id, digest, start, end) stretches, or end -1 for a whole context; the suffixes for the other order).
+
+    Equal suffixes are repeated as a whole. Of others, the neighbours give the longest match to the right, r1, and its
+    match to the left, l1; [place - l1, place + r1) is all that is repeated if l1 can't be longer. Only one of each
+    suffix goes on, and only where another shares its K bytes and one of those is still open.
+    """
+    stretches: list[tuple] = []
+    on: list[tuple[bytes, tuple]] = []
+    near: list[tuple[bytes, tuple]] = []  # of one group of equal K bytes
+    open_ = border = False
+
+    def match(c: int, key: bytes, f: tuple, other: bytes, g: tuple) -> tuple[int, int]:
+        right, left = min(c, f[RIGHT], g[RIGHT]), min(f[LEFT_], g[LEFT_])
+        if right + left < SPAN:
+            return right, 0
+        return right, min(left, c - SPAN if c >= SPAN else common(key[SPAN:], other[SPAN:]))
+
+    def close(cur: list, after: tuple[int, int], c: int) -> None:
+        nonlocal near, open_, border
+        key, f, members, n, several, before = cur
+        if not members:
+            border = True
+        else:
+            f = members[0]
+            if n > 1 or several:
+                r1, l1, want = f[RIGHT], f[LEFT_], False
+                stretches.extend((m[ID], m[DIGEST], m[PLACE], -1) for m in members if not m[FLAGS] & SEVERAL)
+            else:
+                r1, l1 = max(before, after)
+                want = r1 + f[LEFT_] >= SPAN
+                if want and r1 + l1 >= SPAN and l1 == f[LEFT_]:
+                    want = False
+                    stretches.append((f[ID], f[DIGEST], f[PLACE] - l1, f[PLACE] + r1))
+            if r1 + f[LEFT_] >= SPAN:
+                near.append((key, (*f[:FLAGS], WANT * want, r1, l1)))
+                open_ |= want
+        if c < K:
+            if border or open_ and len(near) > 1:
+                on.extend(near)
+            near, open_, border = [], False, False
 
     cur = None
-    tree = LoserTree([_read_run(*r) for r in runs])
-    for c, key, (f, origin) in tree:
-        if cur is None:
-            cur = (key, f, origin, (0, 0))
-            continue
-        if f[4] and origin == cur[2] and f[0] == cur[1][0]:
-            continue
-        m = match(c, key, f, cur[0], cur[1])
-        close(cur, m)
-        cur = (key, f, origin, m)
+    for c, key, f in LoserTree([_read_run(*r) for r in runs]):
+        if cur is not None and c == KEY:
+            cur[3] += 1
+        else:
+            m = (0, 0)
+            if cur is not None:
+                m = match(c, key, f, cur[0], cur[1])
+                close(cur, m, c)
+            cur = [key, f, [], 1, 0, m]
+        cur[4] |= f[FLAGS] & SEVERAL
+        if not f[FLAGS] & BORDER:
+            cur[2].append(f)
+    if cur is not None:
+        close(cur, (0, 0), 0)
+    return stretches, on
+
+
+def merge_left(runs: list[tuple[bytes, bytes]]) -> tuple[list[tuple], list[tuple]]:
+    """Merges one range by (left, right): (stretches, windows (head, id, digest, first, last, open)).
+
+    The neighbours give the longest match to the left, l2, and its match to the right, r2. If both matches have SPAN
+    bytes, or one does and reaches as far both ways, exactly the bytes from l2 before the anchor to r1 after it are
+    repeated there; if r1 + l2 < SPAN, none are. Where different partners trade left against right, it is open.
+    """
+    stretches: list[tuple] = []
+    windows: list[tuple] = []
+
+    def match(c: int, key: bytes, f: tuple, other: bytes, g: tuple) -> tuple[int, int]:
+        left, right = min(c, f[LEFT_], g[LEFT_]), min(f[RIGHT], g[RIGHT])
+        if left + right < SPAN:
+            return left, 0
+        return left, min(right, c - LEFT if c >= LEFT else common(key[LEFT:], other[LEFT:]))
+
+    def close(key: bytes, f: tuple, best: tuple[int, int]) -> None:
+        if f[FLAGS] & BORDER:
+            return
+        i, d, p, r1, l1 = f[ID], f[DIGEST], f[PLACE], f[R1], f[L1]
+        l2, unsure = f[LEFT_], False
+        if f[FLAGS] & WANT:
+            l2, r2 = best
+            q1, q2 = r1 + l1 >= SPAN, r2 + l2 >= SPAN
+            if q1 and q2 or q1 and l1 == l2 or q2 and r1 == r2:
+                stretches.append((i, d, p - l2, p + r1))
+            else:
+                unsure = r1 + l2 >= SPAN
+                if q1:
+                    stretches.append((i, d, p - l1, p + r1))
+                elif q2:
+                    stretches.append((i, d, p - l2, p + r2))
+        if r1 + l2 >= SPAN:
+            windows.append((xxhash.xxh3_64_intdigest(key[LEFT : LEFT + K]) - (1 << 63), i, d, p - l2, p + r1 - SPAN, unsure))
+
+    cur = None
+    for c, key, f in LoserTree([_read_run(*r) for r in runs]):
+        m = (0, 0)
+        if cur is not None:
+            m = match(c, key, f, cur[0], cur[1])
+            close(cur[0], cur[1], max(cur[2], m))
+        cur = (key, f, m)
     if cur is not None:
-        close(cur, None)
-    return out
+        close(*cur)
+    return stretches, windows
+
+
+def _by_text(stretches: list[tuple]) -> dict[str, list]:
+    """Columns (id, digest, spans): int32 pairs of each text."""
+    by: dict[tuple, list] = {}
+    for i, d, a, z in stretches:
+        by.setdefault((i, d), []).append((a, z))
+    return {"id": [i for i, _ in by], "digest": [d for _, d in by], "spans": [np.array(sorted(set(v)), np.int32).tobytes() for v in by.values()]}
 
 
 def spans(units: DataFrame) -> DataFrame:
     """(id, digest, spans array<binary>): the repeated stretches as int32 pairs [start, end), not yet united; (place, -1) for a repeated context."""
     spark = units.sparkSession
     size = units.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(4 * parallelism(spark), size // 200_000_000)
-    raw = materialize(repeated_anchors(units, int(blocks)), "anchors")
-    found = materialize(_merged(raw.where("octet_length(places) > 0"), "places"), "places")
-    total = raw.agg(F.sum(F.octet_length("places") / 8)).first()[0] or 0
+    blocks = int(max(4 * parallelism(spark), size // 200_000_000))
+    found = materialize(_merged(repeated_anchors(units, blocks), "places"), "places")
+    total = (found.agg(F.sum(F.aggregate("places", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0) // 4
     parts = int(min(MAX_PARTS, max(parallelism(spark), total // PART_ENTRIES)))
+    limit = int(min(MOST_ORIGIN_ENTRIES, max(ORIGIN_ENTRIES, 4 * parts)))
     texts = _with_texts(units, found, "places", "inner")
 
     def unpack(batches):
         for b in slices(batches, 64):
             ids, digests, raw = _rows(b)
             for i, d, t, ps in zip(ids.tolist(), digests.tolist(), raw, b.column(3).to_pylist()):
-                yield i, d, t, np.frombuffer(b"".join(ps), np.int32).reshape(-1, 2).tolist()
+                yield i, d, t, np.frombuffer(b"".join(ps), np.int32).tolist()
 
     every = max(1, int(total // (8 * parts)))
 
     def sample(batches):
         for b in slices(batches, 64):
-            got = [_keys(t, p) for i, _, t, ps in unpack([b]) for p, _ in ps if (i * 2654435761 + p * 40503) % 1000003 % every == 0]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] + k[1] for k in got], pa.binary()), pa.array([k[1] + k[0] for k in got], pa.binary())], ["a", "b"])
+            got = []
+            for i, _, t, ps in unpack([b]):
+                if some := [p for p in ps if (i * 2654435761 + p * 40503) % 1000003 % every == 0]:
+                    got += [(_key(r, SPAN, le, LEFT), _key(le, LEFT, r, SPAN)) for _, r, le in _contexts(t, some)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     keys = texts.mapInArrow(sample, "a binary, b binary").collect()  # about 8 for each range
     cuts = [sorted(bytes(r[s]) for r in keys) for s in (0, 1)]
@@ -410,72 +508,56 @@ def spans(units: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(cuts)
 
     def run(batches):
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 5]
-        names = [f.split()[0] for f in RUNS.split(", ")]
         held = []
-        for row in _runs(unpack(batches), sent.value):
+        for row in _runs(unpack(batches), sent.value[0], parts, limit):
             held.append(row)
             if len(held) >= 64:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+                yield _packets(held)
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+            yield _packets(held)
 
-    runs = materialize(texts.mapInArrow(run, RUNS), "runs")
-
-    def merging(pdf):
-        side = int(pdf["side"].iloc[0])
-        got = merge(list(zip(pdf["origin"], pdf["payload"], pdf["info"])), side)
-        trim()
-        return pd.DataFrame({"kind": [0] * len(got), "side": [side] * len(got), "origin": list(got), "payload": [np.array(v, np.int32).tobytes() for v in got.values()]})
-
-    results = runs.where("kind = 0").groupBy("side", "part").applyInPandas(merging, "kind int, side int, origin string, payload binary")
-    both = results.select("origin", "side", "payload", *(F.lit(None).cast("binary").alias(c) for c in ("info", "ids", "digests", "places"))).unionAll(
-        runs.where("kind = 1").select("origin", F.lit(2).alias("side"), "payload", "info", "ids", "digests", "places")
-    )
-
-    def settle(pdf):
-        where = pdf[pdf["side"] == 2].iloc[0]
-        e, i, d, p = (np.frombuffer(where[c], np.int64) for c in ("info", "ids", "digests", "places"))
-        n = int(e.max()) + 1
-        point = np.zeros((2, n, 2), np.int64)
-        for s, raw in zip(pdf["side"], pdf["payload"]):
-            if s < 2:
-                v = np.frombuffer(raw, np.int32).reshape(-1, 3)
-                point[s, v[:, 0]] = v[:, 1:]
-        r1, l1, l2, r2 = point[0, :, 0], point[0, :, 1], point[1, :, 0], point[1, :, 1]
-        q1, q2 = r1 + l1 >= SPAN, r2 + l2 >= SPAN
-        sure = q1 & q2 | q1 & (l1 == l2) | q2 & (r1 == r2)
-        unsure = ~sure & (r1 + l2 >= SPAN)
-        left = np.where(sure, l2, np.where(q1, l1, np.where(q2, l2, 0)))
-        right = np.where(sure, r1, np.where(q1, r1, np.where(q2, r2, 0)))
-        has = (sure | q1 | q2)[e]
-        head = np.frombuffer(where["payload"], np.int64)
-        has = (sure | q1 | q2)[e]
-        near = (r1 + l2 >= SPAN)[e]
-        order = np.lexsort((p, d, i))
-        order = order[has[order] | near[order]]
-        e, i, d, p = e[order], i[order], d[order], p[order]
-        begin = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])])) if len(i) else np.zeros(0, int)
-        out = []
-        for a, z in zip(begin.tolist(), np.append(begin[1:], len(i)).tolist()):
-            x = e[a:z]
-            some = has[order[a:z]]
-            stretch = _union(p[a:z][some] - left[x][some], p[a:z][some] + right[x][some])
-            some = near[order[a:z]]
-            x, at = x[some], p[a:z][some]
-            cands = np.column_stack([head[x], at - l2[x], at + r1[x] - SPAN, unsure[x]]).astype(np.int64)
-            out.append((int(i[a]), int(d[a]), stretch.tobytes(), cands.tobytes(), int(unsure[x].sum())))
+    def first(pdf):
+        if pdf["part"].iloc[0] < 0:
+            places = np.unique(np.concatenate([np.frombuffer(x, PLACES) for x in pdf["payload"]]))
+            out = pd.DataFrame({**_by_text([(i, d, p, -1) for i, d, p in places.tolist()]), "part": -1, "payload": None, "info": None})
+        else:
+            stretches, on = merge_right(list(zip(pdf["payload"], pdf["info"])))
+            out = pd.DataFrame({**_by_text(stretches), "part": -1, "payload": None, "info": None})
+            turned = sorted(((k[SPAN:] + k[:SPAN], f) for k, f in on), key=lambda x: x[0])
+            if turned:
+                more = pd.DataFrame(list(_coded([k for k, _ in turned], [f for _, f in turned], sent.value[1])), columns=["part", "payload", "info"])
+                out = pd.concat([out, more.assign(id=0, digest=0, spans=None)])
         trim()
-        return pd.DataFrame(out, columns=["id", "digest", "spans", "cands", "n_open"])
+        return out[FIRST]
 
-    settled = materialize(both.groupBy("origin").applyInPandas(settle, "id long, digest long, spans binary, cands binary, n_open long"), "settled")
-    out = settled.select("id", "digest", "spans").unionAll(raw.where("octet_length(full) > 0").select("id", "digest", "full"))
-    if not settled.where("n_open > 0").isEmpty():
-        out = out.unionAll(_windows(units, settled, int(blocks)))
+    def second(pdf):
+        stretches, windows = merge_left(list(zip(pdf["payload"], pdf["info"])))
+        by = _by_text(stretches)
+        n, m = len(by["id"]), len(windows)
+        w = list(zip(*windows)) if m else [()] * 6
+        trim()
+        return pd.DataFrame({
+            "id": [*by["id"], *w[1]], "digest": [*by["digest"], *w[2]], "spans": [*by["spans"], *[None] * m], "head": pd.array([*[None] * n, *w[0]], "Int64"),
+            "first": [*[0] * n, *w[3]], "last": [*[0] * n, *w[4]], "unsure": [*[False] * n, *w[5]],
+        })
+
+    one = materialize(texts.mapInArrow(run, RUNS).groupBy("part").applyInPandas(first, "id long, digest long, spans binary, part int, payload binary, info binary"), "merged")
+    two = one.where("part >= 0").select("part", "payload", "info").groupBy("part").applyInPandas(second, "id long, digest long, spans binary, head long, first int, last int, unsure boolean")
+    two = materialize(two, "settled")
+    out = one.where("part < 0").select("id", "digest", "spans").unionAll(two.where("spans IS NOT NULL").select("id", "digest", "spans"))
+    if not two.where("unsure").isEmpty():
+        out = out.unionAll(_windows(units, two.where("head IS NOT NULL"), blocks))
     return _merged(out, "spans")
 
 
+FIRST = ["id", "digest", "spans", "part", "payload", "info"]
+
+
+def _packets(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "payload", "info"])
+
+
 def _union(a: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Overlapping and touching stretches as one: int32 pairs [start, end), ascending."""
     keep = z > a
@@ -487,29 +569,16 @@ def _union(a: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def _windows(units: DataFrame, settled: DataFrame, blocks: int) -> DataFrame:
-    """Stretches (id, digest, spans) of the repeated windows among those that anchors leave open.
+    """Stretches (id, digest, spans) of the repeated windows among those that the merges leave open.
 
     A window is repeated only within [first, last] of its anchor, and so is its partner within that of its own anchor,
-    whose K bytes are the same. Windows are known by 128-bit digests, exchanged in blocks of these; of windows that
-    aren't open themselves a task sends one, so that frequent ones are combined before the shuffle.
+    whose K bytes are the same. Windows are known by 128-bit digests, and exchanged as the anchors are.
     """
-
-    def heads(batches):
-        for b in slices(batches, 4096):
-            c = np.concatenate([np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(c[c[:, 3] > 0, 0]))], ["h"])
-
-    def each(batches):
-        for b in slices(batches, 1024):
-            raw = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in b.column(2).to_pylist()]
-            n, c = [len(x) for x in raw], np.concatenate(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), *(pa.array(np.repeat(b.column(k).to_numpy(zero_copy_only=False), n)) for k in (0, 1)), pa.array(np.ascontiguousarray(c[:, 1:]).view("V24").ravel().tolist(), pa.binary())], ["h", "id", "digest", "at"])
-
-    open_ = materialize(settled.where("n_open > 0").select("cands").mapInArrow(heads, "h long").distinct(), "heads")
-    open_ = open_.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = settled.select("id", "digest", "cands").mapInArrow(each, "h long, id long, digest long, at binary")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "digest", "at"), F.lit(SALTS)).cast("int"))
-    wanted = materialize(_merged(rows.join(open_, ["h", "salt"], "left_semi"), "at"), "open")
+    open_ = materialize(settled.where("unsure").select("head").distinct(), "heads")
+    open_ = open_.select("head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = settled.select("head", "id", "digest", F.concat(*(F.lpad(F.hex(c), 8, "0") for c in ("first", "last", F.col("unsure").cast("int")))).alias("at"))
+    rows = rows.withColumn("at", F.unhex("at")).withColumn("salt", F.pmod(F.xxhash64("id", "digest", "at"), F.lit(SALTS)).cast("int"))
+    wanted = materialize(_merged(rows.join(open_, ["head", "salt"], "left_semi"), "at"), "open")
     texts = _with_texts(units, wanted, "at", "inner")
 
     def deal(batches):
@@ -518,47 +587,38 @@ def _windows(units: DataFrame, settled: DataFrame, blocks: int) -> DataFrame:
             digest, who, where, own = [], [], [], []
             for k, (t, at) in enumerate(zip(raw, b.column(3).to_pylist())):
                 starts: dict[int, bool] = {}
-                for first, last, is_open in np.unique(np.frombuffer(b"".join(at), np.int64).reshape(-1, 3), axis=0).tolist():
+                for first, last, is_open in np.frombuffer(b"".join(at), ">i4").reshape(-1, 3).tolist():
                     for s in range(max(0, first), min(len(t) - SPAN, last) + 1):
                         starts[s] = starts.get(s, False) or bool(is_open)
                 digest += [xxhash.xxh3_128_digest(t[s : s + SPAN]) for s in starts]
                 who += [k] * len(starts)
                 where += starts
                 own += starts.values()
-            w = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2)
-            who, where, own = np.array(who, np.int64), np.array(where, np.int32), np.array(own, bool)
-            order = np.lexsort((~own, w[:, 1], w[:, 0]))
-            w, who, where, own = w[order], who[order], where[order], own[order]
-            same = (w[1:] == w[:-1]).all(1)
-            several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(w) else own
-            keep = own | np.concatenate([[True], ~same]) if len(w) else own
-            w, who, where, own, several = w[keep], who[keep], where[keep], own[keep], several[keep]
-            at = ((w[:, 0] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-            cut = np.searchsorted(at, np.arange(blocks + 1))
-            some = np.flatnonzero(np.diff(cut)).tolist()
-            col = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), col(w), col(ids[who]), col(digests[who]), col(where), col(own.astype(np.int8) + 2 * several.astype(np.int8))], ["block", "w", "id", "digest", "a", "flags"])
-
-    def twice(pdf):
-        w = np.frombuffer(b"".join(pdf["w"]), np.uint64).reshape(-1, 2)
-        i, d, a, f = (np.frombuffer(b"".join(pdf[c]), k) for c, k in (("id", np.int64), ("digest", np.int64), ("a", np.int32), ("flags", np.int8)))
-        order = np.lexsort((w[:, 1], w[:, 0]))
-        same = (w[order][1:] == w[order][:-1]).all(1)
-        again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (f[order] >= 2)
-        order = order[again & (f[order] % 2 == 1)]
-        order = order[np.lexsort((a[order], d[order], i[order]))]
-        i, d, a = i[order], d[order], a[order].astype(np.int64)
+            if not digest:
+                continue
+            keys, several, number = _different(np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2))
+            keep = np.array(own, bool)
+            who = np.array(who, np.int64)[keep]
+            member = np.column_stack([ids[who], digests[who], np.array(where, np.int64)[keep], number[keep]]).astype(np.int64)
+            yield _spread(keys, several, member.tobytes(), blocks)
+
+    def home(member, repeated):
+        i, d, a, number = np.frombuffer(member, np.int64).reshape(-1, 4).T
+        keep = np.isin(number, repeated)
+        i, d, a = i[keep], d[keep], a[keep]
+        order = np.lexsort((a, d, i))
+        i, d, a = i[order], d[order], a[order]
         begin = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])])) if len(i) else np.zeros(0, int)
         end = np.append(begin[1:], len(i))
-        trim()
         return pd.DataFrame({"id": i[begin], "digest": d[begin], "spans": [_union(a[x:z], a[x:z] + SPAN).tobytes() for x, z in zip(begin, end)]})
 
-    dealt = texts.mapInArrow(deal, "block int, w binary, id binary, digest binary, a binary, flags binary")
-    return dealt.groupBy("block").applyInPandas(twice, "id long, digest long, spans binary")
+    return _exchange(texts.mapInArrow(deal, EXCHANGE), 2, home, "id long, digest long, spans binary", "windows")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row, and the kept text (bytes) with ``keep_text``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row, and the kept text with ``keep_text``.
+
+    Spans end at bytes: what is left of a character that a span cuts is replaced in the kept text, not in its hash.
 
     Null texts are empty. Equal rows count as occurrences of each other. Texts shorter than SPAN bytes lose nothing.
     """
@@ -581,12 +641,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text
                     kept.append(t[at:a])
                     at = z
                 rest = b"".join(kept) + t[at:]
-                out.append((None if i == NONE else i, len(t), len(t) - len(rest), len(joined), hashlib.sha256(rest).hexdigest(), rest if keep_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((None if i == NONE else i, len(t), len(t) - len(rest), len(joined), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace") if keep_text else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    got = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return got if keep_text else got.drop("kept")
+    got = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return got if keep_text else got.drop("kept_text")
 
 
 def op6_loser_trees(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=True)
