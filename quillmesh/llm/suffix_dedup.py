@@ -21,7 +21,6 @@ its range once a run.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from bisect import bisect_left
 
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import materialize, need, parallelism, slices, trim
+from quillmesh.llm.exchange import SCHEMA, Share, totals
 
 SPAN, K = 400, 32
 LEFT = SPAN - K
@@ -113,64 +113,6 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(2).to_pylist()]
 
 
-def _spread(keys: np.ndarray, several: np.ndarray, member: bytes, blocks: int) -> pa.RecordBatch:
-    """One origin's share of an exchange: its different keys (sorted rows of uint64), dealt by their first word, and what stays with it."""
-    at = ((keys[:, 0] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-    cut = np.searchsorted(at, np.arange(blocks + 1))
-    some = np.flatnonzero(np.diff(cut)).tolist()
-    entry, flags = np.arange(len(keys), dtype=np.int32), several.astype(np.int8)
-    col = lambda a: [None, *(a[cut[k] : cut[k + 1]].tobytes() for k in some)]
-    columns = ([-1, *some], [uuid.uuid4().hex] * (len(some) + 1), col(keys), col(entry), col(flags), [member, *[None] * len(some)])
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), *[pa.binary()] * 4))], EXCHANGE_NAMES)
-
-
-EXCHANGE = "block int, origin string, keys binary, entry binary, flags binary, member binary"
-EXCHANGE_NAMES = [f.split()[0] for f in EXCHANGE.split(", ")]
-
-
-def _exchange(dealt: DataFrame, words: int, home, schema: str, name: str) -> DataFrame:
-    """home(member, numbers of the origin's keys that occur at several places), for each origin.
-
-    Each origin sends a key once, with a mark if it has it several times itself, so a key that a third of all rows hold
-    reaches its block once an origin. The dealt rows are a written table, since origins are named at random.
-    """
-    dealt = materialize(dealt, name)
-
-    def judge(pdf):
-        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64).reshape(-1, words)
-        entry, several = (np.frombuffer(b"".join(pdf[c]), k) for c, k in (("entry", np.int32), ("flags", np.int8)))
-        origin = np.repeat(np.arange(len(pdf)), [len(x) // 4 for x in pdf["entry"]])
-        order = np.lexsort(tuple(keys[:, w] for w in reversed(range(words))))
-        same = (keys[order][1:] == keys[order][:-1]).all(1)
-        again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (several[order] > 0)
-        order = np.sort(order[again])
-        some, begin = np.unique(origin[order], return_index=True)
-        end = np.append(begin[1:], len(order))
-        trim()
-        return pd.DataFrame({"origin": pdf["origin"].to_numpy()[some], "entry": [entry[order[a:z]].tobytes() for a, z in zip(begin, end)]})
-
-    def back(pdf):
-        own = pdf["entry"].isna()
-        out = home(pdf[own].iloc[0]["member"], np.frombuffer(b"".join(pdf[~own]["entry"]), np.int32))
-        trim()
-        return out
-
-    judged = dealt.where("block >= 0").select("block", "origin", "keys", "entry", "flags").groupBy("block").applyInPandas(judge, "origin string, entry binary")
-    both = dealt.where("block < 0").select("origin", F.lit(None).cast("binary").alias("entry"), "member").unionAll(judged.select("origin", "entry", F.lit(None).cast("binary").alias("member")))
-    return both.groupBy("origin").applyInPandas(back, schema)
-
-
-def _different(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted different rows, whether each occurs several times, and each row's number among them."""
-    if not len(rows):
-        return rows, np.zeros(0, bool), np.zeros(0, np.int64)
-    order = np.lexsort(tuple(rows[:, w] for w in reversed(range(rows.shape[1]))))
-    new = np.concatenate([[True], (rows[order][1:] != rows[order][:-1]).any(1)])
-    number = np.empty(len(rows), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return np.ascontiguousarray(rows[order][new]), np.bincount(number) > 1, number
-
-
 def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
     """(id, digest, places binary): the int32 places of the anchors whose K bytes occur at several places."""
 
@@ -180,25 +122,23 @@ def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
             which, place, h = anchors(texts)
             if not len(h):
                 continue
-            keys, several, number = _different(h[:, None])
+            share = Share(h[:, None], blocks)
             begin = np.flatnonzero(np.diff(which, prepend=-1))
             docs = np.column_stack([ids[which[begin]], digests[which[begin]], np.diff(np.append(begin, len(which)))]).astype(np.int64)
-            member = len(docs).to_bytes(8, "little") + docs.tobytes() + np.stack([number, place]).astype(np.int32).tobytes()
-            yield _spread(keys, several, member, blocks)
+            member = len(docs).to_bytes(8, "little") + docs.tobytes() + np.stack([share.number, place]).astype(np.int32).tobytes()
+            yield share.batch(member)
 
-    def home(member, repeated):
+    def home(member, found):
         n = int.from_bytes(member[:8], "little")
         docs = np.frombuffer(member, np.int64, 3 * n, 8).reshape(n, 3)
         number, place = np.frombuffer(member, np.int32, offset=8 + docs.nbytes).reshape(2, -1)
-        flag = np.zeros(int(number.max()) + 1, bool)
-        flag[repeated] = True
-        keep = flag[number]
+        keep = found[number] > 1
         end = np.cumsum(docs[:, 2])
         places = [place[a:z][keep[a:z]].tobytes() for a, z in zip(end - docs[:, 2], end)]
         out = pd.DataFrame({"id": docs[:, 0], "digest": docs[:, 1], "places": places})
         return out[[bool(p) for p in places]]
 
-    return _exchange(units.mapInArrow(deal, EXCHANGE), 1, home, "id long, digest long, places binary", "dealt")
+    return totals(units.mapInArrow(deal, SCHEMA), 1, home, "id long, digest long, places binary", "dealt")
 
 
 def _merged(parts: DataFrame, column: str) -> DataFrame:
@@ -596,15 +536,15 @@ def _windows(units: DataFrame, settled: DataFrame, blocks: int) -> DataFrame:
                 own += starts.values()
             if not digest:
                 continue
-            keys, several, number = _different(np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2))
+            share = Share(np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2), blocks)
             keep = np.array(own, bool)
             who = np.array(who, np.int64)[keep]
-            member = np.column_stack([ids[who], digests[who], np.array(where, np.int64)[keep], number[keep]]).astype(np.int64)
-            yield _spread(keys, several, member.tobytes(), blocks)
+            member = np.column_stack([ids[who], digests[who], np.array(where, np.int64)[keep], share.number[keep]]).astype(np.int64)
+            yield share.batch(member.tobytes())
 
-    def home(member, repeated):
+    def home(member, found):
         i, d, a, number = np.frombuffer(member, np.int64).reshape(-1, 4).T
-        keep = np.isin(number, repeated)
+        keep = found[number] > 1
         i, d, a = i[keep], d[keep], a[keep]
         order = np.lexsort((a, d, i))
         i, d, a = i[order], d[order], a[order]
@@ -612,7 +552,7 @@ def _windows(units: DataFrame, settled: DataFrame, blocks: int) -> DataFrame:
         end = np.append(begin[1:], len(i))
         return pd.DataFrame({"id": i[begin], "digest": d[begin], "spans": [_union(a[x:z], a[x:z] + SPAN).tobytes() for x, z in zip(begin, end)]})
 
-    return _exchange(texts.mapInArrow(deal, EXCHANGE), 2, home, "id long, digest long, spans binary", "windows")
+    return totals(texts.mapInArrow(deal, SCHEMA), 2, home, "id long, digest long, spans binary", "windows")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
