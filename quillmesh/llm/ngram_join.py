@@ -1,12 +1,13 @@
 """N-gram Jaccard self-join by a blocked sparse matrix product of the document by n-gram incidence.
 
-The incidence is dealt in blocks of n-grams. Multiplying a block by its transpose pairs the documents of each n-gram; bounds
-that follow from the set sizes alone decide before the product what can't reach the threshold t:
+The incidence is dealt in blocks of n-grams, to which each task sends an n-gram once with its count; the documents of an
+n-gram stay where they are, so a frequent one doesn't bring them to one task. Multiplying a block by its transpose pairs
+the documents of each n-gram; bounds that follow from the set sizes alone decide before the product what can't reach the threshold t:
 
 * J(x, y) >= t needs at least ceil(t |x|) of x's n-grams in y. In any global order of n-grams, such a pair shares l of them
   within the first |x| - ceil(t |x|) + l of x and likewise of y.
 * First pass, order by hash, l = |x| / 5: a document with too few n-grams in that prefix that any other document has in
-  its own is out. One count for each document leaves a block.
+  its own is out.
 * Second pass over the rest, with exact frequencies: a document with fewer than ceil(t |x|) n-grams that others have
   is out; of the others only the rarest |x| - ceil(t |x|) + 1 n-grams are multiplied (l = 1).
 
@@ -25,12 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize, need, parallelism, slices, space_words, trim
+from quillmesh.llm.common import materialize, need, parallelism, slices, space_words
 from quillmesh.llm.components import components
+from quillmesh.llm.exchange import SCHEMA, Share, totals
 
 N = 5
 NUM, DEN = 80, 100
 BLOCK_POSTINGS = 500_000
+#: N-grams of an origin: a frequent one reaches its block once for so many.
+ORIGIN_POSTINGS = 1_000_000
+#: Pairs of one set from which on they are split over SALTS tasks.
+HOT_PAIRS, SALTS = 2_000, 64
 #: Most ids that are broadcast, counted before; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -77,89 +83,93 @@ def prefix_least(n):
     return common_least(n) // 5 + 1
 
 
-def _planes(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+def _frequent(docs: DataFrame, blocks: int) -> DataFrame:
+    """(digest) of the sets with enough n-grams in their prefix that others have in theirs; equal sets of a task count once."""
 
-
-def _from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _bucketed(d: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, rows) of the buckets that the ids fall into."""
-    at = (d * np.int64(0x9E3779B1) & np.int64(0x7FFFFFFF)) % buckets
-    order = np.argsort(at, kind="stable")
-    cut = np.flatnonzero(np.diff(at[order], prepend=-1))
-    return [(int(at[order[a]]), order[a:z]) for a, z in zip(cut, np.append(cut[1:], len(order)))]
-
-
-BLOCKS = "block int, hashes binary, docs binary, sizes binary"
-
-
-def _dealt(hashes: np.ndarray, docs: np.ndarray, sizes: np.ndarray, blocks: int) -> pa.RecordBatch:
-    order = np.argsort(hashes)
-    hashes, docs, sizes = hashes[order], docs[order], sizes[order]
-    at = ((hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-    cut = np.searchsorted(at, np.arange(blocks + 1))
-    some = np.flatnonzero(np.diff(cut))
-    cols = ([], [], [])
-    for b in some.tolist():
-        part = slice(cut[b], cut[b + 1])
-        cols[0].append(_planes(np.diff(hashes[part], prepend=np.uint64(0))))
-        cols[1].append(_planes(docs[part]))
-        cols[2].append(_planes(sizes[part]))
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["block", "hashes", "docs", "sizes"])
-
-
-def _joined(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's postings (hash, doc, size), sorted by hash, each (hash, doc) once."""
-    h = np.concatenate([np.cumsum(_from_planes(x, np.uint64), dtype=np.uint64) for x in pdf["hashes"]])
-    d = np.concatenate([_from_planes(x, np.int64) for x in pdf["docs"]])
-    s = np.concatenate([_from_planes(x, np.int32) for x in pdf["sizes"]])
-    order = np.lexsort((d, h)) if len(h) else np.zeros(0, int)
-    h, d, s = h[order], d[order], s[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return h[keep], d[keep], s[keep]
-
-
-def _frequency(h: np.ndarray) -> np.ndarray:
-    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
-    return np.repeat(np.diff(np.append(begin, len(h))), np.diff(np.append(begin, len(h))))
-
-
-def _postings(docs: DataFrame, blocks: int, prefix: bool) -> DataFrame:
-    """The incidence of (doc_id, text) rows in blocks; equal sets of one task count once. With ``prefix`` only the first pass's."""
-
-    def run(batches):
+    def deal(batches):
         seen: set[bytes] = set()
         held: list = []
+        size = 0
 
         def flush():
-            got = _dealt(np.concatenate([g for g, _, _ in held]), np.repeat(np.array([i for _, i, _ in held], np.int64), [len(g) for g, _, _ in held]), np.repeat(np.array([n for _, _, n in held], np.int32), [len(g) for g, _, _ in held]), blocks)
+            share = Share(np.concatenate([g for g, _, _ in held])[:, None], blocks)
+            sizes = np.array([(n, len(g)) for g, n, _ in held], np.int64)
+            member = len(held).to_bytes(8, "little") + b"".join(k for _, _, k in held) + sizes.tobytes() + share.number.astype(np.int32).tobytes()
             held.clear()
-            return got
+            return share.batch(member)
 
-        size = 0
         for b in slices(batches, 256):
             for i, g in zip(b.column(0).to_pylist(), grams(b.column(1).to_pylist())):
                 if i is None or not len(g):
                     continue
-                key = xxhash.xxh3_128_digest(g.tobytes())
+                key = _digest(g)
                 if key in seen:
                     continue
                 seen.add(key)
-                part = g[: int(prefix_length(np.int64(len(g))))] if prefix else g
-                held.append((part, i, len(g)))
+                part = g[: int(prefix_length(np.int64(len(g))))]
+                held.append((part, len(g), key))
                 size += len(part)
-            if size > 1_000_000:
+            if size > ORIGIN_POSTINGS:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    def home(member, found):
+        n = int.from_bytes(member[:8], "little")
+        keys = [member[8 + 16 * k : 24 + 16 * k] for k in range(n)]
+        sizes = np.frombuffer(member, np.int64, 2 * n, 8 + 16 * n).reshape(n, 2)
+        number = np.frombuffer(member, np.int32, offset=8 + 16 * n + sizes.nbytes)
+        shared = np.add.reduceat(found[number] > 1, np.cumsum(sizes[:, 1]) - sizes[:, 1], dtype=np.int64)
+        return pd.DataFrame({"digest": [k for k, ok in zip(keys, shared >= prefix_least(sizes[:, 0])) if ok]})
+
+    return totals(docs.mapInArrow(deal, SCHEMA), 1, home, "digest binary", "prefixes")
+
+
+def _columns(rows: DataFrame, blocks: int) -> DataFrame:
+    """(gram, doc_id, n, rank, central): of each set the rarest n-grams that a linked one must share, if enough are shared at all."""
+
+    def deal(batches):
+        held: list = []
+        size = 0
+
+        def flush():
+            share = Share(np.concatenate([g for _, g in held])[:, None], blocks)
+            docs = np.array([(i, len(g)) for i, g in held], np.int64)
+            member = len(held).to_bytes(8, "little") + len(share.keys).to_bytes(8, "little") + docs.tobytes() + share.keys.tobytes() + share.number.astype(np.int32).tobytes()
+            held.clear()
+            return share.batch(member)
+
+        for b in slices(batches, 1024):
+            for i, g in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                held.append((i, np.frombuffer(g, np.uint64)))
+                size += len(held[-1][1])
+            if size > ORIGIN_POSTINGS:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, BLOCKS)
+    def home(member, found):
+        n, m = (int.from_bytes(member[k : k + 8], "little") for k in (0, 8))
+        docs = np.frombuffer(member, np.int64, 2 * n, 16).reshape(n, 2)
+        keys = np.frombuffer(member, np.uint64, m, 16 + docs.nbytes)
+        number = np.frombuffer(member, np.int32, offset=16 + docs.nbytes + keys.nbytes)
+        at = np.repeat(np.arange(n), docs[:, 1])
+        keep = found[number] > 1
+        h, f, at = keys[number][keep], found[number][keep], at[keep]
+        order = np.lexsort((h, f, at))
+        h, at = h[order], at[order]
+        shared = np.bincount(at, minlength=n)
+        size = docs[:, 1]
+        take = np.where(shared >= common_least(size), np.minimum(shared, shared - common_least(size) + 1), 0)
+        pos = np.arange(len(at)) - np.repeat(np.cumsum(shared) - shared, shared)
+        keep = pos < take[at]
+        rank = pos + (size - shared)[at]  # n-grams that no other document has come first
+        central = (shared * 1_000_000 // np.maximum(1, size))[at]
+        return pd.DataFrame({"gram": h[keep].view(np.int64), "doc_id": docs[at[keep], 0], "n": size[at[keep]], "rank": rank[keep], "central": central[keep]})
+
+    return totals(rows.mapInArrow(deal, SCHEMA), 1, home, "gram long, doc_id long, n long, rank long, central long", "postings")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -193,22 +203,7 @@ def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
     total = every.agg(F.sum(F.least("n_shingles", (F.col("n_shingles") * 2 / 5).cast("long") + 2)), F.sum("n_shingles")).first()
     blocks = max(parallelism(spark), -(-(total[0] or 0) // BLOCK_POSTINGS))
 
-    def count(pdf):
-        h, d, _ = _joined(pdf)
-        ids, n = np.unique(d[_frequency(h) > 1], return_counts=True)
-        out = _bucketed(ids, buckets)
-        trim()
-        return pd.DataFrame({"bucket": [b for b, _ in out], "docs": [_planes(ids[o]) for _, o in out], "n": [_planes(n[o].astype(np.int32)) for _, o in out]})
-
-    def add(pdf):
-        ids, n = (np.concatenate([_from_planes(x, k) for x in pdf[c]]) for c, k in (("docs", np.int64), ("n", np.int32)))
-        ids, at = np.unique(ids, return_inverse=True)
-        return pd.DataFrame({"doc_id": ids, "n": np.bincount(at, n).astype(np.int64)})
-
-    buckets = int(blocks)
-    found = _postings(docs, blocks, True).groupBy("block").applyInPandas(count, "bucket int, docs binary, n binary").groupBy("bucket").applyInPandas(add, "doc_id long, n long")
-    least = F.floor(F.ceil(F.col("n_shingles") * NUM / DEN) / 5) + 1
-    near = every.join(found, "doc_id").where((F.col("n") >= least) & F.col("digest").isNotNull()).select("digest").distinct()
+    near = _frequent(docs, int(blocks)).distinct()
     picked = materialize(reps.join(near, "digest").select(F.col("rep").alias("doc_id"), "digest"), "picked")
 
     def sets(batches):
@@ -221,47 +216,24 @@ def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
         rows = rows.dropDuplicates(["doc_id"])  # rows that repeat as a whole
     rows = materialize(rows, "sets")
     size = rows.agg(F.sum("n")).first()[0] or 0
-    blocks = buckets = int(max(parallelism(spark), -(-size // BLOCK_POSTINGS)))
-
-    def deal(batches):
-        for b in slices(batches, 4096):
-            got = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
-            n = b.column(1).to_numpy(zero_copy_only=False)
-            if len(got):
-                yield _dealt(np.concatenate(got), np.repeat(b.column(0).to_numpy(zero_copy_only=False), n), np.repeat(n.astype(np.int32), n), blocks)
-
-    def shared(pdf):
-        h, d, s = _joined(pdf)
-        f = _frequency(h)
-        keep = f > 1
-        h, d, s, f = h[keep], d[keep], s[keep], f[keep].astype(np.int32)
-        out = _bucketed(d, buckets)
-        trim()
-        return pd.DataFrame({"bucket": [b for b, _ in out], **{c: [_planes(x[o]) for _, o in out] for c, x in (("hashes", h), ("docs", d), ("sizes", s), ("freq", f))}})
-
-    def rarest(pdf):
-        h, d, s, f = (np.concatenate([_from_planes(x, k) for x in pdf[c]]) for c, k in (("hashes", np.uint64), ("docs", np.int64), ("sizes", np.int32), ("freq", np.int32)))
-        order = np.lexsort((h, f, d))
-        h, d, s, f = h[order], d[order], s[order].astype(np.int64), f[order]
-        begin = np.flatnonzero(np.diff(d, prepend=d[0] - 1))
-        n_shared = np.diff(np.append(begin, len(d)))
-        size = s[begin]
-        take = np.where(n_shared >= common_least(size), np.minimum(n_shared, n_shared - common_least(size) + 1), 0)
-        pos = np.arange(len(d)) - np.repeat(begin, n_shared)
-        keep = pos < np.repeat(take, n_shared)
-        central = np.repeat(n_shared * 1_000_000 // np.maximum(1, size), n_shared)
-        rank = pos + np.repeat(size - n_shared, n_shared)  # n-grams that no other document has come first
-        return pd.DataFrame({"gram": h[keep].view(np.int64), "doc_id": d[keep], "n": s[keep], "rank": rank[keep], "central": central[keep]})
-
-    spread = rows.mapInArrow(deal, BLOCKS).groupBy("block").applyInPandas(shared, "bucket int, hashes binary, docs binary, sizes binary, freq binary")
-    columns = materialize(spread.groupBy("bucket").applyInPandas(rarest, "gram long, doc_id long, n long, rank long, central long"), "columns")
+    blocks = int(max(parallelism(spark), -(-size // BLOCK_POSTINGS)))
+    columns = materialize(_columns(rows, blocks), "columns")
     return _product(columns, rows)
 
 
+def _beside(pairs: DataFrame, rows: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """The pairs with the set of ``key``; those of a set in very many pairs are split, and the set is sent to each part."""
+    many = materialize(pairs.groupBy(key).count().where(F.col("count") >= HOT_PAIRS).select(key, F.lit(True).alias("hot")), "hot")
+    few = many.count() <= BROADCAST_IDS
+    hot = F.broadcast(many) if few else many
+    dealt = pairs.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    sets = rows.select(F.col("doc_id").alias(key), F.col("grams").alias(name)).join(hot, key, "left")
+    sets = sets.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return dealt.join(sets, [key, "salt"]).drop("salt")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, by counting their common n-grams."""
-    a = rows.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
-    b = rows.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
 
     def run(batches):
         for t in slices(batches, 1024):
@@ -273,7 +245,8 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long"), "links")
+    both = _beside(_beside(pairs, rows, "a", "b", "x"), rows, "b", "a", "y")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 def _product(columns: DataFrame, rows: DataFrame) -> DataFrame:
