@@ -31,14 +31,23 @@ BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising ban
 GOOD = frozenset("article body content entry main post story text".split())
 
 
+#: Elements at which the search for the one that a start tag closes ends, or that it looks for.
+_LISTS = frozenset(CLOSES) | frozenset().union(*SCOPE.values())
+PARAGRAPH = frozenset("p pre td blockquote li".split())
+CONTAINER = frozenset("div section article body #root".split())
+
+
 class Node:
-    __slots__ = ("tag", "words", "parent", "parts", "score", "chars", "linked")
+    __slots__ = ("tag", "words", "parent", "parts", "block", "listed", "kept", "score", "chars", "linked", "size", "commas")
 
-    def __init__(self, tag: str, words: frozenset, parent: "Node | None"):
+    def __init__(self, tag: str, words: frozenset, parent: "Node | None", kept: bool = True):
         self.tag, self.words, self.parent = tag, words, parent
         self.parts: list = []  # text and nodes
+        self.block: Node = self if tag in BLOCK or parent is None else parent.block  # the nearest block around
+        self.listed: Node = self if tag in _LISTS or parent is None else parent.listed
+        self.kept = kept  # neither dropped nor in something dropped
         self.score = 0.0
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.size = self.commas = 0
 
 
 def _words(attributes: str) -> frozenset:
@@ -49,14 +58,26 @@ def _words(attributes: str) -> frozenset:
 
 
 def parse(source: str) -> Node:
-    """The element tree, without dropped elements; forgiving about tags left open."""
+    """The element tree, without dropped elements; forgiving about tags left open.
+
+    Dropped elements follow the same rules as others, so one that is left open ends where its parent, or the paragraph or
+    list item that it is, ends. Each tag costs the same however deep it stands: open elements are counted by name.
+    """
     root = at = Node("#root", frozenset(), None)
+    opened: dict[str, int] = {}
     pos = 0
-    dropped: list[str] = []
+
+    def leave(upto: Node) -> None:
+        """Closes all open elements below ``upto``."""
+        nonlocal at
+        while at is not upto:
+            opened[at.tag] -= 1
+            at = at.parent
+
     while True:
         m = _TOKEN.search(source, pos)
         text = source[pos : m.start() if m else len(source)]
-        if text and not dropped:
+        if text and at.kept:
             at.parts.append(entities.unescape(text) if "&" in text else text)
         if not m:
             return root
@@ -65,50 +86,36 @@ def parse(source: str) -> Node:
         if tag is None:
             continue
         tag, closing, attributes = tag.lower(), bool(m[1]), m[3]
-        if dropped:
-            if tag == dropped[-1] and closing:
-                dropped.pop()
-            elif tag == dropped[0] and not closing and tag not in VOID and not attributes.endswith("/>"):
-                dropped.append(tag)
-            continue
         if closing:
-            n = at
-            while n is not root and n.tag != tag:
-                n = n.parent
-            if n is not root:
-                at = n.parent
+            if opened.get(tag):
+                while at.tag != tag:
+                    leave(at.parent)
+                leave(at.parent)
             continue
         if tag in VOID:
-            at.parts.append(Node(tag, frozenset(), at))
+            if at.kept:
+                at.parts.append(Node(tag, frozenset(), at))
             continue
-        words = _words(attributes) if "=" in attributes else frozenset()
-        inside = at
-        while inside is not root and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        unwanted = tag in DROP or (tag not in ("html", "body", "article", "main") and words & BOILERPLATE) or tag == "header" and inside is root or _HIDDEN.search(" " + attributes)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, pos)
             pos = end.end() if end else len(source)
             continue
-        if tag in BLOCK:  # a block ends an open paragraph, and what is open in it
-            n = at
-            while n is not root and n.tag not in BLOCK:
-                n = n.parent
-            if n.tag == "p":
-                at = n.parent
+        if tag in BLOCK and at.block.tag == "p":  # a block ends an open paragraph, and what is open in it
+            leave(at.block.parent)
         if tag in CLOSES:
-            n = at
+            n = at.listed
             while n is not root and n.tag not in SCOPE[tag] and n.tag not in CLOSES[tag]:
-                n = n.parent
+                n = n.parent.listed
             if n.tag in CLOSES[tag]:
-                at = n.parent
-        if unwanted:
-            if not attributes.endswith("/>"):
-                dropped.append(tag)
-            continue
-        node = Node(tag, words, at)
-        at.parts.append(node)
+                leave(n.parent)
+        words = _words(attributes) if "=" in attributes else frozenset()
+        inside = opened.get("article") or opened.get("main")
+        unwanted = tag in DROP or (tag not in ("html", "body", "article", "main") and words & BOILERPLATE) or tag == "header" and not inside or _HIDDEN.search(" " + attributes)
+        node = Node(tag, words, at, at.kept and not unwanted)
+        if node.kept:
+            at.parts.append(node)
         if not attributes.endswith("/>"):
+            opened[tag] = opened.get(tag, 0) + 1
             at = node
 
 
@@ -123,15 +130,38 @@ def _walk(root: Node) -> list[Node]:
 
 
 def _measure(nodes: list[Node]) -> None:
+    """Characters, those in links, and commas of every subtree, and the points that paragraphs pass up, in one pass from the leaves."""
     for n in reversed(nodes):
+        own = own_commas = longest = 0  # of the text that stands in the node itself
         for p in n.parts:
             if isinstance(p, Node):
                 n.chars += p.chars
-                n.linked += p.chars if n.tag == "a" or p.tag == "a" else p.linked
+                n.linked += p.chars if p.tag == "a" else p.linked
+                n.size += p.size
+                n.commas += p.commas
+                n.score += _passed(p)
             else:
-                n.chars += len(p.strip())
+                bare = len(p.strip())
+                n.chars += bare
+                n.size += len(p)
+                longest = max(longest, bare)
+                if bare:
+                    own += len(p)
+                    own_commas += p.count(",")
+        n.commas += own_commas
         if n.tag == "a":
             n.linked = n.chars
+        if n.tag in CONTAINER and longest >= 25:
+            n.score += _points(own, own_commas)
+
+
+def _points(size: int, commas: int) -> float:
+    return 1 + commas + min(3.0, size / 100)
+
+
+def _passed(n: Node) -> float:
+    """What a node passes to its parent: a paragraph, if there is none within it, its own points, others half of what they got."""
+    return n.score / 2 if n.score or n.tag not in PARAGRAPH or not n.chars else _points(n.size, n.commas)
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -170,44 +200,28 @@ def extract(source: str | None) -> str:
     root = parse(source)
     nodes = _walk(root)
     _measure(nodes)
-    scored: dict[int, Node] = {}
-    for n in nodes:
-        if n.tag in ("p", "pre", "td", "blockquote", "li") or n.tag in ("div", "section", "article", "body", "#root") and any(isinstance(p, str) and len(p.strip()) >= 25 for p in n.parts):
-            text = "".join(p for p in _texts(n)) if n.tag in ("p", "pre", "td", "blockquote", "li") else " ".join(p for p in n.parts if isinstance(p, str))
-            if not text.strip():
-                continue
-            points = 1 + text.count(",") + min(3.0, len(text) / 100)
-            up, share = (n.parent if n.tag in ("p", "pre", "td", "blockquote", "li") else n), 1.0
-            while up is not None and share:  # to the root, or till the halves vanish
-                up.score += points * share
-                scored[id(up)] = up
-                up, share = up.parent, share / 2
+    scored = [n for n in nodes if n.score > 0]
     if not scored:
         best = next((n for n in nodes if n.tag in ("article", "main")), root)
         return "\n".join(blocks([best]))
-    final = lambda n: (n.score + (25 if n.tag in ("article", "main") else 5 if n.tag in ("div", "section") and n.words & GOOD else 0)) * (1 - n.linked / max(1, n.chars))
-    best = max(scored.values(), key=final)
+    best = max(scored, key=_final)
     while best.parent is not None and best.parent.tag not in ("body", "html", "#root") and best.tag not in ("article", "main"):
         owner = best.parent
-        if owner.tag in ("article", "main") or final(owner) >= 0.75 * final(best):
+        if owner.tag in ("article", "main") or _final(owner) >= 0.75 * _final(best):
             best = owner
         else:
             break
     if best.parent is None:
         return "\n".join(blocks([best]))
-    least = max(10.0, 0.2 * final(best))
-    kept = [n for n in best.parent.parts if n is best or isinstance(n, Node) and (id(n) in scored and final(n) >= least or n.tag == "p" and n.chars >= 80 and n.linked < 0.25 * n.chars)]
+    least = max(10.0, 0.2 * _final(best))
+    kept = [n for n in best.parent.parts if n is best or isinstance(n, Node) and (n.score > 0 and _final(n) >= least or n.tag == "p" and n.chars >= 80 and n.linked < 0.25 * n.chars)]
     return "\n".join(blocks(kept))
 
 
-def _texts(n: Node):
-    stack = [n]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            yield x
-        else:
-            stack.extend(reversed(x.parts))
+def _final(n: Node) -> float:
+    """The points, with a few for an element or a name that says what it holds, discounted by the share of links."""
+    bonus = 5 if n.tag in ("article", "main") or n.tag in ("div", "section") and n.words & GOOD else 0
+    return (n.score + bonus) * (1 - n.linked / max(1, n.chars))
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
