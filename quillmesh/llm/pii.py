@@ -3,9 +3,10 @@
 Base spans follow fixed patterns and checks and always stay. The patterns alone lose what stands side by side (two card
 numbers with a space between are one run of 32 digits, which fails its check) or is written around a rule ("x at y dot
 com", a number without its plus). Generators therefore propose many overlapping spans; boosted trees, trained here on
-a bounded sample with the base spans, and base phones rewritten without plus or country code, as positives and with
-proposals that contradict every check, or cut into a positive, as negatives, score them; per kind, the lowest calibrated probability that kept the wanted precision on held-out
-proposals selects spans, best first, which are added where they overlap no span so far.
+a bounded sample with the base spans, and what these look like in forms that the patterns don't find, as positives and
+with proposals that contradict every check, or cut into a positive, as negatives, score them; per kind, the lowest
+calibrated probability that kept the wanted precision on held-out proposals selects spans, best first, which are added
+where they overlap no span so far.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
 def labelled(text: str) -> list[tuple[list[float], int]]:
     """Proposals that the patterns judge beyond doubt: base spans are positive; what cuts into one, or fails every check of its kind, is negative.
 
-    Each base phone is also judged as it reads without its plus, and without its country code.
+    Each base span is also judged in the forms of _rewritten(), where it stands.
     """
     base = base_spans(text)
     exact = {(k, s, e) for s, k, e, _ in base}
@@ -128,23 +129,31 @@ def labelled(text: str) -> list[tuple[list[float], int]]:
             out.append((features(text, k, s, e), 1))
         elif any(s < b and a < e for a, _, b, _ in base) or not _plausible(k, text, s, e):
             out.append((features(text, k, s, e), 0))
-    for a, k, b, _ in base:
-        if k == 3:
-            for plain in _plain(text[a:b]):
-                near = text[max(0, a - 80) : a] + plain + text[b : b + 80]
-                at = min(a, 80)
-                for kind, s, e in proposals(near):
-                    if s < at + len(plain) and at < e:
-                        out.append((features(near, kind, s, e), int((kind, s, e) == (3, at, at + len(plain)))))
+    for a, k, b, kind in base:
+        for form, first, last in _rewritten(kind, text[a:b]):
+            near = text[max(0, a - 80) : a] + form + text[b : b + 80]
+            at = min(a, 80)
+            want = {(k, at, at + first), (k, at + last, at + len(form))}
+            for f in proposals(near):
+                if f[1] < at + len(form) and at < f[2]:
+                    out.append((features(near, *f), int(f in want)))
     return out
 
 
-def _plain(phone: str) -> list[str]:
-    """A phone number without its plus, and without its country code where enough digits are left."""
-    found = [phone[1:]]
-    if (m := _COUNTRY.match(phone)) and valid("phone", phone[m.end() :]):
-        found.append(phone[m.end() :])
-    return found
+def _rewritten(kind: str, span: str) -> list[tuple[str, int, int]]:
+    """A base span as people also write it and the patterns don't find it: (form, end of the first, start of the last of its spans)."""
+    found = []
+    if kind == "phone":  # without its plus, and without its country code where enough digits are left
+        found.append(span[1:])
+        if (m := _COUNTRY.match(span)) and valid("phone", span[m.end() :]):
+            found.append(span[m.end() :])
+    elif kind == "email":
+        name, host = span.split("@")
+        found += [f"{name} (at) {host}", f"{name} [at] {host.replace('.', ' [dot] ')}", f"{name}(at){host.replace('.', '(dot)')}", f"{name} at {host.replace('.', ' dot ')}"]
+    elif kind == "card":  # two side by side are one run of digits, which is no card
+        other = span[:-2] + span[-1] + span[-2] if luhn(re.sub("[^0-9]", "", span[:-2] + span[-1] + span[-2])) else span
+        return [(f"{span} {other}", len(span), len(span) + 1)]
+    return [(f, len(f), 0) for f in found]
 
 
 def _plausible(kind: int, text: str, start: int, end: int) -> bool:
@@ -188,14 +197,19 @@ class Model:
 
 def select(text: str, base: list, found: list, p: np.ndarray, threshold: dict) -> list[tuple[int, int, int, str]]:
     """Base spans and the proposals above their thresholds, best first, that overlap no span so far."""
-    taken = sorted((s, e) for s, _, e, _ in base)
+    taken: list[tuple[int, int]] = []  # disjoint: base spans of several kinds may overlap each other
+    for s, e in sorted((s, e) for s, _, e, _ in base):
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
     out = list(base)
     for i in sorted(np.flatnonzero(p >= min(threshold.values())).tolist(), key=lambda i: (-p[i], found[i][1], -found[i][2])):
         k, s, e = found[i]
         if p[i] < threshold[k]:
             continue
         at = bisect_left(taken, (s, e))
-        if at < len(taken) and taken[at][0] < e or any(b > s for _, b in taken[max(0, at - 4) : at]):
+        if at < len(taken) and taken[at][0] < e or at and taken[at - 1][1] > s:
             continue
         taken.insert(at, (s, e))
         out.append((s, k, e, KINDS[k]))
