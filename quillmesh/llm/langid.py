@@ -8,8 +8,6 @@ most SAMPLE_DOCS documents (drawn per language by a hash, so rare languages are
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +21,6 @@ SAMPLE_DOCS = 4000
 WINDOWS, WINDOW = 3, 48
 STEPS, BATCH, RATE = 350, 192, 0.015
 PAD = 256
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class BiGRU:
@@ -143,6 +140,11 @@ def encode(windows: list[bytes], span: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numerals such as a half or a Roman eight are none."""
+    return any(map(str.isalpha, text))
+
+
 def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
@@ -188,7 +190,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                     out.append((k, raw[a : a + WINDOW]))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary())], ["lang", "window"])
 
-    rows = drawn.select(F.col(doc_id).cast("long"), F.col(text), F.col(lang)).mapInArrow(run, "lang string, window binary").limit(4 * WINDOWS * sample_docs).collect()
+    rows = drawn.select(F.col(doc_id).cast("long"), F.col(text), F.col(lang)).mapInArrow(run, "lang string, window binary").orderBy(F.xxhash64("window", "lang"), "window", "lang").limit(4 * WINDOWS * sample_docs).collect()  # by hash, so the model doesn't depend on the order of tasks
     rows = sorted((r["lang"], bytes(r["window"])) for r in rows)
     labels = sorted({k for k, _ in rows}) or ["und"]
     model = BiGRU(labels)
@@ -206,7 +208,7 @@ def predict(docs: DataFrame, model: BiGRU, doc_id: str = "doc_id", text: str = "
         m = sent.value
         for b in slices(batches, 256):
             texts = b.column(2).to_pylist()
-            live = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+            live = [i for i, t in enumerate(texts) if t and has_letter(t)]
             q = pooled(m, [_bytes(texts[i]) for i in live])
             best = q.argmax(1) if live else []
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
