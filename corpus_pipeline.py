@@ -28,11 +28,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of links the document of the smallest doc_id; of rows that repeat a doc_id, one."""
+    """Of each component of links the document of the smallest doc_id; of rows that repeat a doc_id, the one of the least text.
+
+    Rows with a null doc_id stay.
+    """
     groups = materialize(ngram_join.join(docs), "groups")
     kept = _without(docs, groups.where("doc_id <> component_id"))
-    repeats = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return kept if repeats.isEmpty() else kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id IS NULL"))
+    repeats = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeats.isEmpty():
+        return kept
+    rest = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    first = kept.join(repeats, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
+    return kept.join(repeats, "doc_id", "left_anti").unionAll(first.select("doc_id", "row.*").select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
