@@ -60,7 +60,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quillmesh-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialize() that nothing still to be computed reads."""
+    for t in tables:
+        if t is not None:
+            _remove(t.sparkSession, t.written_at)
 
 
 def parallelism(spark: SparkSession) -> int:

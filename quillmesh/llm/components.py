@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize
+from quillmesh.llm.common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,12 +17,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "v"), "labels")
+    written = labels
     while True:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("component").alias("near"))
         near = labels.join(near, labels.v == near.a).select("v", F.col("component").alias("old"), F.least("component", "near").alias("c"))
         step = materialize(near, "near")
         jump = step.select(F.col("v").alias("at"), F.col("c").alias("further"))
         new = materialize(step.join(jump, step.c == jump["at"]).select("v", "old", F.least("c", "further").alias("component")), "labels")
-        labels = new.select("v", "component")
+        release(step, written)
+        labels, written = new.select("v", "component"), new
         if new.where("component <> old").isEmpty():
             return labels

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize, trim
+from quillmesh.llm.common import materialize, release, trim
 
 SCHEMA = "block int, origin string, keys binary, counts binary, member binary"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -31,9 +31,13 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 
 class Share:
-    """An origin's different keys (rows of uint64), dealt into blocks; ``number`` is each given row's place among them."""
+    """An origin's different keys (rows of uint64), dealt into blocks; ``number`` is each given row's place among them.
 
-    def __init__(self, rows: np.ndarray, blocks: int):
+    With ``short``, 32 bits of a key are told apart within a block: of very few keys the total is then too high, the same
+    for all of their holders.
+    """
+
+    def __init__(self, rows: np.ndarray, blocks: int, short: bool = False):
         order = _order(rows)
         new = _starts(rows[order])
         number = np.empty(len(rows), np.int64)
@@ -47,6 +51,7 @@ class Share:
         back[order] = np.arange(len(order))
         self.number = back[number]
         self.keys, self._at = np.ascontiguousarray(keys[order]), at[order]
+        self._sent = mixed.astype(np.uint32)[order] if short else self.keys
         self._counts = np.bincount(self.number, minlength=len(keys)).astype(np.int32)
 
     def batch(self, member: bytes) -> pa.RecordBatch:
@@ -54,19 +59,20 @@ class Share:
         cut = np.flatnonzero(np.diff(self._at, prepend=-1))
         ends = np.append(cut[1:], len(self._at))
         col = lambda a: [None, *(a[b:e].tobytes() for b, e in zip(cut, ends))]
-        columns = ([-1, *self._at[cut].tolist()], [uuid.uuid4().hex] * (len(cut) + 1), col(self.keys), col(self._counts), [member, *[None] * len(cut)])
+        columns = ([-1, *self._at[cut].tolist()], [uuid.uuid4().hex] * (len(cut) + 1), col(self._sent), col(self._counts), [member, *[None] * len(cut)])
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), *[pa.binary()] * 3))], _NAMES)
 
 
 def totals(dealt: DataFrame, words: int, home, schema: str, name: str) -> DataFrame:
-    """home(member, the totals of the origin's keys in their order) for each origin: a DataFrame of ``schema``.
+    """home(member, the totals of the origin's keys in their order) for each origin: a written table of ``schema``.
 
-    ``dealt`` as from Share.batch(), keys of ``words`` words. It is written first, since origins are named at random.
+    ``dealt`` as from Share.batch(), keys of ``words`` words, or short ones (0). It is written first, since origins are
+    named at random.
     """
     dealt = materialize(dealt, name)
 
     def judge(pdf):
-        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64).reshape(-1, words)
+        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64 if words else np.uint32).reshape(-1, max(1, words))
         counts = np.frombuffer(b"".join(pdf["counts"]), np.int32)
         order = _order(keys)
         group = np.empty(len(keys), np.int64)
@@ -85,4 +91,6 @@ def totals(dealt: DataFrame, words: int, home, schema: str, name: str) -> DataFr
 
     judged = dealt.where("block >= 0").select("block", "origin", "keys", "counts").groupBy("block").applyInPandas(judge, "origin string, block int, totals binary")
     both = dealt.where("block < 0").select("origin", "block", F.lit(None).cast("binary").alias("totals"), "member").unionAll(judged.select("origin", "block", "totals", F.lit(None).cast("binary").alias("member")))
-    return both.groupBy("origin").applyInPandas(back, schema)
+    out = materialize(both.groupBy("origin").applyInPandas(back, schema), f"{name}-home")
+    release(dealt)
+    return out

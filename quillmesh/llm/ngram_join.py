@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize, need, parallelism, slices, space_words
+from quillmesh.llm.common import materialize, need, parallelism, release, slices, space_words
 from quillmesh.llm.components import components
 from quillmesh.llm.exchange import SCHEMA, Share, totals
 
@@ -92,7 +92,7 @@ def _frequent(docs: DataFrame, blocks: int) -> DataFrame:
         size = 0
 
         def flush():
-            share = Share(np.concatenate([g for g, _, _ in held])[:, None], blocks)
+            share = Share(np.concatenate([g for g, _, _ in held])[:, None], blocks, short=True)
             sizes = np.array([(n, len(g)) for g, n, _ in held], np.int64)
             member = len(held).to_bytes(8, "little") + b"".join(k for _, _, k in held) + sizes.tobytes() + share.number.astype(np.int32).tobytes()
             held.clear()
@@ -123,7 +123,7 @@ def _frequent(docs: DataFrame, blocks: int) -> DataFrame:
         shared = np.add.reduceat(found[number] > 1, np.cumsum(sizes[:, 1]) - sizes[:, 1], dtype=np.int64)
         return pd.DataFrame({"digest": [k for k, ok in zip(keys, shared >= prefix_least(sizes[:, 0])) if ok]})
 
-    return totals(docs.mapInArrow(deal, SCHEMA), 1, home, "digest binary", "prefixes")
+    return totals(docs.mapInArrow(deal, SCHEMA), 0, home, "digest binary", "prefixes")
 
 
 def _columns(rows: DataFrame, blocks: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _columns(rows: DataFrame, blocks: int) -> DataFrame:
         size = 0
 
         def flush():
-            share = Share(np.concatenate([g for _, g in held])[:, None], blocks)
+            share = Share(np.concatenate([g for _, g in held])[:, None], blocks, short=True)
             docs = np.array([(i, len(g)) for i, g in held], np.int64)
             member = len(held).to_bytes(8, "little") + len(share.keys).to_bytes(8, "little") + docs.tobytes() + share.keys.tobytes() + share.number.astype(np.int32).tobytes()
             held.clear()
@@ -169,7 +169,7 @@ def _columns(rows: DataFrame, blocks: int) -> DataFrame:
         central = (shared * 1_000_000 // np.maximum(1, size))[at]
         return pd.DataFrame({"gram": h[keep].view(np.int64), "doc_id": docs[at[keep], 0], "n": size[at[keep]], "rank": rank[keep], "central": central[keep]})
 
-    return totals(rows.mapInArrow(deal, SCHEMA), 1, home, "gram long, doc_id long, n long, rank long, central long", "postings")
+    return totals(rows.mapInArrow(deal, SCHEMA), 0, home, "gram long, doc_id long, n long, rank long, central long", "postings")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -203,8 +203,8 @@ def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
     total = every.agg(F.sum(F.least("n_shingles", (F.col("n_shingles") * 2 / 5).cast("long") + 2)), F.sum("n_shingles")).first()
     blocks = max(parallelism(spark), -(-(total[0] or 0) // BLOCK_POSTINGS))
 
-    near = _frequent(docs, int(blocks)).distinct()
-    picked = materialize(reps.join(near, "digest").select(F.col("rep").alias("doc_id"), "digest"), "picked")
+    near = _frequent(docs, int(blocks))
+    picked = materialize(reps.join(near.distinct(), "digest").select(F.col("rep").alias("doc_id"), "digest"), "picked")
 
     def sets(batches):
         for b in slices(batches, 256):
@@ -217,8 +217,7 @@ def links(docs: DataFrame, every: DataFrame, reps: DataFrame) -> DataFrame:
     rows = materialize(rows, "sets")
     size = rows.agg(F.sum("n")).first()[0] or 0
     blocks = int(max(parallelism(spark), -(-size // BLOCK_POSTINGS)))
-    columns = materialize(_columns(rows, blocks), "columns")
-    return _product(columns, rows)
+    return _product(_columns(rows, blocks), rows)
 
 
 def _beside(pairs: DataFrame, rows: DataFrame, key: str, other: str, name: str) -> DataFrame:
@@ -263,12 +262,14 @@ def _product(columns: DataFrame, rows: DataFrame) -> DataFrame:
     stage = "centre"
     while True:
         best = F.max(F.struct("central", "n", "doc_id", "rank"))
+        spent = []
         if stage == "centre":
             # of each component of a column the most central row, paired with the most central of the column
             own = labelled.groupBy("gram", "component").agg(best.alias("own"))
             own = materialize(own.select("gram", F.pmod(F.xxhash64("component"), F.lit(16)).alias("salt"), "component", "own"), "own")
             top = own.groupBy("gram").agg(F.max(F.struct("own", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
             top = materialize(top.select("gram", "top", F.explode(F.array([F.lit(k).cast("long") for k in range(16)])).alias("salt")), "top")
+            spent = [own, top]
             pairs = own.join(top, ["gram", "salt"]).where((c("component") != c("top.component")) & fits(c("own.n"), c("own.rank"), c("top.own.n"), c("top.own.rank")))
             pairs = pairs.select(c("own.doc_id").alias("d"), c("top.own.doc_id").alias("e"))
         else:
@@ -278,9 +279,12 @@ def _product(columns: DataFrame, rows: DataFrame) -> DataFrame:
             for _ in range(3):
                 mixed = materialize(side.groupBy("gram").agg(*span).where("lo < hi").select("gram", "least"), "mixed")
                 other = F.greatest("least", F.ceil(c("n") * NUM / DEN))
+                spent.append(mixed)
                 side = materialize(side.drop("least").join(mixed, "gram").where((c("n") - c("rank")) * (NUM + DEN) >= NUM * (c("n") + other)), "side")
+                spent.append(side)
             mixed = side.groupBy("gram").agg(*span).where("lo < hi").select("gram")
             side = materialize(side.join(mixed, "gram", "left_semi"), "side")
+            spent.append(side)
             one = side.select("gram", c("doc_id").alias("d"), "n", c("rank").alias("i"), "component")
             two = side.select("gram", c("doc_id").alias("e"), c("n").alias("m"), c("rank").alias("j"), c("component").alias("other"))
             pairs = one.join(two, "gram").where((c("component") < c("other")) & fits(c("n"), c("i"), c("m"), c("j"))).select("d", "e")
@@ -289,6 +293,7 @@ def _product(columns: DataFrame, rows: DataFrame) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         new = _verified(pairs, rows)
+        release(*spent)
         tested = pairs if tested is None else tested.unionAll(pairs)
         none = new.isEmpty()
         found = new if found is None else found.unionAll(new)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize, need, parallelism, slices, trim
+from quillmesh.llm.common import materialize, need, parallelism, release, slices, trim
 from quillmesh.llm.exchange import SCHEMA, Share, totals
 
 SPAN, K = 400, 32
@@ -122,7 +122,7 @@ def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
             which, place, h = anchors(texts)
             if not len(h):
                 continue
-            share = Share(h[:, None], blocks)
+            share = Share(h[:, None], blocks, short=True)
             begin = np.flatnonzero(np.diff(which, prepend=-1))
             docs = np.column_stack([ids[which[begin]], digests[which[begin]], np.diff(np.append(begin, len(which)))]).astype(np.int64)
             member = len(docs).to_bytes(8, "little") + docs.tobytes() + np.stack([share.number, place]).astype(np.int32).tobytes()
@@ -138,7 +138,7 @@ def repeated_anchors(units: DataFrame, blocks: int) -> DataFrame:
         out = pd.DataFrame({"id": docs[:, 0], "digest": docs[:, 1], "places": places})
         return out[[bool(p) for p in places]]
 
-    return totals(units.mapInArrow(deal, SCHEMA), 1, home, "id long, digest long, places binary", "dealt")
+    return totals(units.mapInArrow(deal, SCHEMA), 0, home, "id long, digest long, places binary", "dealt")
 
 
 def _merged(parts: DataFrame, column: str) -> DataFrame:
@@ -420,7 +420,9 @@ def spans(units: DataFrame) -> DataFrame:
     spark = units.sparkSession
     size = units.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(max(4 * parallelism(spark), size // 200_000_000))
-    found = materialize(_merged(repeated_anchors(units, blocks), "places"), "places")
+    raw = repeated_anchors(units, blocks)
+    found = materialize(_merged(raw, "places"), "places")
+    release(raw)
     total = (found.agg(F.sum(F.aggregate("places", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0) // 4
     parts = int(min(MAX_PARTS, max(parallelism(spark), total // PART_ENTRIES)))
     limit = int(min(MOST_ORIGIN_ENTRIES, max(ORIGIN_ENTRIES, 4 * parts)))
@@ -485,6 +487,7 @@ def spans(units: DataFrame) -> DataFrame:
     one = materialize(texts.mapInArrow(run, RUNS).groupBy("part").applyInPandas(first, "id long, digest long, spans binary, part int, payload binary, info binary"), "merged")
     two = one.where("part >= 0").select("part", "payload", "info").groupBy("part").applyInPandas(second, "id long, digest long, spans binary, head long, first int, last int, unsure boolean")
     two = materialize(two, "settled")
+    release(found)
     out = one.where("part < 0").select("id", "digest", "spans").unionAll(two.where("spans IS NOT NULL").select("id", "digest", "spans"))
     if not two.where("unsure").isEmpty():
         out = out.unionAll(_windows(units, two.where("head IS NOT NULL"), blocks))
