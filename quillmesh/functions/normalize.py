@@ -58,7 +58,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC; rows of ASCII alone don't change, so Python's result is used only where there is anything else."""
+    """NFKC; ASCII doesn't change under it, so of such rows only a null is sent to Python."""
     return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(c)
 
 
@@ -104,63 +104,83 @@ def reference_numbers(source: Column) -> Column:
 
 
 def without_identifiers(source: Column) -> Column:
-    return reduce(_remove, (IBAN, TAX, IDENTITY, REFERENCE, DATE, TIME), source)
+    """IBANs, tax and identity numbers, references, dates and times in turn; but for references, all have digits."""
+    number = source.rlike("[0-9]")
+    c = _remove(F.when(number, reduce(_remove, (IBAN, TAX, IDENTITY), source)).otherwise(source), REFERENCE)
+    return F.when(number, reduce(_remove, (DATE, TIME), c)).otherwise(c)
 
 
-def legal_types(bare: Column) -> Column:
-    """Names of the legal forms found in turn, each taken out before the next is looked for; ``bare`` as from without_identifiers()."""
-    c, found = bare, []
-    for name, pattern in LEGAL_FORMS:
-        found.append(F.when(c.rlike(_U + pattern), F.lit(name)))
-        c = _remove(c, pattern)
-    return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
+def _words_of(words) -> str:
+    return "(?:" + "|".join(words) + ")"
 
 
-def surface(bare: Column) -> Column:
-    """What is left without identifiers when legal forms and long numbers are gone too, in words of a-z and 0-9."""
-    c = bare
-    for _, pattern in LEGAL_FORMS:
-        c = _remove(c, pattern)
-    return F.trim(F.regexp_replace(_remove(c, LONG_NUMBER), "[^a-z0-9]+", " "))
+_STOP = " " + _words_of(STOPWORDS) + "(?= )"
+_SHORT = " " + _words_of(ABBREVIATIONS) + "(?= )"
+
+
+def _between_spaces(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
+def without_stop_words(text: Column) -> Column:
+    """``text``: words of a-z and 0-9 with one space before, between and after them; so is the result."""
+    return F.regexp_replace(text, _STOP, "")
 
 
 def _lookup() -> Column:
     return F.create_map(*(F.lit(x) for kv in ABBREVIATIONS.items() for x in kv))
 
 
-def full_tokens(text: Column) -> Column:
-    """Words without stop words, abbreviations written out; ``text`` as from surface()."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    plain = lambda a: F.filter(a, lambda x: ~F.array_contains(stop, x) & (x != ""))
-    return plain(F.transform(plain(F.split(text, " ")), lambda x: F.coalesce(_lookup()[x], x)))
+def written_out(text: Column) -> Column:
+    """Abbreviations written out; rows without any are only searched. ``text`` as for without_stop_words()."""
+    full = F.array_join(F.transform(F.split(text, " "), lambda x: F.coalesce(_lookup()[x], x)), " ")
+    return F.when(text.rlike(_SHORT), full).otherwise(text)
 
 
-def without_repeats(tokens: str) -> Column:
-    """Equal neighbours once. Takes a column's name: an expression would be computed again for every element."""
-    return F.filter(tokens, lambda x, i: (i == 0) | (x != F.get(F.col(tokens), i - 1)))
+def without_repeats(text: Column) -> Column:
+    """Equal neighbours once, in words of a-z and 0-9."""
+    return F.regexp_replace(text, r"(?<![a-z0-9])([a-z0-9]+)(?: \1(?![a-z0-9]))+", "$1")
 
 
 def expansions(text: Column) -> Column:
     """The abbreviations written out, as a map."""
     found = F.array_distinct(F.filter(F.split(text, " "), lambda x: _lookup()[x].isNotNull() & (_lookup()[x] != x)))
-    return F.map_from_arrays(found, F.transform(found, lambda x: _lookup()[x]))
+    none = F.create_map().cast("map<string,string>")
+    return F.when(_between_spaces(text).rlike(_SHORT), F.map_from_arrays(found, F.transform(found, lambda x: _lookup()[x]))).otherwise(F.when(text.isNotNull(), none))
 
 
 def removed_tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, " "), lambda x: F.array_contains(F.array(*map(F.lit, STOPWORDS)), x)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(_between_spaces(text), F.lit(_STOP), 0), lambda x: F.trim(x)))
+
+
+def unicode_surface(c: Column) -> Column:
+    """Words of letters, digits and underscores of any script, one space between them."""
+    return F.trim(F.regexp_replace(c, r"(?U)[^\w]+", " "))
 
 
 def normalize(df, text: str = "text", with_nfkc: bool = True):
-    """Adds core_text, ascii_text, legal_types, reference_numbers, removed_tokens, expanded_tokens and identifiers.
+    """Adds normalized_text, core_text, ascii_text, tokens, legal_types, reference_numbers, removed_tokens, expanded_tokens and identifiers.
 
-    Null stays null; a blank text has an empty core. The stages are columns of their own, so none is computed twice.
+    Null stays null; a blank text has an empty core (see validate() for it as an error). The stages are columns of their
+    own, so none is computed twice; legal forms are found in turn, each taken out before the next is looked for. Only
+    texts that aren't ASCII are sent to Python for NFKC.
     """
-    s = df.withColumn("_source", ascii_source(F.col(text), with_nfkc)).withColumn("_bare", without_identifiers(F.col("_source"))).withColumn("_surface", surface(F.col("_bare"))).withColumn("_full", full_tokens(F.col("_surface")))
+    s = df.withColumn("_clean", nfkc(F.trim(F.col(text))) if with_nfkc else F.trim(F.col(text))).withColumn("_source", ascii_fold(turkish_lower(F.col("_clean"))))
+    s = s.withColumn("_l0", without_identifiers(F.col("_source")))
+    for i, (name, pattern) in enumerate(LEGAL_FORMS):
+        s = s.withColumn(f"_f{i}", F.when(F.col(f"_l{i}").rlike(_U + pattern), F.lit(name))).withColumn(f"_l{i + 1}", _remove(F.col(f"_l{i}"), pattern))
+    n = len(LEGAL_FORMS)
+    s = s.withColumn("_surface", F.trim(F.regexp_replace(_remove(F.col(f"_l{n}"), LONG_NUMBER), "[^a-z0-9]+", " ")))
+    s = s.withColumn("_plain", without_stop_words(_between_spaces(F.col("_surface")))).withColumn("_full", without_stop_words(written_out(F.col("_plain"))))
+    ascii_text = F.trim(F.regexp_replace("_source", "[^a-z0-9]+", " "))
+    s = fixed(s, F.struct(without_repeats(F.trim("_full")).alias("core"), ascii_text.alias("ascii")), "_t")
     return s.select(
         *df.columns,
-        F.array_join(without_repeats("_full"), " ").alias("core_text"),
-        F.trim(F.regexp_replace("_source", "[^a-z0-9]+", " ")).alias("ascii_text"),
-        legal_types(F.col("_bare")).alias("legal_types"),
+        unicode_surface(turkish_lower(F.col("_clean"))).alias("normalized_text"),
+        F.col("_t.core").alias("core_text"),
+        F.col("_t.ascii").alias("ascii_text"),
+        F.filter(F.split("_t.core", " "), lambda x: x != "").alias("tokens"),
+        F.array_distinct(F.filter(F.array(*(F.col(f"_f{i}") for i in range(n))), lambda x: x.isNotNull())).alias("legal_types"),
         reference_numbers(F.col("_source")).alias("reference_numbers"),
         removed_tokens(F.col("_surface")).alias("removed_tokens"),
         expansions(F.col("_surface")).alias("expanded_tokens"),
@@ -168,6 +188,18 @@ def normalize(df, text: str = "text", with_nfkc: bool = True):
     )
 
 
+def fixed(df, column: Column, name: str):
+    """Adds a column that filters and joins take as it is: none moves its long expression below, to compute it once more."""
+    return df.withColumn(name, F.explode(F.array(column)))
+
+
+def validate(text: Column, limit: Column) -> Column:
+    """Why a request is refused, or null: a text of 1 to 2000 characters that isn't blank, a limit of 1 to 50."""
+    return (
+        F.when(text.isNull() | (F.trim(text) == ""), "BLANK_TEXT").when(F.length(text) > 2000, "TEXT_TOO_LONG").when(limit.isNull() | (limit < 1) | (limit > 50), "LIMIT_OUT_OF_RANGE")
+    )
+
+
 def matching_text(core: Column, ascii_text: Column) -> Column:
     """The core, or the ASCII text where the core is empty."""
     return F.trim(F.coalesce(F.when(core != "", core), ascii_text))
@@ -182,14 +214,46 @@ def safe_exact(query: Column) -> Column:
     return F.length(F.regexp_replace(query, r"[^\p{L}\p{N}]", "")) >= 3
 
 
-def short_name(name: Column, suffixes: tuple[str, ...] = ("incorporated", "inc", "corporation", "corp", "limited", "ltd", "llc", "plc", "gmbh", "ag", "sa", "spa", "bv", "nv", "as", "ab"), times: int = 4) -> Column:
+# Legal forms at the end of names, in several countries.
+NAME_ENDINGS = (
+    r"incorporated", r"inc\.?", r"corporation", r"corp\.?", r"limited\s+liability\s+company", r"l\.?\s*l\.?\s*c\.?", r"public\s+limited\s+company", r"p\.?\s*l\.?\s*c\.?",
+    r"limited", r"ltd\.?", r"gesellschaft\s+mit\s+beschr[aä]nkter\s+haftung", r"gmbh", r"aktiengesellschaft", r"ag", r"soci[eé]t[eé]\s+anonyme", r"s\.?\s*a\.?", r"s\.?\s*a\.?\s*s\.?",
+    r"sarl", r"n\.?\s*v\.?", r"b\.?\s*v\.?", r"s\.?\s*p\.?\s*a\.?", r"s\.?\s*r\.?\s*l\.?", r"anonim\s+[şs]irketi", r"limited\s+[şs]irketi", r"a\.?\s*[şs]\.?", r"ltd\.?\s*[şs]ti\.?",
+)
+_ENDING = r"(?iu)(?:,\s*|\s+)(?:" + "|".join(NAME_ENDINGS) + r")\s*$"
+
+
+def short_name(name: Column) -> Column:
     """The name without trailing legal forms, taken off one by one while at least three characters are left."""
-    pattern = r"(?i)[\s,.-]+(?:" + "|".join(suffixes) + r")\.?\s*$"
-    c = name
-    for _ in range(times):
-        cut = F.regexp_replace(F.regexp_replace(c, pattern, ""), r"^[\" ,.-]+|[\" ,.-]+$", "")
-        c = F.when(F.length(cut) >= 3, cut).otherwise(c)
-    return c
+    bare = lambda c: F.regexp_replace(c, "^[ ,.-]+|[ ,.-]+$", "")
+
+    def less(c, _):
+        cut = bare(F.regexp_replace(c, _ENDING, ""))
+        return F.when(F.length(cut) >= 3, cut).otherwise(c)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(F.split(name, r"\s+"))), bare(name), less)  # no name has more forms than words
+
+
+LETTERS = "A-Za-zÇĞİÖŞÜçğıöşü"
+
+
+def latin_dominant(c: Column) -> Column:
+    """Whether at least .6 of the letters and digits are letters of the Latin or Turkish alphabet."""
+    every = F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    return F.when(every > 0, F.length(F.regexp_replace(c, f"[^{LETTERS}]", "")) / every >= 0.6).otherwise(False)
+
+
+def unicode_tokens(c: Column) -> Column:
+    """Runs of letters and digits of any script."""
+    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def query_length(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+
+
+def query_tokens(c: Column) -> Column:
+    return F.size(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
 
 
 def stable_id(key: Column) -> Column:
@@ -201,6 +265,10 @@ def as_boolean(c: Column) -> Column:
     return F.lower(F.trim(c)).isin("1", "true", "yes", "y", "evet")
 
 
+def as_integer(c: Column, default: int = 0) -> Column:
+    return F.coalesce(F.floor(F.trim(c).try_cast("double")).cast("long"), F.lit(default))
+
+
 def as_double(c: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.regexp_replace(c, ",", ".").try_cast("double"), F.lit(default))
 

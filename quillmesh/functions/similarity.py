@@ -124,7 +124,9 @@ def wratio_of(a: str, b: str) -> float:
     if long < 1.5:
         return max(base, 0.95 * max(ratio_of(sort(a), sort(b)), token_set_ratio_of(a, b)))
     s = 0.9 if long <= 8 else 0.6
-    return max(base, s * partial_ratio_of(a, b), 0.95 * s * max(partial_ratio_of(sort(a), sort(b)), partial_ratio_of(" ".join(sorted(set(a.split()))), " ".join(sorted(set(b.split()))))))
+    x, y = set(a.split()), set(b.split())
+    words = 1.0 if x & y else max(partial_ratio_of(sort(a), sort(b)), partial_ratio_of(" ".join(sorted(x)), " ".join(sorted(y))))
+    return max(base, s * partial_ratio_of(a, b), 0.95 * s * words)
 
 
 def _pairs(f):
@@ -151,15 +153,26 @@ def base_rerank_weight(length: Column, tokens: Column, gap: Column) -> Column:
     return F.least(w, F.when(gap < 0.03, 0.15).when(gap < 0.06, 0.25).otherwise(1.0))
 
 
+#: Scores that count as evidence from the name itself.
+LEXICAL = ("char_wb_tfidf", "raw_char_tfidf", "char_tfidf", "ratio", "wratio", "jaro_winkler", "token_prefix")
+
+
+def lexical_evidence(columns: list[str]) -> Column:
+    """The best of the lexical scores that there are, each within [0, 1]."""
+    return F.greatest(F.lit(0.0), F.lit(0.0), *(clamp(F.col(c).cast("double")) for c in LEXICAL if c in columns))
+
+
 def adjusted_rerank_score(score: Column, evidence: Column) -> Column:
+    evidence = clamp(evidence)
     return F.least(clamp(score), F.when(evidence < 0.20, 0.35).when(evidence < 0.30, 0.50).when(evidence < 0.40, 0.65).otherwise(1.0))
 
 
 def candidate_rerank_weight(base: Column, evidence: Column, identifier: Column, ambiguous: Column) -> Column:
+    evidence = clamp(evidence)
     cap = F.when(evidence < 0.20, 0.0).when(evidence < 0.30, 0.10).when(evidence < 0.40, 0.20).otherwise(0.50)
     return F.greatest(F.lit(0.0), F.least(base, cap, F.when(identifier, 0.10).otherwise(0.50), F.when(ambiguous, 0.20).otherwise(0.50)))
 
 
 def final_decision(unique: Column, ambiguous: Column, final: Column, retrieval: Column, adjusted: Column, evidence: Column, margin: Column) -> Column:
-    auto = (final >= 0.90) & (retrieval >= 0.70) & (adjusted >= 0.70) & (evidence >= 0.55) & (margin >= 0.08)
+    auto = (final >= 0.90) & (retrieval >= 0.70) & (adjusted >= 0.70) & (clamp(evidence) >= 0.55) & (margin >= 0.08)
     return F.when(final.isNull(), "UNKNOWN").when(unique, "AUTO_MATCH").when(ambiguous, "MANUAL_REVIEW").when(auto, "AUTO_MATCH").when(final >= 0.58, "MANUAL_REVIEW").otherwise("UNKNOWN")

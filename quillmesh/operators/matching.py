@@ -1,19 +1,28 @@
 """Candidate retrieval: pool, channels, hybrid score, best alias per entity, top k and decision.
 
-Every channel is an equi-join (text, identifier, n-gram), so nothing is a cross join; fuzzy kernels see only pairs that
-some channel proposed. The pool may grow: no side is broadcast here, Catalyst does so where statistics allow.
+Exact texts and identifiers are equi-joins. The n-gram and edit channels hold the queries against all aliases in blocks
+of bounded size, by cogrouped joins, and only the best of each query and block leave a task: a frequent n-gram is a list
+within its block, and no pair below the top is ever a row. Scores of the proposed pairs are computed on these alone.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmesh.functions import normalize as N
 from quillmesh.functions import similarity as S
+from quillmesh.functions.edit import Block
+
+#: Aliases, and queries, of a block; queries are split further while there are tasks without work.
+BLOCK_ALIASES, BLOCK_QUERIES = 10_000, 2_048
+#: Ranges into which numbered rows are cut.
+RANGES = 4096
 
 
 def build_pool(companies: DataFrame, aliases: DataFrame, with_nfkc: bool = True) -> DataFrame:
@@ -32,16 +41,22 @@ def build_pool(companies: DataFrame, aliases: DataFrame, with_nfkc: bool = True)
     given, named = texts(given), texts(named.where("trim(alias_text) <> ''"))
     first = named.withColumn("r", F.row_number().over(Window.partitionBy("company_id", "normalized_alias").orderBy("o"))).where("r = 1")
     new = first.join(given.select("company_id", "normalized_alias"), ["company_id", "normalized_alias"], "left_anti")
-    new = number(new, ["company_id", "o"], "k").withColumn("alias_id", -F.col("k"))
+    lo, hi = new.agg(F.min("company_id"), F.max("company_id")).first()
+    span = max(1, ((hi or 0) - (lo or 0)) // RANGES + 1)
+    new = number(new, ["company_id", "o"], "k", F.floor((F.col("company_id") - F.lit(lo or 0)) / span)).withColumn("alias_id", -F.col("k"))
     return given.unionByName(new.select(*given.columns))
 
 
-def number(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds the row number from 1 in an order, without bringing all rows to one task: range partitions, then offsets."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = parts.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))  # a row for each partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + 1 + F.col("_before")).drop("_part", "_at", "_before")
+def number(df: DataFrame, order: list[str], name: str, bucket: Column) -> DataFrame:
+    """Adds the row number from 1 in an order that ``bucket``, a coarse value of its first column, follows.
+
+    Rows are numbered within their buckets, whose sizes alone are combined; a row's number depends on the data only.
+    """
+    df = df.withColumn("_bucket", bucket)
+    sizes = df.groupBy("_bucket").agg(F.count("*").alias("_n"))  # a row for each bucket
+    before = sizes.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return df.withColumn("_at", at).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_at") + F.col("_before")).drop("_bucket", "_at", "_before")
 
 
 def exact_flags(queries: DataFrame, pool: DataFrame) -> DataFrame:
@@ -53,12 +68,35 @@ def exact_flags(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return j.select("query_id", exact.alias("exact_match"), unique.alias("unique_exact_match"), (exact & ~unique).alias("ambiguous_exact_match"))
 
 
+def ownership(pool: DataFrame) -> DataFrame:
+    """(normalized_alias, company_id, originals array<string>): which texts of a company are written so."""
+    return pool.groupBy("normalized_alias", "company_id").agg(F.sort_array(F.collect_set(F.trim("alias_text"))).alias("originals"))
+
+
 def collisions(pool: DataFrame) -> DataFrame:
     """Normalised texts that several entities share."""
     g = pool.groupBy("normalized_alias").agg(F.count_distinct("company_id").alias("n_owners"), F.min("company_id").alias("first_owner"))
     return g.where("n_owners > 1")
 
 
+def query_collisions(queries: DataFrame, owners: DataFrame, most: int = 20) -> DataFrame:
+    """Adds has_collision, collision_company_ids and collision_aliases to queries (query_id, normalized_query, company_id).
+
+    A query collides with the texts of other companies that are written like it; ``owners`` as from ownership(). At most
+    ``most`` aliases are listed, in order.
+    """
+    mine = queries.withColumn("_q", F.col("query_id"))
+    hit = mine.select("_q", "normalized_query", F.col("company_id").alias("_own")).join(owners, F.col("normalized_query") == F.col("normalized_alias")).where(F.col("company_id") != F.col("_own"))
+    named = F.transform("originals", lambda x: F.concat_ws(":", F.col("company_id").cast("string"), x))
+    found = hit.groupBy("_q").agg(
+        F.array_join(F.sort_array(F.collect_set(F.col("company_id").cast("string"))), "|").alias("collision_company_ids"),
+        F.array_join(F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("company_id").cast("string").alias("c"), named.alias("n")))), lambda x: x["n"])), 1, most), "|").alias("collision_aliases"),
+    )
+    none = F.lit("")
+    out = mine.join(found, "_q", "left").withColumn("has_collision", F.col("collision_company_ids").isNotNull())
+    return out.withColumn("collision_company_ids", F.coalesce("collision_company_ids", none)).withColumn("collision_aliases", F.coalesce("collision_aliases", none)).drop("_q")
+
+
 def identifier_pairs(queries: DataFrame, pool: DataFrame, raw: str = "raw_text") -> DataFrame:
     """(query_id, alias_id) that share an identifier."""
     q = queries.select("query_id", F.explode(N.name_identifiers(F.col(raw))).alias("identifier"))
@@ -79,26 +117,135 @@ def char_grams(text: Column, words: bool) -> Column:
     return all_of(N.squeeze(text))
 
 
+def _chunks(queries: int, parallelism: int) -> int:
+    return max(1, -(-queries // BLOCK_QUERIES), min(queries // 64, 2 * parallelism))
+
+
+def _parallelism(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def _meet(left: DataFrame, left_key: str, n_left: int, right: DataFrame, right_key: str, n_right: int, f, schema: str) -> DataFrame:
+    """f(rows of a chunk of the left, rows of a block of the right) for every chunk and block."""
+    chunk = lambda k, n: F.pmod(F.xxhash64(k), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumn("_c", chunk(left_key, n_left)).withColumn("_b", each(n_right))
+    b = right.withColumn("_b", chunk(right_key, n_right)).withColumn("_c", each(n_left))
+    return a.groupBy("_c", "_b").cogroup(b.groupBy("_c", "_b")).applyInPandas(f, schema)
+
+
 class TfIdf:
     """Vectors of character n-grams with sublinear frequencies, smoothed idf of the pool and unit length."""
 
     def __init__(self, pool: DataFrame, words: bool):
-        self.words = words
+        self.words, self.pool = words, pool
         tf = pool.select("alias_id", F.explode(char_grams(F.col("normalized_alias"), words)).alias("gram")).groupBy("alias_id", "gram").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
         n = pool.agg(F.count("*").alias("n"))
+        tf = tf.persist()
         self.idf = tf.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(n).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-        self.weights = self._unit(tf, "alias_id")
+        self.weights = self._unit(tf, "alias_id").persist()  # read by the channel and by the scores of pairs
 
     def _unit(self, tf: DataFrame, key: str) -> DataFrame:
         w = tf.join(self.idf, "gram").select(key, "gram", (F.col("tf") * F.col("idf")).alias("w"))
         norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         return w.join(norm, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("w"))
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, alias_id, score): cosines above 0; n-grams that the pool lacks are dropped before the norm."""
+    def query_weights(self, queries: DataFrame) -> DataFrame:
+        """(query_id, gram, w); n-grams that the pool lacks are dropped before the norm."""
         tf = queries.select("query_id", F.explode(char_grams(F.col("query_text"), self.words)).alias("gram")).groupBy("query_id", "gram").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
-        q = self._unit(tf, "query_id").withColumnRenamed("w", "wq")
-        return q.join(self.weights, "gram").groupBy("query_id", "alias_id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+        return self._unit(tf, "query_id")
+
+    def pair_scores(self, pairs: DataFrame, weights: DataFrame) -> DataFrame:
+        """(query_id, alias_id, score) of the given pairs that share an n-gram; ``weights`` as from query_weights()."""
+        q = pairs.join(weights.withColumnRenamed("w", "wq"), "query_id")
+        return q.join(self.weights, ["alias_id", "gram"]).groupBy("query_id", "alias_id").agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("score"))
+
+
+def _vector(df: DataFrame, key: str, kinds: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(key, kind, grams array<long>, w array<double>): n-grams by 64-bit hashes."""
+    each = (x.select(key, F.lit(k).alias("kind"), F.struct(F.xxhash64("gram").alias("g"), "w").alias("x")) for k, x in kinds)
+    rows = reduce(DataFrame.unionAll, each).groupBy(key, "kind").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return rows.select(key, "kind", F.col("x.g").alias("grams"), F.col("x.w").alias("w"))
+
+
+CHAR_WEIGHTS = (0.55, 0.45)
+
+
+def rounded(c: Column) -> Column:
+    """Six decimals, halves up, as the decimals say and not their binary neighbours."""
+    return F.round(F.round(c, 9), 6)
+
+
+def ngram_top(queries: DataFrame, spaces: list[TfIdf], n: int, combined: bool = True, weights: list[DataFrame] | None = None) -> DataFrame:
+    """(query_id, alias_id, channel, score): the n best cosines of each query above 0 in each space, and with two spaces in their combination (channel 2)."""
+    pool = spaces[0].pool
+    blocks = max(1, -(-pool.count() // BLOCK_ALIASES))
+    chunks = _chunks(queries.count(), _parallelism(pool))
+    q = _vector(queries, "query_id", list(enumerate(weights or [s.query_weights(queries) for s in spaces])))
+    a = _vector(pool, "alias_id", [(k, s.weights) for k, s in enumerate(spaces)])
+
+    n_spaces = len(spaces)
+
+    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "alias_id", "channel", "score"]
+        if not len(left) or not len(right):
+            return pd.DataFrame({x: [] for x in names})
+        ids = np.unique(right["alias_id"].to_numpy())
+        lists = {}
+        for k, part in right.groupby("kind"):
+            size = part["grams"].map(len).to_numpy()
+            gram, w = np.concatenate(part["grams"].to_list()), np.concatenate(part["w"].to_list())
+            row = np.repeat(np.searchsorted(ids, part["alias_id"].to_numpy()), size)
+            order = np.argsort(gram, kind="stable")
+            gram, w, row = gram[order], w[order], row[order]
+            begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            lists[k] = (gram[begin], begin, np.append(begin[1:], len(gram)), row, w)
+        out = []
+        for query, part in left.groupby("query_id"):
+            found = [np.zeros(len(ids)) for _ in range(n_spaces)]
+            for k, grams, w in zip(part["kind"], part["grams"], part["w"]):
+                if k in lists:
+                    known, begin, end, row, weight = lists[k]
+                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                    for j, x in zip(at[known[at] == grams].tolist(), np.asarray(w)[known[at] == grams].tolist()):
+                        found[k][row[begin[j] : end[j]]] += x * weight[begin[j] : end[j]]
+            found = [np.round(s, 6) for s in found]
+            if combined and len(found) == 2:
+                found.append(np.floor(np.round((CHAR_WEIGHTS[0] * found[0] + CHAR_WEIGHTS[1] * found[1]) * 1e6, 3) + 0.5) / 1e6)
+            for c, s in enumerate(found):
+                some = np.flatnonzero(s > 0)
+                order = some[np.lexsort((ids[some], -s[some]))][:n]
+                out += [(query, i, c, x) for i, x in zip(ids[order].tolist(), s[order].tolist())]
+        return pd.DataFrame(out, columns=names)
+
+    found = _meet(q, "query_id", chunks, a, "alias_id", blocks, look, "query_id long, alias_id long, channel int, score double")
+    w = Window.partitionBy("query_id", "channel").orderBy(F.desc("score"), "alias_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def edit_top(queries: DataFrame, pool: DataFrame, n: int, channels: tuple[str, ...] = ("jaro_winkler", "wratio")) -> DataFrame:
+    """(query_text, normalized_alias, channel, score, rank): of all different texts of the pool the n best by each similarity, exactly.
+
+    Ties go to the text that sorts first.
+    """
+    texts, asked = pool.select("normalized_alias").distinct(), queries.select("query_text").where("query_text <> ''").distinct()
+    blocks, chunks = max(1, -(-texts.count() // BLOCK_ALIASES)), _chunks(asked.count(), _parallelism(pool))
+
+    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(right["normalized_alias"])
+        block = Block(names)
+        out = [(q, names[i], c, round(s, 6)) for q in left["query_text"] for c in channels for i, s in getattr(block, c)(q, n)]
+        return pd.DataFrame(out, columns=["query_text", "normalized_alias", "channel", "score"])
+
+    found = _meet(asked, "query_text", chunks, texts, "normalized_alias", blocks, look, "query_text string, normalized_alias string, channel string, score double")
+    w = Window.partitionBy("query_text", "channel").orderBy(F.desc("score"), "normalized_alias")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def nearest_alias(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """Adds closest_alias and closest_similarity: the most similar of all texts of the pool; empty and 0 for an empty query."""
+    best = edit_top(queries, pool, 1, ("wratio",)).select("query_text", F.col("normalized_alias").alias("closest_alias"), F.col("score").alias("closest_similarity"))
+    return queries.join(best, "query_text", "left").fillna({"closest_alias": "", "closest_similarity": 0.0})
 
 
 def top(scores: DataFrame, n: int, score: str = "score", key: str = "query_id", tie: str = "alias_id") -> DataFrame:
@@ -107,34 +254,59 @@ def top(scores: DataFrame, n: int, score: str = "score", key: str = "query_id",
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def match(queries: DataFrame, pool: DataFrame, limit: int = 10, embedding: DataFrame | None = None) -> DataFrame:
-    """Ranked candidates with every score, and each query's decision.
+def candidate_pairs(queries: DataFrame, pool: DataFrame, spaces: list[TfIdf], limit: int, edits: bool = True, embedding: DataFrame | None = None, weights: list[DataFrame] | None = None) -> DataFrame:
+    """(query_id, alias_id): the union of all channels, each with its max(10 limit, 50) best.
 
-    ``queries``: query_id, raw_text, query_text. Channels: exact, identifiers, both n-gram cosines and their
-    combination; the edit scores are computed on the union of these. A query without candidates has no rows here;
-    decide() gives it UNKNOWN.
+    Channels: equal text, shared identifiers, both n-gram cosines and their combination, Jaro-Winkler, WRatio, and the
+    embedding's inner products (query_id, alias_id, embedding) where there are any.
     """
     wide = max(10 * limit, 50)
-    words, chars = TfIdf(pool, True).scores(queries), TfIdf(pool, False).scores(queries)
-    both = words.withColumnRenamed("score", "char_wb_tfidf").join(chars.withColumnRenamed("score", "raw_char_tfidf"), ["query_id", "alias_id"], "full").fillna(0.0)
-    both = both.withColumn("char_tfidf", 0.55 * F.col("char_wb_tfidf") + 0.45 * F.col("raw_char_tfidf"))
-    channels = [top(both, wide, c).select("query_id", "alias_id") for c in ("char_wb_tfidf", "raw_char_tfidf", "char_tfidf")]
-    same = queries.join(pool, F.col("query_text") == F.col("normalized_alias")).select("query_id", "alias_id")
+    pairs = [ngram_top(queries, spaces, wide, True, weights).select("query_id", "alias_id"), queries.join(pool, F.col("query_text") == F.col("normalized_alias")).select("query_id", "alias_id"), identifier_pairs(queries, pool)]
+    if edits:
+        near = edit_top(queries, pool, wide).select("query_text", "normalized_alias").distinct()
+        pairs.append(queries.join(near, "query_text").join(pool, "normalized_alias").select("query_id", "alias_id"))
+    if embedding is not None:
+        pairs.append(top(embedding, wide, "embedding").select("query_id", "alias_id"))
+    return reduce(DataFrame.union, pairs).distinct()
+
+
+def match(queries: DataFrame, pool: DataFrame, limit: int = 10, embedding: DataFrame | None = None, edits: bool = True) -> DataFrame:
+    """Ranked candidates with every score, and each query's decision.
+
+    ``queries``: query_id, raw_text, query_text. Without ``edits`` the similarities that need all pairs of edit kernels are
+    neither channels nor scores, but Jaro-Winkler is a score. A query without candidates has no rows here; with_unknown()
+    gives it UNKNOWN. The pool, the queries, their vectors and the pairs are kept while the result is computed, since many
+    branches read them; what is lost with an executor is computed again.
+    """
+    queries, pool = queries.persist(), pool.persist()
+    spaces = [TfIdf(pool, True), TfIdf(pool, False)]
+    weights = [s.query_weights(queries).persist() for s in spaces]
+    pairs = candidate_pairs(queries, pool, spaces, limit, edits, embedding, weights).persist()
+    p = pairs
+    for s, w, name in zip(spaces, weights, ("char_wb_tfidf", "raw_char_tfidf")):
+        p = p.join(s.pair_scores(pairs, w).withColumnRenamed("score", name), ["query_id", "alias_id"], "left")
+    p = p.fillna(0.0).withColumn("char_tfidf", rounded(CHAR_WEIGHTS[0] * F.col("char_wb_tfidf") + CHAR_WEIGHTS[1] * F.col("raw_char_tfidf")))
     shared = identifier_pairs(queries, pool)
-    pairs = reduce(DataFrame.union, [*channels, same, shared]).distinct()
-    p = pairs.join(both, ["query_id", "alias_id"], "left").fillna(0.0).join(queries, "query_id").join(pool, "alias_id").join(shared.withColumn("identifier_overlap", F.lit(True)), ["query_id", "alias_id"], "left").join(exact_flags(queries, pool), "query_id")
+    p = p.join(queries, "query_id").join(pool, "alias_id").join(shared.withColumn("identifier_overlap", F.lit(True)), ["query_id", "alias_id"], "left").join(exact_flags(queries, pool), "query_id")
     q, a = F.col("query_text"), F.col("normalized_alias")
     exact = q == a
     p = p.withColumns({
         "identifier_overlap": F.coalesce("identifier_overlap", F.lit(False)), "exact_match": exact, "unique_exact_match": exact & F.col("unique_exact_match"), "ambiguous_exact_match": exact & F.col("ambiguous_exact_match"),
-        "jaro_winkler": S.jaro_winkler(q, a), "ratio": S.ratio(q, a), "partial_ratio": S.partial_ratio(q, a), "token_set_ratio": S.token_set_ratio(q, a), "wratio": S.wratio(q, a), "token_prefix": S.token_prefix_score(q, a),
+        "jaro_winkler": F.round(S.jaro_winkler(q, a), 6), "token_prefix": F.round(S.token_prefix_score(q, a), 6),
+        **({name: F.round(f(q, a), 6) for name, f in (("ratio", S.ratio), ("partial_ratio", S.partial_ratio), ("token_set_ratio", S.token_set_ratio), ("wratio", S.wratio))} if edits else {}),
     }).withColumn("identifier", F.col("identifier_overlap").cast("double"))
     if embedding is not None:
         p = p.join(embedding, ["query_id", "alias_id"], "left").fillna({"embedding": 0.0})
-    p = p.withColumn("hybrid_score", F.round(F.when(F.col("unique_exact_match"), 1.0).otherwise(S.hybrid(set(p.columns), embedding is not None)), 6))
+    p = p.withColumn("hybrid_score", rounded(F.when(F.col("unique_exact_match"), 1.0).otherwise(S.hybrid(set(p.columns), embedding is not None))))
     return decide(best_per_company(p), limit)
 
 
+def with_unknown(queries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(query_id, company_id, decision, margin, score) of every query's best candidate; UNKNOWN where there is none."""
+    best = ranked.where("rank = 1").select("query_id", "company_id", "decision", "margin", F.col("hybrid_score").alias("score"))
+    return queries.select("query_id").join(best, "query_id", "left").fillna({"decision": "UNKNOWN", "margin": 0.0})
+
+
 def best_per_company(pairs: DataFrame) -> DataFrame:
     """Of each (query, company) the alias of the highest hybrid score, ties to the smaller alias_id."""
     w = Window.partitionBy("query_id", "company_id").orderBy(F.desc("hybrid_score"), "alias_id")
@@ -157,6 +329,35 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
 
 
 def index_stats(pool: DataFrame) -> DataFrame:
-    """One row: companies, aliases, distinct texts, texts of several companies."""
+    """One row: companies, aliases, distinct texts, texts of several companies, and the sizes of both n-gram vocabularies."""
     by = pool.groupBy("normalized_alias").agg(F.count_distinct("company_id").alias("owners"), F.count("*").alias("n"))
-    return by.agg(F.sum("n").alias("aliases"), F.count("*").alias("distinct_texts"), F.sum((F.col("owners") > 1).cast("long")).alias("shared_texts")).crossJoin(pool.agg(F.count_distinct("company_id").alias("companies")))  # one row each
+    out = by.agg(F.sum("n").alias("aliases"), F.count("*").alias("distinct_texts"), F.sum((F.col("owners") > 1).cast("long")).alias("shared_texts")).crossJoin(pool.agg(F.count_distinct("company_id").alias("companies")))  # one row each
+    for words, name in ((True, "char_wb_features"), (False, "raw_char_features")):
+        grams = pool.select(F.explode(char_grams(F.col("normalized_alias"), words)).alias("gram"))
+        out = out.crossJoin(grams.agg(F.count_distinct("gram").alias(name)))
+    return out
+
+
+def with_unique_ids(companies: DataFrame, key: Column, taken: DataFrame, name: str = "company_id") -> DataFrame:
+    """Adds ids that no other row and none of ``taken`` (company_id) has: stable ids of the keys, a used one counts on.
+
+    In each round the first row by key of every free id gets it, and the others try the next; only collisions take part
+    in further rounds.
+    """
+    rest = companies.withColumn("_key", key).withColumn(name, N.stable_id(F.col("_key")))
+    used, done = taken.select(F.col("company_id").alias("_used")).distinct(), None
+    while True:
+        tried = rest.join(used, F.col(name) == F.col("_used"), "left").withColumn("_r", F.when(F.col("_used").isNotNull(), 0).otherwise(F.row_number().over(Window.partitionBy(name).orderBy("_key"))))
+        won = tried.where("_r = 1").drop("_used", "_r")
+        lost = tried.where("_r <> 1").drop("_used", "_r")
+        done = won if done is None else done.unionByName(won)
+        if lost.isEmpty():
+            return done.drop("_key")
+        used = used.unionAll(won.select(F.col(name).alias("_used")))
+        rest = lost.withColumn(name, F.col(name) + 1)
+
+
+def embedding_document(company: str = "legal_name", brand: str = "brand_name", alias: str = "alias_text", normalized: str = "normalized_alias", city: str = "city", sector: str = "sector") -> Column:
+    """The text of an alias that an embedding model reads."""
+    parts = (("Official company name: ", company), ("Brand: ", brand), ("Known alias: ", alias), ("Normalized alias: ", normalized), ("City: ", city), ("Sector: ", sector))
+    return F.concat_ws(" | ", *(F.concat(F.lit(label), F.coalesce(F.col(c), F.lit(""))) for label, c in parts))

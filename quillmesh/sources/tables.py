@@ -28,14 +28,17 @@ def read_companies(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def read_aliases(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
-    """Aliases; one of an unknown company or without text is an error."""
+def read_aliases(spark: SparkSession, path: str, companies: DataFrame, with_nfkc: bool = True) -> DataFrame:
+    """Aliases with their normalised text; one of an unknown company or without text is an error, one that normalises to nothing is left out."""
+    from quillmesh.functions import normalize as N
+
     df = read_csv(spark, path, ALIAS).select(F.col("alias_id").cast("long"), F.col("company_id").cast("long"), "alias_text", "alias_type")
     if not df.where("alias_text IS NULL OR alias_text = ''").isEmpty():
         raise ValueError("blank alias_text")
     if not df.join(companies, "company_id", "left_anti").isEmpty():
         raise ValueError("alias of an unknown company")
-    return df
+    n = N.normalize(df, "alias_text", with_nfkc)
+    return n.withColumn("normalized_alias", N.matching_text(F.col("core_text"), F.col("ascii_text"))).select(*df.columns, "normalized_alias").where("normalized_alias <> ''")
 
 
 def read_features(spark: SparkSession, path: str, strings: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
@@ -90,6 +93,81 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], seq: str) -> D
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_s", seq)
 
 
+def upsert_aliases(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Aliases by (company, normalised text): the last row says text, kind, source and confidence, the first keeps its id."""
+    keys = ["company_id", "normalized_alias"]
+    both = target.withColumn("seq", F.lit(-1).cast("long")).unionByName(source, allowMissingColumns=True)
+    ids = both.groupBy(*keys).agg(F.min_by("alias_id", F.struct("seq", "alias_id")).alias("alias_id"))
+    last = upsert(target.drop("alias_id"), source.drop("alias_id"), keys, "seq")
+    return last.join(ids, keys).select(*target.columns)
+
+
+def load_rows(companies: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The aliases of a load job in its order (``seq``): explicit ones, then each company's legal and brand name; blank ones are left out.
+
+    Columns: company_id, alias_text, alias_type, seq. Explicit aliases come by alias_id, names by company.
+    """
+    given = aliases.select("company_id", F.trim("alias_text").alias("alias_text"), "alias_type", F.struct(F.lit(0).alias("part"), F.col("alias_id").alias("id"), F.lit(0).alias("place")).alias("seq"))
+    names = [companies.select("company_id", F.trim(c).alias("alias_text"), F.lit(t).alias("alias_type"), F.struct(F.lit(1).alias("part"), F.col("company_id").alias("id"), F.lit(i).alias("place")).alias("seq")) for i, (c, t) in enumerate((("legal_name", "LEGAL_NAME"), ("brand_name", "BRAND_NAME")))]
+    return union_all([given, *names]).where("alias_text <> ''")
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, as a filter that sources can take."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def counts(companies: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row: companies, aliases."""
+    return companies.agg(F.count("*").alias("companies")).crossJoin(aliases.agg(F.count("*").alias("aliases")))  # a row each
+
+
+def summary(companies: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row: the counts, companies with aliases, and aliases of each kind as JSON."""
+    from quillmesh.operators.evaluation import histogram
+
+    return counts(companies, aliases).crossJoin(aliases.agg(F.count_distinct("company_id").alias("companies_with_aliases"))).crossJoin(histogram(aliases, "alias_type", "alias_types"))  # a row each
+
+
+def create_tables(spark: SparkSession, database: str) -> None:
+    """The two tables of the pool in a database of the catalog, if they aren't there."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.companies (company_id BIGINT NOT NULL, legal_name STRING, brand_name STRING, city STRING, sector STRING, tax_number STRING) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.company_aliases (alias_id BIGINT NOT NULL, company_id BIGINT NOT NULL, alias_text STRING, normalized_alias STRING, alias_type STRING, source STRING, confidence DOUBLE) USING parquet")
+
+
+def new_companies(existing: DataFrame, arrived: DataFrame, name: str = "normalized_name") -> DataFrame:
+    """Arrivals (seq, lei, normalised name) that are new: no LEI or name that exists, and of each only the first to arrive.
+
+    A later arrival is measured against those before it that are new themselves, which the rounds below settle: in each,
+    the first of every LEI that is also the first of its name goes in, and its equals go out.
+    """
+    rest = arrived.where(f"lei IS NOT NULL AND {name} <> ''")
+    for key in ("lei", name):
+        rest = rest.join(existing.select(key).where(f"{key} <> ''").distinct(), key, "left_anti")
+    done = None
+    while True:
+        ranked = rest
+        for key in ("lei", name):
+            ranked = ranked.withColumn(f"_{key}", F.row_number().over(Window.partitionBy(key).orderBy("seq")))
+        won = ranked.where(f"_lei = 1 AND _{name} = 1").select(*rest.columns)
+        done = won if done is None else done.unionByName(won)
+        left = rest
+        for key in ("lei", name):
+            left = left.join(won.select(key).distinct(), key, "left_anti")
+        if left.isEmpty():
+            return done
+        rest = left
+
+
+def build_report(existing: DataFrame, added: DataFrame, aliases: DataFrame, target: int) -> DataFrame:
+    """One row: how many companies there were, came and are, by country, and the aliases."""
+    from quillmesh.operators.evaluation import histogram
+
+    n = existing.agg(F.count("*").alias("existing_companies")).crossJoin(added.agg(F.count("*").alias("added_companies"))).crossJoin(aliases.agg(F.count("*").alias("aliases")))  # a row each
+    return n.crossJoin(histogram(added, "country", "added_by_country")).withColumn("companies", F.col("existing_companies") + F.col("added_companies")).withColumn("target", F.lit(target))
+
+
 def page(df: DataFrame, order: list[str], limit: int = 100, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
@@ -98,6 +176,11 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_union(frames: list[DataFrame], path: str) -> None:
+    """CSV of all rows, with the union of their columns as header."""
+    write_csv(union_all(frames), path)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Rows of all with the union of their columns, in first-seen order."""
     out = frames[0]
@@ -107,7 +190,29 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+    """A row as a JSON object with an indent of 2, characters as they are."""
+    import json
+
+    row = df.first()  # a summary is one row
+    text = json.dumps({} if row is None else row.asDict(recursive=True), indent=2, ensure_ascii=False, default=str)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def backup(spark: SparkSession, path: str, stamp: str) -> str | None:
+    """Copies a file or folder beside itself before it is overwritten; the copy's path, or null if there is nothing."""
+    jvm = spark.sparkContext._jvm
+    at, to = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{stamp}.bak")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return None
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at, fs, to, False, conf)
+    return to.toString()
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def status(spark: SparkSession) -> DataFrame:
