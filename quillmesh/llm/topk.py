@@ -30,7 +30,7 @@ from quillmesh.llm.common import materialize, need, trim
 
 PAGE = 64
 #: Vectors of a tree, about; vectors to a root, while there are at most MAX_ROOTS of a dimension.
-TREE_ROWS, ROOT_ROWS, MAX_ROOTS = 16384, 4096, 4096
+TREE_ROWS, ROOT_ROWS, MAX_ROOTS = 16384, 1024, 4096
 #: Most vectors, those of the smallest hashes, that the roots are clustered from, and most dimensions that get roots of their own.
 ROOT_SAMPLE, MAX_DIMENSIONS = 20_000, 1000
 QUERY_BLOCK = 8192
