@@ -43,7 +43,10 @@ def embed(df: DataFrame, text: str, key: list[str], factory: Callable, batch: in
         encode = factory()
 
         def run(texts):
-            m = np.asarray(encode(texts), float).reshape(len(texts), -1)
+            got = list(encode(texts))
+            if len(got) != len(texts):
+                raise ValueError(f"{len(texts)} texts gave {len(got)} results")
+            m = np.asarray(got, float).reshape(len(texts), -1)
             return (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).tolist()
 
         return run

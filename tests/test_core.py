@@ -53,10 +53,9 @@ def test_kernels():
 
 
 def test_corruption_is_deterministic(spark):
-    d = spark.createDataFrame([(i, "TURKIYE PETROL RAFINERILERI") for i in range(40)], "id long, t string")
-    text, kind = C.corrupted(F.col("t"), F.col("id"))
-    a, b = ({tuple(r) for r in x.select("id", text.alias("x"), kind.alias("k")).collect()} for x in (d, d.repartition(7)))
-    assert a == b and len({k for _, _, k in a}) > 4 and all(x for _, x, _ in a)
+    df = spark.createDataFrame([(i, "Anadolu Insaat Malzemeleri") for i in range(40)], "id long, t string").withColumn("difficulty", F.lit("HARD"))
+    one, two = ({x["id"]: (x["query_text"], x["corruption_type"]) for x in C.variants(d, "t", "id").collect()} for d in (df, df.repartition(7)))
+    assert one == two and len({k for _, k in one.values()}) > 1 and all(t for t, _ in one.values())
 
 
 def test_sources(spark, tmp_path):
