@@ -292,7 +292,7 @@ def match(queries: DataFrame, pool: DataFrame, limit: int = 10, embedding: DataF
     exact = q == a
     p = p.withColumns({
         "identifier_overlap": F.coalesce("identifier_overlap", F.lit(False)), "exact_match": exact, "unique_exact_match": exact & F.col("unique_exact_match"), "ambiguous_exact_match": exact & F.col("ambiguous_exact_match"),
-        "jaro_winkler": F.round(S.jaro_winkler(q, a), 6), "token_prefix": F.round(S.token_prefix_score(q, a), 6),
+        "jaro_winkler": rounded(S.jaro_winkler(q, a)), "token_prefix": rounded(S.token_prefix_score(q, a)),
         **({name: F.round(f(q, a), 6) for name, f in (("ratio", S.ratio), ("partial_ratio", S.partial_ratio), ("token_set_ratio", S.token_set_ratio), ("wratio", S.wratio))} if edits else {}),
     }).withColumn("identifier", F.col("identifier_overlap").cast("double"))
     if embedding is not None:

@@ -422,14 +422,14 @@ _SPACE = lambda name, words: f"""{name}a AS MATERIALIZED (SELECT alias_id, g, 1
 _FIND = lambda x: f"list_distinct(list_filter(regexp_split_to_array(upper({x}), '[^A-Za-z0-9]+'), lambda y: regexp_full_match(y, '([A-Z]{{0,3}}[0-9]{{6,}}|[0-9]{{6,}}[A-Z]{{0,3}})')))"
 _TOKEN = f"""tw AS (SELECT query_id, alias_id, qi, q, unnest(string_split(normalized_alias, ' ')) AS c FROM (SELECT query_id, alias_id, normalized_alias, unnest(range(1, len(string_split(query_text, ' ')) + 1)) AS qi, unnest(string_split(query_text, ' ')) AS q FROM sc) WHERE q <> ''),
 ts AS (SELECT query_id, alias_id, qi, q, max({_PREFIX}) AS s FROM (SELECT *, len(list_filter(range(1, least(length(q), length(c)) + 1), lambda i: substr(q, 1, i) = substr(c, 1, i))) AS cp FROM tw) GROUP BY 1, 2, 3, 4),
-tp AS MATERIALIZED (SELECT query_id, alias_id, round(sum(s * greatest(1, least(8, length(q)))) / sum(greatest(1, least(8, length(q)))), 6) AS token_prefix FROM ts GROUP BY 1, 2)"""
+tp AS MATERIALIZED (SELECT query_id, alias_id, CAST(round(CAST(sum(s * greatest(1, least(8, length(q)))) / sum(greatest(1, least(8, length(q)))) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS token_prefix FROM ts GROUP BY 1, 2)"""
 SQL_CHAIN = f"""WITH {I.SQL_POOL}, {I.SQL_QUERIES}, {_SPACE("b", True)}, {_SPACE("r", False)},
 both_ AS MATERIALIZED (SELECT query_id, alias_id, coalesce(bs.score, 0) AS char_wb_tfidf, coalesce(rs.score, 0) AS raw_char_tfidf, CAST(round(CAST(CAST(0.55 AS DOUBLE) * coalesce(bs.score, 0) + CAST(0.45 AS DOUBLE) * coalesce(rs.score, 0) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS char_tfidf FROM bs FULL JOIN rs USING (query_id, alias_id)),
 ids AS MATERIALIZED (SELECT DISTINCT query_id, alias_id FROM (SELECT query_id, unnest({_FIND("raw_text")}) AS i FROM queries) a JOIN (SELECT alias_id, unnest({_FIND("alias_text")}) AS i FROM pool) b USING (i)),
 pairs AS (SELECT query_id, alias_id FROM (SELECT query_id, alias_id, char_wb_tfidf, raw_char_tfidf, char_tfidf, row_number() OVER (PARTITION BY query_id ORDER BY char_wb_tfidf DESC, alias_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY raw_char_tfidf DESC, alias_id) AS b, row_number() OVER (PARTITION BY query_id ORDER BY char_tfidf DESC, alias_id) AS c FROM both_)
     WHERE a <= 100 AND char_wb_tfidf > 0 OR b <= 100 AND raw_char_tfidf > 0 OR c <= 100 AND char_tfidf > 0 UNION SELECT query_id, alias_id FROM queries JOIN pool ON query_text = normalized_alias UNION SELECT query_id, alias_id FROM ids),
 owners AS (SELECT normalized_alias, count(DISTINCT company_id) AS owners FROM pool GROUP BY 1),
-sc AS MATERIALIZED (SELECT p.query_id, p.alias_id, company_id, query_text, pool.normalized_alias, coalesce(char_wb_tfidf, 0) AS char_wb_tfidf, coalesce(raw_char_tfidf, 0) AS raw_char_tfidf, coalesce(char_tfidf, 0) AS char_tfidf, ids.query_id IS NOT NULL AS identifier_overlap, query_text = pool.normalized_alias AS exact_match, round(jaro_winkler_similarity(query_text, pool.normalized_alias), 6) AS jaro_winkler,
+sc AS MATERIALIZED (SELECT p.query_id, p.alias_id, company_id, query_text, pool.normalized_alias, coalesce(char_wb_tfidf, 0) AS char_wb_tfidf, coalesce(raw_char_tfidf, 0) AS raw_char_tfidf, coalesce(char_tfidf, 0) AS char_tfidf, ids.query_id IS NOT NULL AS identifier_overlap, query_text = pool.normalized_alias AS exact_match, CAST(round(CAST(jaro_winkler_similarity(query_text, pool.normalized_alias) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS jaro_winkler,
     query_text = pool.normalized_alias AND owners = 1 AND length(regexp_replace(query_text, '[^a-z0-9]', '', 'g')) >= 3 AS unique_exact_match FROM pairs p JOIN queries USING (query_id) JOIN pool USING (alias_id) JOIN owners ON owners.normalized_alias = pool.normalized_alias LEFT JOIN both_ USING (query_id, alias_id) LEFT JOIN ids USING (query_id, alias_id)),
 {_TOKEN},
 hy AS (SELECT *, exact_match AND NOT unique_exact_match AS ambiguous_exact_match, CAST(round(CAST(CASE WHEN unique_exact_match THEN CAST(1 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) * char_tfidf + CAST(0.1 AS DOUBLE) * jaro_winkler + CAST(0.1 AS DOUBLE) * coalesce(token_prefix, 0) + CAST(0.1 AS DOUBLE) * identifier_overlap::INT END AS DECIMAL(18, 9)), 6) AS DOUBLE) AS hybrid_score FROM sc LEFT JOIN tp USING (query_id, alias_id)),
