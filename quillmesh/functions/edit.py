@@ -11,6 +11,7 @@ import numpy as np
 from quillmesh.functions import similarity as S
 
 WORD = 62
+ROWS = 512  # texts whose places are compared side by side
 U = np.uint64
 
 
@@ -76,33 +77,15 @@ class Texts:
         size = self.size[rows]
         if len(q) > WORD or size.max() > WORD:
             return np.array([S.partial_ratio_of(q, self.texts[r]) for r in rows.tolist()])
+        at, m = self._bits(q), len(q)
         out = np.zeros(len(rows))
-        codes, m = self.codes[rows], len(q)
-        at, full = self._bits(q), (1 << m) - 1
-        short = np.flatnonzero((size <= m) & (size > 0))  # the text runs along the query
-        if len(short):
-            n, c = size[short], codes[short]
-            for i in range(1 - int(n.max()), m):
-                window = np.array([((1 << k) - 1 << i if i >= 0 else (1 << k) - 1 >> -i) & full for k in range(int(n.max()) + 1)], U)[n]
-                s = window.copy()
-                for j in range(int(n.max())):
-                    u = s & at[c[:, j]]
-                    s = (s + u | s - u) & window
-                w = np.bitwise_count(window).astype(np.int64)
-                got = w - np.bitwise_count(s).astype(np.int64)
-                out[short] = np.maximum(out[short], np.where(w > 0, 2 * got / (n + np.maximum(1, w)), 0))
-        long = np.flatnonzero(size >= m)  # the query runs along the text
-        if len(long):
-            n = size[long]
-            c = np.hstack([codes[long], np.zeros((len(long), m), np.int64)])
-            for i in range(1 - m, int(n.max())):
-                s = np.full(len(long), U(full))
-                for j in range(max(0, i), i + m):
-                    u = s & at[c[:, j]]
-                    s = (s + u | s - u) & U(full)
-                w = np.minimum(n, i + m) - max(0, i)
-                got = m - np.bitwise_count(s).astype(np.int64)
-                out[long] = np.maximum(out[long], np.where(w > 0, 2 * got / (m + np.maximum(1, w)), 0))
+        for few in np.array_split(np.arange(len(rows)), -(-len(rows) // ROWS)):
+            n, codes = size[few], self.codes[rows[few]]
+            short, long = (n <= m) & (n > 0), n >= m
+            if short.any():
+                out[few[short]] = _text_along(codes[short], n[short], m, at)
+            if long.any():
+                out[few[long]] = np.maximum(out[few[long]], _query_along(codes[long], n[long], m, at))
         return out
 
     def jaro_winkler(self, q: str) -> np.ndarray:
@@ -141,6 +124,33 @@ class Texts:
         return out
 
 
+def _text_along(codes: np.ndarray, n: np.ndarray, m: int, at: np.ndarray) -> np.ndarray:
+    """The best ratio of each text, as long as the query at most, with a stretch of the query; all places side by side."""
+    most, full = int(n.max()), (1 << m) - 1
+    stretch = np.array([[((1 << k) - 1 << i if i >= 0 else (1 << k) - 1 >> -i) & full for i in range(1 - most, m)] for k in range(most + 1)], U)[n]
+    s, bits = stretch.copy(), at[codes[:, :most]]
+    for j in range(most):
+        u = s & bits[:, j, None]
+        s = (s + u | s - u) & stretch
+    w = np.bitwise_count(stretch).astype(np.int64)
+    got = w - np.bitwise_count(s).astype(np.int64)
+    return np.where(w > 0, 2 * got / (n[:, None] + np.maximum(1, w)), 0.0).max(1)
+
+
+def _query_along(codes: np.ndarray, n: np.ndarray, m: int, at: np.ndarray) -> np.ndarray:
+    """The best ratio of the query with a stretch of each text, as long as the query at least."""
+    most, full = int(n.max()), U((1 << m) - 1)
+    bits = np.pad(at[codes[:, :most]], ((0, 0), (m - 1, m - 1)))
+    first = np.arange(1 - m, most)
+    s = np.full((len(n), len(first)), full, U)
+    for j in range(m):
+        u = s & bits[:, j : j + len(first)]
+        s = (s + u | s - u) & full
+    w = np.minimum(n[:, None], first + m) - np.maximum(0, first)
+    got = m - np.bitwise_count(s).astype(np.int64)
+    return np.where(w > 0, 2 * got / (m + np.maximum(1, w)), 0.0).max(1)
+
+
 def _sorted(t: str) -> str:
     return " ".join(sorted(t.split()))
 
@@ -182,11 +192,18 @@ class Block:
         score[far] = np.maximum(score[far], np.where(common_word[far], 0.95 * scale, 0.0))
         forms = ((self.plain, q, 1.0), (self.by_word, _sorted(q), 0.95), (self.by_set, _different(q), 0.95))
         bound = scale * np.max([f * 2 * (c := t.shared(x)[far]) / np.maximum(1, np.minimum(t.size[far], len(x)) + c) for t, x, f in forms], axis=0)
-        floor = np.sort(score)[-n] if len(score) >= n else -1.0
-        some = bound >= floor
-        far, scale = far[some], scale[some]
-        found = scale * np.max([f * t.partial(x, far) for t, x, f in forms], axis=0)
-        score[far] = np.maximum(score[far], found)
+        bound += 1e-9  # bounds and scores round differently
+        order, start, step = np.argsort(-bound, kind="stable"), 0, 8 * n
+        while start < len(order):  # from the highest bound on, until none reaches the n-th best so far
+            floor = np.partition(score, len(score) - n)[len(score) - n] if len(score) >= n else -1.0
+            some = order[start : start + step]
+            some = some[bound[some] >= floor]
+            if not len(some):
+                break
+            rows = far[some]
+            found = scale[some] * np.max([f * t.partial(x, rows) for t, x, f in forms], axis=0)
+            score[rows] = np.maximum(score[rows], found)
+            start, step = start + step, 2 * step
         return best(score, n)
 
 
