@@ -1,8 +1,8 @@
 """Exact top-k search: best-first search over M-trees whose pages are rows of a table.
 
 A bounded sample is clustered into roots; every vector goes to the tree of its nearest root, and a root with more than
-TREE_ROWS vectors gets several trees. A tree's node that doesn't fit a page is split by clustering: farthest-first seeds,
-refined, of which the nearest vectors are promoted. Routing pages hold the promoted vectors with covering radii and
+TREE_ROWS vectors gets several trees. A tree's node that doesn't fit a page is split by clustering: seeds drawn by
+distance, refined, of which the nearest vectors are promoted; clusters too small for a page join others. Routing pages hold the promoted vectors with covering radii and
 distances to the parent, leaf pages the different vectors, with the rows that hold them, and distances to the parent.
 
 Queries first search a tree of their own root, best-first; an entry whose stored distances already prove by the triangle
@@ -28,7 +28,8 @@ from pyspark.sql.window import Window
 
 from quillmesh.llm.common import materialize, need, trim
 
-PAGE = 64
+#: Entries of a page, and the share of it that a cluster needs for a page of its own while others can take its points.
+PAGE, FILL = 64, 4
 #: Vectors of a tree, about; vectors to a root, while there are at most MAX_ROOTS of a dimension.
 TREE_ROWS, ROOT_ROWS, MAX_ROOTS = 16384, 1024, 4096
 #: Most vectors, those of the smallest hashes, that the roots are clustered from, and most dimensions that get roots of their own.
@@ -43,12 +44,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def promote(points: np.ndarray, fan: int, rounds: int = 2) -> np.ndarray:
-    """Numbers of at most ``fan`` points that stand for clusters: farthest-first seeds, refined by means, then the nearest points."""
+    """Numbers of at most ``fan`` points that stand for clusters: seeds drawn by their squared distance from those before, refined by means, then the nearest points."""
+    draw = np.random.default_rng(len(points))
     near = ((points - points.mean(0)) ** 2).sum(1)
     seeds = [int(near.argmin())]
     near = ((points - points[seeds[0]]) ** 2).sum(1)
     while len(seeds) < fan and near.max() > 0:
-        seeds.append(int(near.argmax()))
+        seeds.append(int(draw.choice(len(points), p=near / near.sum())))
         near = np.minimum(near, ((points - points[seeds[-1]]) ** 2).sum(1))
     picked = np.array(seeds)
     for _ in range(rounds):
@@ -63,11 +65,13 @@ def promote(points: np.ndarray, fan: int, rounds: int = 2) -> np.ndarray:
     return picked
 
 
-def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products of vectors of whole numbers: exact, clipped to what a long holds."""
+def exact(vectors: np.ndarray, query: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Inner products of vectors of whole numbers: exact, clipped to what a long holds. ``most``: a bound of each product's sum, if known."""
     if not len(vectors):
         return np.zeros(0, np.int64)
-    if np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * max(1, len(query)) < 2**53:
+    if most is None:
+        most = np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * max(1, len(query))
+    if most < 2**53:
         return (vectors @ query).astype(np.int64)
     q = [int(x) for x in query]
     return np.array([min(MOST, max(LEAST, sum(int(x) * y for x, y in zip(v, q)))) for v in vectors], np.int64)
@@ -105,6 +109,16 @@ def build_tree(tree: int, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray
             nearest = np.arange(len(own)) % len(seeds) if len(seeds) > 1 else np.arange(len(own)) % 2
             seeds = seeds if len(seeds) > 1 else own[:2]
             d = _distances(points[own], points[seeds])
+        count = np.bincount(nearest, minlength=len(seeds))
+        filled = np.flatnonzero(count >= page // FILL)
+        if 1 < len(filled) < len(seeds):  # the rest would be pages of a few entries
+            seeds, d = seeds[filled], d[:, filled]
+            nearest = d.argmin(1)
+        elif len(filled) == 1:  # one cluster draws nearly all: it shares with the next in equal parts
+            two = np.argsort(-count, kind="stable")[:2]
+            seeds, d = seeds[two], d[:, two]
+            nearest = np.ones(len(own), int)
+            nearest[np.argsort(d[:, 0] - d[:, 1], kind="stable")[: len(own) // 2]] = 0
         kept = [j for j in range(len(seeds)) if (nearest == j).any()]
         radii = np.array([d[nearest == j, j].max() for j in kept])
         children = np.arange(len(out), len(out) + len(kept), dtype=np.int64)
@@ -127,17 +141,19 @@ class Tree:
             _, page, self.bound2, has_parent, vectors, to_parent, radii, children, ids, rows, sizes = r
             vectors, to_parent, sizes = floats(vectors), floats(to_parent), whole(sizes)
             begin = None if sizes is None else np.cumsum(sizes) - sizes
-            self.pages[int(page)] = (has_parent, vectors.reshape(len(to_parent), dim), to_parent, floats(radii), whole(children), whole(ids), whole(rows), sizes, begin)
+            self.pages[int(page)] = (has_parent, vectors.reshape(len(to_parent), dim), to_parent, floats(radii), whole(children), whole(ids), whole(rows), sizes, begin, float(np.abs(vectors).max(initial=0)))
 
     def search(self, query: np.ndarray, k: int, own: int | None = None, floor: int | None = None) -> tuple[list[tuple[int, int, int]], int]:
         """(the k best as (score, id, row), ties to the smaller id, and how many distances were computed).
 
-        The row ``own`` takes no part; with ``floor``, entries of a lower score may be left out.
+        The row ``own`` takes no part; with ``floor``, entries of a lower score are left out.
         """
         q2 = float(query @ query)
         slack2, slack = SLACK * (1 + self.bound2 + q2), SLACK * (1 + np.sqrt(self.bound2) + np.sqrt(q2))
         away = lambda s: float(np.sqrt(max(0.0, q2 + self.bound2 - 2.0 * s) + slack2))
-        reach = float("inf") if floor is None or floor == LEAST else away(floor)
+        floor = LEAST if floor is None else floor
+        reach = float("inf") if floor == LEAST else away(floor)
+        q_most = float(np.abs(query).max(initial=0)) * max(1, len(query))
         best: list[tuple[int, int, int]] = []  # a heap of (score, -id, -row): the worst stands first
         computed = 0
         heap: list[tuple[float, int, float]] = [(0.0, 0, 0.0)] if 0 in self.pages else []
@@ -145,19 +161,22 @@ class Tree:
             low, at, to_pivot = heapq.heappop(heap)
             if low > reach:
                 break
-            has_parent, vectors, to_parent, radii, children, ids, rows, sizes, begin = self.pages[at]
-            keep = np.arange(len(vectors))
+            has_parent, vectors, to_parent, radii, children, ids, rows, sizes, begin, widest = self.pages[at]
+            keep = None  # all
             if has_parent and reach < float("inf"):
-                keep = keep[np.abs(to_pivot - to_parent) - (0 if radii is None else radii) <= reach + slack]
-            if not len(keep):
+                near = np.abs(to_pivot - to_parent) - (0 if radii is None else radii) <= reach + slack
+                if not near.all():
+                    keep = np.flatnonzero(near)
+                    vectors = vectors[keep]
+            if not len(vectors):
                 continue
-            computed += len(keep)
+            computed += len(vectors)
             if children is None:
-                scores = exact(vectors[keep], query)
-                if len(best) == k:
-                    some = scores >= best[0][0]
-                    keep, scores = keep[some], scores[some]
-                for s, j in zip(scores.tolist(), keep.tolist()):
+                scores = exact(vectors, query, widest * q_most)
+                least = max(floor, best[0][0]) if len(best) == k else floor
+                some = np.flatnonzero(scores >= least)
+                scores = scores[some]
+                for s, j in zip(scores.tolist(), (some if keep is None else keep[some]).tolist()):
                     first = begin[j]
                     for i, r in zip(ids[first : first + min(sizes[j], k + 1)].tolist(), rows[first : first + min(sizes[j], k + 1)].tolist()):
                         if r == own:
@@ -169,11 +188,11 @@ class Tree:
                 if len(best) == k and best[0][0] != LEAST:
                     reach = min(reach, away(best[0][0]))
             else:
-                d = np.sqrt(np.maximum(0, q2 + self.bound2 - 2 * (vectors[keep] @ query)))
-                for j, dist in zip(keep.tolist(), d.tolist()):
-                    near = max(low, dist - radii[j] - slack)
-                    if near <= reach:
-                        heapq.heappush(heap, (near, int(children[j]), dist))
+                d = np.sqrt(np.maximum(0, q2 + self.bound2 - 2 * (vectors @ query)))
+                ahead = np.maximum(low, d - (radii if keep is None else radii[keep]) - slack)
+                for low_, child, dist in zip(ahead.tolist(), (children if keep is None else children[keep]).tolist(), d.tolist()):
+                    if low_ <= reach:
+                        heapq.heappush(heap, (low_, child, dist))
         return sorted(((s, -i, -r) for s, i, r in best), key=lambda x: (-x[0], x[1], x[2])), computed
 
 
