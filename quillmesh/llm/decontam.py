@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import alnum_words, materialize, need, slices
 
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 1_000_000
 BLOCK_WORDS = 2_000_000
 WINDOW = 13
 
