@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_engine import pool_of, queries_of, words
 
 from quillmesh.functions import grams as G
+from quillmesh.operators import benchmarks as B
 from quillmesh.operators import matching as M
 
 
@@ -53,3 +54,14 @@ def test_ngram_channels_look_at_each_text_once(spark, monkeypatch):
     assert len(scores) == pairs.count() and np.isclose(scores["alpha beta gama", "alpha beta gama"], 1)
     text = {x["alias_id"]: x["normalized_alias"] for x in pool.collect()}
     assert all(abs(scores["alpha beta", text[i]] + s) < 2e-6 for s, i in by[20])
+
+
+def test_positive_attempts_make_no_rows_for_shared_names(spark):
+    """A name of thirty companies collides in all of their attempts, as a row each and without lists."""
+    pool = pool_of(spark, [(i, i, "Alpha Beta Gama") for i in range(30)] + [(40, 40, "Delta Epsilon House")]).persist()
+    sources = B.source_aliases(pool)
+    some, all_ = (B.attempts(sources, pool, named=n) for n in (False, True))
+    flags = lambda d: sorted((x["query_id"], x["benchmark_collision"]) for x in d.collect())
+    assert flags(some) == flags(all_) and {f for _, f in flags(some)} == {True, False} and "collision_aliases" not in some.columns
+    out = lambda d: sorted(B.positives(d).select("company_id", "difficulty", "query_text", "benchmark_valid", "generation_attempts").collect())
+    assert out(some) == out(all_)
