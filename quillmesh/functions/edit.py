@@ -1,134 +1,269 @@
-"""The best of very many texts by edit similarity to a query: exact, with all texts of a block side by side in numpy.
+"""Edit similarities of very many pairs of texts, and the best of very many texts to a query: exact, side by side in numpy.
 
-Characters are bits: the longest common subsequence of a query with every text of a block takes a few whole-array
-operations for each place of the texts. Texts or queries beyond WORD characters take the plain functions of similarity.py.
+Characters are bits: the longest common subsequence of a query with a text takes a few whole-array operations for each
+place of the text, for all pairs of a batch at once. Texts or queries beyond WORD characters take the plain functions of
+similarity.py. The best of a block are found from bounds: how many characters two texts have in common, and how many pairs
+of neighbours of one the other lacks, both as bits of a few words. A pair is computed where its bound reaches the score
+asked for, which falls until there are enough; so no text is left out that belongs to the best.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 from quillmesh.functions import similarity as S
 
 WORD = 62
-ROWS = 512  # texts whose places are compared side by side
+ROWS = 512  # pairs whose places are compared side by side
+PAIRS = 16_384  # pairs computed at once
+BATCH = 64  # queries of a block whose pairs are computed together
+STRIDE = 8_192
 U = np.uint64
+_ONES = U(0xFFFFFFFFFFFFFFFF)
+#: The scores asked for in turn, until as many as wanted reach one.
+STEPS = (0.95, 0.9, 0.86, 0.83, 0.8, 0.77, 0.74, 0.7, 0.65, 0.6, 0.5, 0.4, 0.3, 0.0)
+EPS = 2e-6  # bounds and rounded scores differ by less
+
+
+def round6(s: np.ndarray) -> np.ndarray:
+    """Six decimals, halves up, as DuckDB rounds."""
+    return np.floor(np.asarray(s) * 1e6 + 0.5) / 1e6
+
+
+def _sorted(t: str) -> str:
+    return " ".join(sorted(t.split()))
+
+
+def _different(t: str) -> str:
+    return " ".join(sorted(set(t.split())))
+
+
+def _flat(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class Texts:
-    """Texts as rows of character numbers; 0 is the end."""
+    """Texts as rows of the numbers their characters have in an alphabet; 0 is the end. Rows hold the first 64 characters."""
 
-    def __init__(self, texts: list[str]):
-        self.texts = texts
-        self.size = np.array([len(t) for t in texts], np.int64)
-        self.number = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts))))}
-        self.codes = np.zeros((len(texts), int(self.size.max(initial=0))), np.int64)
-        for i, t in enumerate(texts):
-            self.codes[i, : len(t)] = [self.number[c] for c in t]
-        self._at: dict[str, np.ndarray] = {}
-        self._held: np.ndarray | None = None
-
-    def places(self, c: str) -> np.ndarray:
-        """For each text the bits of the places where it has a character, of the first 64."""
-        if c not in self._at:
-            k = self.number.get(c, -1)
-            out = np.zeros(len(self.texts), U)
-            for j in range(min(64, self.codes.shape[1])):
-                out |= (self.codes[:, j] == k).astype(U) << U(j)
-            self._at[c] = out
-        return self._at[c]
-
-    def shared(self, q: str) -> np.ndarray:
-        """How many characters each text has in common with the query, each as often as both have it."""
-        if self._held is None:
-            self._held = np.zeros((len(self.texts), len(self.number) + 1), np.int16)
-            for j in range(self.codes.shape[1]):
-                np.add.at(self._held, (np.arange(len(self.texts)), self.codes[:, j]), (self.codes[:, j] > 0).astype(np.int16))
-        want = np.zeros(len(self.number) + 1, np.int16)
-        for c in q:
-            if c in self.number:
-                want[self.number[c]] += 1
-        some = np.flatnonzero(want)
-        return np.minimum(self._held[:, some], want[some]).sum(1).astype(np.int64)
-
-    def _bits(self, q: str) -> np.ndarray:
-        at = np.zeros(len(self.number) + 1, U)
-        for i, c in enumerate(q):
-            if c in self.number:
-                at[self.number[c]] |= U(1) << U(i)
-        return at
+    def __init__(self, texts: list[str], letters: np.ndarray | None = None):
+        self.texts, flat = texts, _flat(texts)
+        self.letters = np.unique(flat) if letters is None else letters
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.codes = np.zeros((len(texts), min(64, int(self.size.max(initial=0)))), np.uint8 if len(self.letters) < 255 else np.uint32)
+        row = np.repeat(np.arange(len(texts)), self.size)
+        col = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        ok = col < 64
+        self.codes[row[ok], col[ok]] = np.searchsorted(self.letters, flat[ok]) + 1
+        self._at: np.ndarray | None = None
+
+    @property
+    def at(self) -> np.ndarray:
+        """For each text and character the bits of its places."""
+        if self._at is None:
+            self._at = np.zeros((len(self.texts), len(self.letters) + 1), U)
+            rows = np.arange(len(self.texts))
+            for j in range(min(WORD, self.codes.shape[1])):
+                self._at[rows, self.codes[:, j]] |= U(1) << U(j)
+            self._at[:, 0] = 0
+        return self._at
+
+    def alone(self, q: str) -> Pairs:
+        return Pairs([q], self.texts)
 
     def ratio(self, q: str) -> np.ndarray:
         """2 LCS / (sum of lengths) of the query with every text."""
-        if len(q) > WORD:
-            return np.array([S.ratio_of(q, t) for t in self.texts])
-        at, full = self._bits(q), U((1 << len(q)) - 1)
-        s = np.full(len(self.texts), full, U)
-        for j in range(self.codes.shape[1]):
-            u = s & at[self.codes[:, j]]
-            s = (s + u | s - u) & full
-        both = len(q) + self.size
-        return np.where(both > 0, 2 * (len(q) - np.bitwise_count(s).astype(np.int64)) / np.maximum(1, both), 1.0)
+        return self.alone(q).ratio(*_all(self.texts))
 
     def partial(self, q: str, rows: np.ndarray) -> np.ndarray:
         """partial_ratio_of the query with some of the texts."""
-        if not len(rows) or not q:
-            return np.zeros(len(rows))
-        size = self.size[rows]
-        if len(q) > WORD or size.max() > WORD:
-            return np.array([S.partial_ratio_of(q, self.texts[r]) for r in rows.tolist()])
-        at, m = self._bits(q), len(q)
-        out = np.zeros(len(rows))
-        for few in np.array_split(np.arange(len(rows)), -(-len(rows) // ROWS)):
-            n, codes = size[few], self.codes[rows[few]]
-            short, long = (n <= m) & (n > 0), n >= m
-            if short.any():
-                out[few[short]] = _text_along(codes[short], n[short], m, at)
-            if long.any():
-                out[few[long]] = np.maximum(out[few[long]], _query_along(codes[long], n[long], m, at))
-        return out
+        return self.alone(q).partial(np.zeros(len(rows), np.int64), rows)
 
     def jaro_winkler(self, q: str) -> np.ndarray:
         """jaro_winkler_of the query with every text."""
-        n, m = self.size, len(q)
-        if not m:
-            return np.zeros(len(n))
-        plain = np.flatnonzero(n > 64) if m <= 64 else np.arange(len(n))
-        out = np.zeros(len(n))
-        if m <= 64:
-            reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
-            used, hit = np.zeros(len(n), U), []
-            inside = np.where(n >= 64, U(0xFFFFFFFFFFFFFFFF), (U(1) << np.minimum(n, 63).astype(U)) - U(1))
-            for i, c in enumerate(q):
-                lo, hi = np.maximum(0, i - reach), np.minimum(63, i + reach)  # both ends belong to it
-                window = (U(0xFFFFFFFFFFFFFFFF) >> (63 - hi).astype(U)) & (U(0xFFFFFFFFFFFFFFFF) << np.minimum(63, lo).astype(U)) & inside
-                free = self.places(c) & window & ~used
-                one = free & (~free + U(1))
-                used |= one
-                hit.append(one != 0)
-            k = np.bitwise_count(used).astype(np.int64)
-            left, wrong = used, np.zeros(len(n), np.int64)
-            for c, ok in zip(q, hit):
-                one = np.where(ok, left & (~left + U(1)), U(0))
-                wrong += ok & ((self.places(c) & one) == 0)
-                left = left & ~one
-            kk = np.maximum(1, k)
-            s = np.where(k > 0, (k / m + k / np.maximum(1, n) + (k - wrong // 2) / kk) / 3, 0.0)
-            same, still = np.zeros(len(n), np.int64), np.ones(len(n), bool)
-            for i, c in enumerate(q[:4]):
-                still &= (n > i) & ((self.places(c) >> U(i) & U(1)) == 1)
-                same += still
-            out = np.minimum(1.0, np.where(s > 0.7, s + 0.1 * same * (1 - s), s))
-        for r in plain.tolist():
-            out[r] = S.jaro_winkler_of(q, self.texts[r])
+        return self.alone(q).jaro_winkler(*_all(self.texts))
+
+
+def _all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(len(texts), np.int64), np.arange(len(texts))
+
+
+class Pairs:
+    """Scores of pairs (number of a query, number of a text), each as the plain function of the same name gives it."""
+
+    FORMS = (lambda t: t, _sorted, _different)
+
+    def __init__(self, queries: list[str], texts: list[str], forms: list[Texts] | None = None, letters: np.ndarray | None = None):
+        if letters is None:
+            letters = np.unique(np.concatenate([_flat(queries), _flat(texts), _flat([" "])]))
+        self.queries, self.letters = queries, letters
+        self.q = [Texts([f(x) for x in queries], letters) for f in self.FORMS]
+        self.t = forms or [Texts([f(x) for x in texts], letters) for f in self.FORMS]
+        self.texts = texts
+        self.qwords = [frozenset(x.split()) for x in queries]
+        self._twords: dict[int, frozenset] = {}
+
+    def twords(self, i: int) -> frozenset:
+        if i not in self._twords:
+            self._twords[i] = frozenset(self.texts[i].split())
+        return self._twords[i]
+
+    def _plain(self, qi: np.ndarray, ti: np.ndarray, most: int = WORD) -> np.ndarray:
+        """Which pairs are too long for bits."""
+        return (self.q[0].size[qi] > most) | (self.t[0].size[ti] > most)
+
+    def _split(self, qi, ti, fast, slow, most: int = WORD) -> np.ndarray:
+        out, long = np.zeros(len(qi)), self._plain(qi, ti, most)
+        for k in np.flatnonzero(long).tolist():
+            out[k] = slow(self.queries[qi[k]], self.texts[ti[k]])
+        rest = np.flatnonzero(~long)
+        for i in range(0, len(rest), PAIRS):
+            some = rest[i : i + PAIRS]
+            out[some] = fast(qi[some], ti[some])
         return out
 
+    def _ratio(self, qi: np.ndarray, ti: np.ndarray, form: int = 0) -> np.ndarray:
+        q, t = self.q[form], self.t[form]
+        m, n = q.size[qi], t.size[ti]
+        order = np.argsort(-n, kind="stable")
+        base, codes, n_ = qi[order] * q.at.shape[1], t.codes[ti[order]], n[order]
+        full = (U(1) << m[order].astype(U)) - U(1)
+        at, s = q.at.ravel(), full.copy()
+        for j in range(int(n_[0]) if len(n_) else 0):
+            k = int(np.searchsorted(-n_, -j, "left"))  # those longer than j
+            u = s[:k] & at[base[:k] + codes[:k, j]]
+            s[:k] = (s[:k] + u | s[:k] - u) & full[:k]
+        common = np.zeros(len(qi), np.int64)
+        common[order] = m[order] - np.bitwise_count(s).astype(np.int64)
+        return np.where(m + n > 0, 2 * common / np.maximum(1, m + n), 1.0)
+
+    def ratio(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
+        return self._split(qi, ti, self._ratio, S.ratio_of)
+
+    def _partial(self, qi: np.ndarray, ti: np.ndarray, form: int = 0) -> np.ndarray:
+        q, t = self.q[form], self.t[form]
+        m, n = q.size[qi], t.size[ti]
+        out = np.zeros(len(qi))
+        order = np.lexsort((n, m))
+        order = order[(m[order] > 0) & (n[order] > 0)]
+        for group in np.split(order, np.flatnonzero(np.diff(m[order])) + 1):
+            for i in range(0, len(group), ROWS):
+                some = group[i : i + ROWS]
+                size, length = n[some], int(m[some[0]])
+                bits = q.at[qi[some][:, None], t.codes[ti[some], : int(size.max())]]
+                short, long = size <= length, size >= length
+                if short.any():
+                    out[some[short]] = _text_along(bits[short], size[short], length)
+                if long.any():
+                    out[some[long]] = np.maximum(out[some[long]], _query_along(bits[long], size[long], length))
+        return out
+
+    def partial(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
+        return self._split(qi, ti, self._partial, S.partial_ratio_of)
+
+    def common_word(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
+        return np.fromiter((not self.qwords[a].isdisjoint(self.twords(b)) for a, b in zip(qi.tolist(), ti.tolist())), bool, len(qi))
+
+    def _token_set(self, qi: np.ndarray, ti: np.ndarray, common: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(qi))
+        rest = np.flatnonzero(~common)
+        out[rest] = self._ratio(qi[rest], ti[rest], 2)
+        out[(self.q[2].size[qi] == 0) | (self.t[2].size[ti] == 0)] = 0.0
+        for k in np.flatnonzero(common).tolist():
+            x, y = self.qwords[qi[k]], self.twords(ti[k])
+            both, p, r = x & y, sorted(x - y), sorted(y - x)
+            if not p or not r:
+                out[k] = 1.0
+                continue
+            # the texts begin with the words they share, so these and the space behind belong to the longest subsequence
+            b, p, r = sum(map(len, both)) + len(both) - 1, " ".join(p), " ".join(r)
+            m, n = b + 1 + len(p), b + 1 + len(r)
+            out[k] = max(2 * b / (b + min(m, n)), 2 * (b + 1 + S._common(p, r)) / (m + n))
+        return out
+
+    def token_set(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
+        return self._split(qi, ti, lambda a, b: self._token_set(a, b, self.common_word(a, b)), S.token_set_ratio_of)
+
+    def _wratio(self, qi, ti, known: dict | None = None) -> np.ndarray:
+        m, n = self.q[0].size[qi], self.t[0].size[ti]
+        common = self.common_word(qi, ti)
+        some = (m > 0) & (n > 0)
+        long = np.maximum(m, n) / np.maximum(1, np.minimum(m, n))
+        score = np.where(some, known["ratio"] if known else self._ratio(qi, ti), 0.0)
+        near = np.flatnonzero(some & (long < 1.5))
+        a, b = qi[near], ti[near]
+        words = known["token_set"][near] if known else self._token_set(a, b, common[near])
+        score[near] = np.maximum(score[near], 0.95 * np.maximum(self._ratio(a, b, 1), words))
+        far = np.flatnonzero(some & (long >= 1.5))
+        scale = np.where(long[far] <= 8, 0.9, 0.6)
+        score[far] = np.maximum(score[far], scale * (known["partial"][far] if known else self._partial(qi[far], ti[far])))
+        words, apart = np.ones(len(far)), np.flatnonzero(~common[far])
+        a, b = qi[far[apart]], ti[far[apart]]
+        words[apart] = np.maximum(self._partial(a, b, 1), self._partial(a, b, 2))
+        score[far] = np.maximum(score[far], 0.95 * scale * words)
+        return score
 
-def _text_along(codes: np.ndarray, n: np.ndarray, m: int, at: np.ndarray) -> np.ndarray:
+    def wratio(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
+        return self._split(qi, ti, self._wratio, S.wratio_of)
+
+    def _jaro_winkler(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
+        q, t = self.q[0], self.t[0]
+        order = np.argsort(-q.size[qi], kind="stable")
+        m, n, a = q.size[qi[order]], t.size[ti[order]], q.codes[qi[order]]
+        b = t.codes[ti[order]]
+        b = np.ascontiguousarray(np.pad(b, ((0, 0), (0, -b.shape[1] % 64 if b.shape[1] else 64))))
+        reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+        inside = np.where(n >= 64, _ONES, (U(1) << np.minimum(n, 63).astype(U)) - U(1))
+        used, found = np.zeros(len(m), U), []
+        for i in range(int(m[0]) if len(m) else 0):
+            k = int(np.searchsorted(-m, -i, "left"))
+            lo, hi = np.maximum(0, i - reach[:k]), np.minimum(63, i + reach[:k])  # both ends belong to it
+            window = (_ONES >> (63 - hi).astype(U)) & (_ONES << np.minimum(63, lo).astype(U)) & inside[:k]
+            places = np.packbits(b[:k] == a[:k, i, None], axis=1, bitorder="little").view(U)[:, 0]
+            free = places & window & ~used[:k]
+            one = free & (~free + U(1))
+            used[:k] |= one
+            found.append((places, one != 0))
+        k_ = np.bitwise_count(used).astype(np.int64)
+        left, wrong = used.copy(), np.zeros(len(m), np.int64)
+        for places, ok in found:
+            k = len(ok)
+            one = np.where(ok, left[:k] & (~left[:k] + U(1)), U(0))
+            wrong[:k] += ok & ((places & one) == 0)
+            left[:k] &= ~one
+        kk = np.maximum(1, k_)
+        s = np.where(k_ > 0, (k_ / np.maximum(1, m) + k_ / np.maximum(1, n) + (k_ - wrong // 2) / kk) / 3, 0.0)
+        same, still = np.zeros(len(m), np.int64), np.ones(len(m), bool)
+        for i in range(min(4, a.shape[1], b.shape[1])):
+            still &= (a[:, i] == b[:, i]) & (a[:, i] > 0)
+            same += still
+        out = np.zeros(len(m))
+        out[order] = np.minimum(1.0, np.where(s > 0.7, s + 0.1 * same * (1 - s), s))
+        return out
+
+    def jaro_winkler(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
+        return self._split(qi, ti, self._jaro_winkler, S.jaro_winkler_of, 64)
+
+    def every(self, qi: np.ndarray, ti: np.ndarray) -> dict[str, np.ndarray]:
+        """All similarities; 0 where a text is empty."""
+        out = {"jaro_winkler": self.jaro_winkler(qi, ti), "ratio": self.ratio(qi, ti), "partial": self.partial(qi, ti), "token_set": self.token_set(qi, ti), "wratio": np.zeros(len(qi))}
+        long = self._plain(qi, ti)
+        for k in np.flatnonzero(long).tolist():
+            out["wratio"][k] = S.wratio_of(self.queries[qi[k]], self.texts[ti[k]])
+        rest = np.flatnonzero(~long)
+        for i in range(0, len(rest), PAIRS):
+            k = rest[i : i + PAIRS]
+            out["wratio"][k] = self._wratio(qi[k], ti[k], {x: out[x][k] for x in ("ratio", "partial", "token_set")})
+        some = (self.q[0].size[qi] > 0) & (self.t[0].size[ti] > 0)
+        return {k: np.where(some, v, 0.0) for k, v in out.items()}
+
+
+def _text_along(bits: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
     """The best ratio of each text, as long as the query at most, with a stretch of the query; all places side by side."""
     most, full = int(n.max()), (1 << m) - 1
     stretch = np.array([[((1 << k) - 1 << i if i >= 0 else (1 << k) - 1 >> -i) & full for i in range(1 - most, m)] for k in range(most + 1)], U)[n]
-    s, bits = stretch.copy(), at[codes[:, :most]]
+    s = stretch.copy()
     for j in range(most):
         u = s & bits[:, j, None]
         s = (s + u | s - u) & stretch
@@ -137,10 +272,10 @@ def _text_along(codes: np.ndarray, n: np.ndarray, m: int, at: np.ndarray) -> np.
     return np.where(w > 0, 2 * got / (n[:, None] + np.maximum(1, w)), 0.0).max(1)
 
 
-def _query_along(codes: np.ndarray, n: np.ndarray, m: int, at: np.ndarray) -> np.ndarray:
+def _query_along(bits: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
     """The best ratio of the query with a stretch of each text, as long as the query at least."""
     most, full = int(n.max()), U((1 << m) - 1)
-    bits = np.pad(at[codes[:, :most]], ((0, 0), (m - 1, m - 1)))
+    bits = np.pad(bits[:, :most], ((0, 0), (m - 1, m - 1)))
     first = np.arange(1 - m, most)
     s = np.full((len(n), len(first)), full, U)
     for j in range(m):
@@ -151,67 +286,332 @@ def _query_along(codes: np.ndarray, n: np.ndarray, m: int, at: np.ndarray) -> np
     return np.where(w > 0, 2 * got / (m + np.maximum(1, w)), 0.0).max(1)
 
 
-def _sorted(t: str) -> str:
-    return " ".join(sorted(t.split()))
+class Bags:
+    """How many characters texts have in common at most: a bit for each of the first so many of a character, in BITS bits."""
 
+    BINS, BITS = 32, 128
 
-def _different(t: str) -> str:
-    return " ".join(sorted(set(t.split())))
+    def __init__(self, letters: np.ndarray, texts: list[str]):
+        self.letters = letters
+        flat = np.searchsorted(letters, _flat(texts))
+        often = np.argsort(-np.bincount(flat, minlength=len(letters)), kind="stable")
+        self.bin = np.full(len(letters), self.BINS - 1)
+        self.bin[often[: self.BINS - 1]] = np.arange(min(len(often), self.BINS - 1))
+        counts = self._counts(texts)
+        top = int(counts.max(initial=1))
+        share = np.array([[(counts[:, b] >= k).mean() if len(counts) else 0.0 for k in range(1, min(top, 16) + 1)] for b in range(self.BINS)])
+        chosen = np.argsort(-share.ravel(), kind="stable")[: self.BITS]
+        chosen = chosen[share.ravel()[chosen] > 0]
+        self.levels = np.bincount(chosen // share.shape[1], minlength=self.BINS)
+        self.of = self.bits(counts)
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        row = np.repeat(np.arange(len(texts)), size)
+        place = np.minimum(np.searchsorted(self.letters, flat := _flat(texts)), max(0, len(self.letters) - 1))
+        ok = self.letters[place] == flat if len(flat) else np.zeros(0, bool)
+        return np.bincount(row[ok] * self.BINS + self.bin[place[ok]], minlength=len(texts) * self.BINS).reshape(-1, self.BINS)
+
+    def bits(self, counts: np.ndarray) -> np.ndarray:
+        out, at = np.zeros((2, len(counts)), U), 0
+        for b, n in enumerate(self.levels.tolist()):
+            for k in range(1, n + 1):
+                out[at // 64] |= (counts[:, b] >= k).astype(U) << U(at % 64)
+                at += 1
+        return out
+
+    def asked(self, queries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of queries, and how many of their characters have none."""
+        counts = self._counts(queries)
+        return self.bits(counts), np.maximum(0, counts - self.levels).sum(1)
+
+
+def _neighbours(texts: list[str], padded: bool) -> np.ndarray:
+    """Bits of the pairs of neighbouring characters, hashed; words stand between spaces where padded."""
+    if padded:
+        texts = [f" {t} " for t in texts]
+    flat, size = _flat(texts).astype(np.uint64), np.fromiter(map(len, texts), np.int64, len(texts))
+    row = np.repeat(np.arange(len(texts)), size)
+    out = np.zeros((2, len(texts)), U)
+    if len(flat) < 2:
+        return out
+    h = (flat[:-1] * U(0x9E3779B97F4A7C15) + flat[1:]) * U(0xC2B2AE3D27D4EB4F) >> U(57)
+    ok = row[:-1] == row[1:]
+    key = np.unique(row[:-1][ok] * 128 + h[ok].astype(np.int64))
+    for k in (0, 1):
+        mine = key[(key % 128) // 64 == k]
+        if len(mine):
+            first = np.flatnonzero(np.diff(mine // 128, prepend=-1))
+            out[k, mine[first] // 128] = np.bitwise_or.reduceat(U(1) << (mine % 64).astype(U), first)
+    return out
+
+
+def _shared(bits: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many bits texts share with a query, in strides that stay in the cache."""
+    out = np.empty(bits.shape[1], np.uint8)
+    for i in range(0, len(out), STRIDE):
+        a, b = bits[:, i : i + STRIDE]
+        np.add(np.bitwise_count(a & q[0]), np.bitwise_count(b & q[1]), out=out[i : i + STRIDE])
+    return out
+
+
+def _lacking(a: np.ndarray, least: float) -> np.ndarray:
+    """How many pairs of neighbours of a text of length ``a`` may be missing in a stretch of partial ratio ``least``; -1: none reaches it.
+
+    Of d characters left out each ends two pairs, each of i <= d others between them one; the ratio is 2 (a - d) / (2 a - d + i).
+    """
+    if least > 1:
+        return np.full(len(a), -1)
+    i, a = np.arange(int(a.max(initial=0)) + 1), a[:, None]
+    d = np.floor(np.minimum(a, (2 * a - least * (2 * a + i)) / (2 - least)) + 1e-9)
+    return np.where((d >= i) & (d >= 0), 2 * d + i, -1).max(1)
 
 
 class Block:
-    """A block of texts, ready for wratio() and jaro_winkler()."""
+    """A block of texts, ready for the best of them by wratio() and jaro_winkler()."""
 
     def __init__(self, texts: list[str]):
-        self.plain, self.by_word, self.by_set = Texts(texts), Texts([_sorted(t) for t in texts]), Texts([_different(t) for t in texts])
-        self.with_word: dict[str, list[int]] = {}
-        for i, t in enumerate(texts):
-            for w in set(t.split()):
-                self.with_word.setdefault(w, []).append(i)
+        self.texts, self.plain = texts, Texts(texts)
+        self._near: _ByLength | None = None
+        self._first: _ByPrefix | None = None
 
     def jaro_winkler(self, q: str, n: int) -> list[tuple[int, float]]:
-        return best(self.plain.jaro_winkler(q), n)
+        return self.best("jaro_winkler", [q], n)[0]
 
     def wratio(self, q: str, n: int) -> list[tuple[int, float]]:
-        """The n best (number, score): partial ratios are computed only where their bounds reach the n-th best of what is known."""
-        size, texts = self.plain.size, self.plain.texts
-        if not q or not len(size):
-            return best(np.zeros(len(size)), n)
-        common_word = np.zeros(len(size), bool)
-        for w in set(q.split()):
-            common_word[self.with_word.get(w, [])] = True
-        score = np.where(size > 0, self.plain.ratio(q), 0.0)
-        ratio = np.maximum(size, len(q)) / np.maximum(1, np.minimum(size, len(q)))
-        near = (ratio < 1.5) & (size > 0)
-        words = np.maximum(self.by_word.ratio(_sorted(q)), np.where(common_word, 0.0, self.by_set.ratio(_different(q))))
-        for i in np.flatnonzero(near & common_word).tolist():
-            words[i] = max(words[i], S.token_set_ratio_of(q, texts[i]))
-        score = np.where(near, np.maximum(score, 0.95 * words), score)
-        far = np.flatnonzero(~near & (size > 0))
-        scale = np.where(ratio[far] <= 8, 0.9, 0.6)
-        score[far] = np.maximum(score[far], np.where(common_word[far], 0.95 * scale, 0.0))
-        forms = ((self.plain, q, 1.0), (self.by_word, _sorted(q), 0.95), (self.by_set, _different(q), 0.95))
-        bound = scale * np.max([f * 2 * (c := t.shared(x)[far]) / np.maximum(1, np.minimum(t.size[far], len(x)) + c) for t, x, f in forms], axis=0)
-        bound += 1e-9  # bounds and scores round differently
-        order, start, step = np.argsort(-bound, kind="stable"), 0, 8 * n
-        while start < len(order):  # from the highest bound on, until none reaches the n-th best so far
-            floor = np.partition(score, len(score) - n)[len(score) - n] if len(score) >= n else -1.0
-            some = order[start : start + step]
-            some = some[bound[some] >= floor]
-            if not len(some):
-                break
-            rows = far[some]
-            found = scale[some] * np.max([f * t.partial(x, rows) for t, x, f in forms], axis=0)
-            score[rows] = np.maximum(score[rows], found)
-            start, step = start + step, 2 * step
-        return best(score, n)
+        return self.best("wratio", [q], n)[0]
+
+    def best(self, channel: str, queries: list[str], n: int) -> list[list[tuple[int, float]]]:
+        """For each query the n best (number, score of six decimals), ties to the smaller number."""
+        if channel == "wratio":
+            self._near = self._near or _ByLength(self.texts)
+            side = self._near
+        else:
+            self._first = self._first or _ByPrefix(self.texts)
+            side = self._first
+        out: list[list[tuple[int, float]]] = [[] for _ in queries]
+        order = sorted(range(len(queries)), key=lambda i: (len(queries[i]), queries[i]))
+        for i in range(0, len(order), BATCH):
+            some = order[i : i + BATCH]
+            for k, found in zip(some, side.best([queries[k] for k in some], n)):
+                out[k] = found
+        return out
 
 
 def best(score: np.ndarray, n: int) -> list[tuple[int, float]]:
     """The n highest, ties to the smaller number."""
+    return best_of(np.arange(len(score)), score, np.arange(len(score)), n)
+
+
+class _Side:
+    """Texts in an order of their own; ``number`` is their place in the block."""
+
+    def __init__(self, texts: list[str], order: list[int]):
+        self.number = np.array(order, np.int64)
+        self.texts = [texts[i] for i in order]
+        self.n = np.fromiter(map(len, self.texts), np.int64, len(texts))
+        self.letters = np.unique(np.concatenate([_flat(self.texts), _flat([" "])]))
+        self.bags = Bags(self.letters, self.texts)
+
+    def _pairs(self, queries: list[str]) -> Pairs:
+        letters = np.unique(np.concatenate([self.letters, _flat(queries)]))
+        if len(letters) > len(self.letters):
+            self.letters, self.forms = letters, None
+        self.forms = getattr(self, "forms", None) or [Texts([f(t) for t in self.texts], letters) for f in Pairs.FORMS[: self.FORMS]]
+        return Pairs(queries, self.texts, self.forms, letters)
+
+    def best(self, queries: list[str], n: int) -> list[list[tuple[int, float]]]:
+        pairs, n = self._pairs(queries), min(n, len(self.texts))
+        self.prepare(queries)
+        asked = [self.ask(pairs, k, n) for k in range(len(queries))] if n else []
+        open_ = [k for k, a in enumerate(asked) if not a.done(n)]
+        while open_:
+            new = [asked[k].more(n) for k in open_]
+            qi, ti = np.repeat(open_, list(map(len, new))), np.concatenate(new)
+            score, at = round6(getattr(pairs, self.CHANNEL)(qi, ti)), 0
+            for k, x in zip(open_, new):
+                asked[k].learn(x, score[at : at + len(x)])
+                at += len(x)
+            open_ = [k for k in open_ if not asked[k].done(n)]
+        return [best_of(a.at, a.score, self.number, n) for a in asked] if n else [[] for _ in queries]
+
+
+def best_of(at: np.ndarray, score: np.ndarray, number: np.ndarray, n: int) -> list[tuple[int, float]]:
     if len(score) > n:
-        some = np.flatnonzero(score >= np.partition(score, len(score) - n)[len(score) - n])
-    else:
-        some = np.arange(len(score))
-    order = some[np.lexsort((some, -score[some]))][:n]
-    return list(zip(order.tolist(), score[order].tolist()))
+        some = score >= np.partition(score, len(score) - n)[len(score) - n]
+        at, score = at[some], score[some]
+    ids = number[at]
+    order = np.lexsort((ids, -score))[:n]
+    return list(zip(ids[order].tolist(), score[order].tolist()))
+
+
+class _Asked:
+    """What is known of a query: scores of texts, and the score for which all texts that could reach it were computed.
+
+    ``low`` are scores that the texts ``at`` have at least, and exactly where nothing else of theirs reaches what is asked.
+    """
+
+    def __init__(self, size: int, may, at: np.ndarray, low: np.ndarray):
+        self.may, self.asked = may, 2.0
+        self.seen = np.zeros(size, bool)  # computed
+        self._at, self._score, self._low_at, self._low = np.zeros(0, np.int64), np.zeros(0), at, low
+        self._join()
+
+    def _join(self) -> None:
+        rest = ~self.seen[self._low_at]
+        self.at, self.score = np.concatenate([self._at, self._low_at[rest]]), np.concatenate([self._score, self._low[rest]])
+
+    def _nth(self, n: int) -> float:
+        return np.partition(self.score, len(self.score) - n)[len(self.score) - n] if len(self.score) >= n else -1.0
+
+    def done(self, n: int) -> bool:
+        return self.asked <= 0 or self._nth(n) >= self.asked
+
+    def more(self, n: int) -> np.ndarray:
+        """The texts to be computed next."""
+        self.asked = max(self._nth(n), next(s for s in STEPS if s < self.asked))
+        at = np.flatnonzero(self.may(self.asked - EPS) & ~self.seen) if self.asked > 0 else np.flatnonzero(~self.seen)
+        self.seen[at] = True
+        return at
+
+    def learn(self, at: np.ndarray, score: np.ndarray) -> None:
+        self._at, self._score = np.concatenate([self._at, at]), np.concatenate([self._score, score])
+        self._join()
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+class _ByPrefix(_Side):
+    """Texts as they sort, for Jaro-Winkler: those of a prefix lie together."""
+
+    CHANNEL, FORMS = "jaro_winkler", 1
+
+    def __init__(self, texts: list[str]):
+        super().__init__(texts, sorted(range(len(texts)), key=texts.__getitem__))
+        self.n32, self.longest = self.n.astype(np.int32), int(self.n.max(initial=0))
+
+    def prepare(self, queries: list[str]) -> None:
+        self.q, self.over = self.bags.asked(queries)
+
+    def ask(self, pairs: Pairs, k: int, n: int) -> _Asked:
+        q = pairs.queries[k]
+        ranges = [(0, len(self.n))]
+        for p in range(1, min(4, len(q)) + 1):
+            lo = bisect_left(self.texts, q[:p], *ranges[-1])
+            hi = bisect_left(self.texts, True, lo, ranges[-1][1], key=lambda t: t[:p] > q[:p])  # noqa: B023
+            ranges.append((lo, hi))
+        # the highest score by shared characters (rows) and length (columns), for a prefix of each length
+        lengths, m = np.arange(self.longest + 1), len(q)
+        c = np.minimum(np.arange(Bags.BITS + 1)[:, None] + int(self.over[k]), np.minimum(lengths, m))
+        jaro = np.where(c > 0, (c / max(1, m) + c / np.maximum(1, lengths) + 1) / 3, 0.0)
+        at, high = _shared(self.bags.of, self.q[:, k]) * np.int32(len(lengths)) + self.n32, np.empty(len(self.n), np.float32)
+        for p, (lo, hi) in enumerate(ranges):
+            if lo < hi:
+                high[lo:hi] = np.where(jaro > 0.7, jaro + 0.1 * p * (1 - jaro), jaro).astype(np.float32).ravel()[at[lo:hi]]
+        may = lambda least: high >= least
+
+        return _Asked(len(self.n), may if q else lambda least: np.zeros(len(self.n), bool), _NONE, np.zeros(0))
+
+
+class _ByLength(_Side):
+    """Texts by their length, for WRatio: near ones, those much longer and those much shorter lie together."""
+
+    CHANNEL, FORMS = "wratio", 3
+
+    def __init__(self, texts: list[str]):
+        super().__init__(texts, sorted(range(len(texts)), key=lambda i: (len(texts[i]), texts[i])))
+        self.bits = _neighbours(self.texts, True)
+        self.held = np.bitwise_count(self.bits).sum(0).astype(np.int16)
+        self.begin = np.searchsorted(self.n, np.arange(int(self.n.max(initial=0)) + 2))  # where each length begins
+        self.different = np.fromiter((len(_different(t)) for t in self.texts), np.int64, len(texts))
+        self.repeated = (self.n - self.different).astype(np.int16)
+        self.odd = np.flatnonzero([t != " ".join(t.split()) for t in self.texts])  # bounds are those of words between single spaces
+        words = [set(t.split()) for t in self.texts]
+        number: dict[str, int] = {}
+        which = np.fromiter((number.setdefault(w, len(number)) for x in words for w in x), np.int64)
+        self.words = np.fromiter(map(len, words), np.int64, len(texts))
+        row, order = np.repeat(np.arange(len(texts)), self.words), np.argsort(which, kind="stable")
+        self.word, self.holders, self.word_begin = number, row[order], np.searchsorted(which[order], np.arange(len(number) + 1))
+
+    def prepare(self, queries: list[str]) -> None:
+        self.q, self.over = self.bags.asked(queries)
+        self.q_bits = _neighbours(queries, True)
+        self.q_inner = [_neighbours([f(q) for q in queries], False) for f in Pairs.FORMS]
+
+    def _known(self, pairs: Pairs, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the words shared with a query give: (texts, scores)."""
+        found = []
+        for w in pairs.qwords[k]:
+            i = self.word.get(w)
+            if i is not None:
+                found.append((self.holders[self.word_begin[i] : self.word_begin[i + 1]], len(w) + 1))
+        if not found:
+            return _NONE, np.zeros(0)
+        m, dm, words = len(pairs.queries[k]), pairs.q[2].size[k], len(pairs.qwords[k])
+        at, which = np.unique(np.concatenate([a for a, _ in found]), return_inverse=True)
+        b = np.bincount(which, np.repeat([s for _, s in found], [len(a) for a, _ in found])) - 1
+        same = np.bincount(which)
+        n, dn = self.n[at], self.different[at]
+        long = np.maximum(m, n) / np.minimum(m, n)
+        set_ = np.where((same == words) | (same == self.words[at]), 1.0, 2 * b / (b + np.minimum(dm, dn)))
+        return at, round6(np.where(long < 1.5, 0.95 * set_, 0.95 * np.where(long <= 8, 0.9, 0.6)))
+
+    def ask(self, pairs: Pairs, k: int, n: int) -> _Asked:
+        q, size = pairs.queries[k], len(self.n)
+        if not q:
+            return _Asked(size, lambda least: np.zeros(size, bool), _NONE, np.zeros(0))
+        if q != " ".join(q.split()):
+            return _Asked(size, lambda least: np.ones(size, bool), _NONE, np.zeros(0))
+        m, dm = len(q), int(pairs.q[2].size[k])
+        common = _shared(self.bags.of, self.q[:, k]) + np.int16(min(self.over[k], 1000))
+        both = _shared(self.bits, self.q_bits[:, k])
+        mine = int(np.bitwise_count(self.q_bits[:, k]).sum())
+        lo = int(np.searchsorted(3 * self.n, 2 * m, "right"))  # n > m / 1.5
+        hi = int(np.searchsorted(2 * self.n, 3 * m, "left"))  # n < 1.5 m
+        lo8 = int(np.searchsorted(8 * self.n, m, "left"))  # n >= m / 8
+        hi8 = int(np.searchsorted(self.n, 8 * m, "right"))  # n <= 8 m
+        forms = [(0, 1.0)] + [(f, 0.95) for f in (1, 2) if pairs.q[f].texts[k] != pairs.q[f - 1].texts[k]]
+        gap: list = []
+
+        def may(least: float) -> np.ndarray:
+            out = np.zeros(size, bool)
+            # ratios: of the characters left out each ends at most two pairs of neighbours of its text and one of the other
+            first, last = (lo, hi) if least > 0.8 else (int(np.searchsorted((2 - least) * self.n, least * m - 1e-6)), int(np.searchsorted(least * self.n, (2 - least) * m + 1e-6, "right")))
+            if first < last:
+                if not gap or gap[0][0] > first or gap[0][1] < last:
+                    gap[:] = [(first, last), self.held[first:last] - 2 * both[first:last].astype(np.int16), 2 * common[first:last] + self.repeated[first:last]]
+                for n in range(int(self.n[first]), int(self.n[last - 1]) + 1):
+                    a, z = max(first, int(self.begin[n])), min(last, int(self.begin[n + 1]))
+                    left = int((1 - least) * (m + n) + 1e-9)
+                    x, y = a - gap[0][0], z - gap[0][0]
+                    out[a:z] = (gap[1][x:y] <= 3 * left - mine) & (gap[2][x:y] >= dm + n - left)
+            # stretches of longer texts; of the pairs of a word with spaces around it those at the ends belong to no stretch
+            for a, z, scale in ((hi, hi8, 0.9), (hi8, size, 0.6)):
+                a = max(a, hi)
+                if a >= z:
+                    continue
+                wants = [(f, least / scale / weight, int(pairs.q[f].size[k])) for f, weight in forms]
+                wants = [(f, want, length, int(_lacking(np.array([length]), want)[0])) for f, want, length in wants]
+                some = max(x[3] for x in wants)
+                if some < 0:
+                    continue
+                at = a + np.flatnonzero(both[a:z] >= mine - some - 2)
+                for f, want, length, lacks in wants:
+                    if lacks >= 0:
+                        inner = self.q_inner[f][:, k]
+                        ok = common[at] * (2 - want) >= want * length - 1e-6
+                        mine_too = at[ok]
+                        out[mine_too[int(np.bitwise_count(inner).sum()) - _shared(self.bits[:, mine_too], inner).astype(np.int16) <= lacks]] = True
+            # shorter texts along the query; of the pairs of a word with spaces around it those at the ends may be missing
+            for a, z, scale in ((lo8, lo, 0.9), (0, lo8, 0.6)):
+                z = min(z, lo)
+                if a < z:
+                    for length, weight in ((self.n[a:z], 1.0), (self.different[a:z], 0.95)):
+                        want = least / scale / weight
+                        each = _lacking(np.arange(int(length.max()) + 1), want)[length]
+                        out[a:z] |= (each >= 0) & (self.held[a:z] - both[a:z].astype(np.int16) <= each + 2) & (common[a:z] * (2 - want) >= want * self.different[a:z] - 1e-6)
+            out[self.odd] = True
+            return out
+
+        return _Asked(size, may, *self._known(pairs, k))

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_engine import pool_of, queries_of, words
 
+from quillmesh.functions import edit as ED
 from quillmesh.functions import grams as G
+from quillmesh.functions import similarity as S
 from quillmesh.operators import benchmarks as B
 from quillmesh.operators import matching as M
 
@@ -65,3 +67,33 @@ def test_positive_attempts_make_no_rows_for_shared_names(spark):
     assert flags(some) == flags(all_) and {f for _, f in flags(some)} == {True, False} and "collision_aliases" not in some.columns
     out = lambda d: sorted(B.positives(d).select("company_id", "difficulty", "query_text", "benchmark_valid", "generation_attempts").collect())
     assert out(some) == out(all_)
+
+
+def odd_words(r, k):
+    """Texts of every kind the bounds distinguish: repeated words, other letters, white space, beyond 62 and 64 characters."""
+    texts = [words(r, r.randint(1, 6), "abcdeş") for _ in range(k)]
+    return [*texts, *(f"{t} {t.split()[0]}" for t in texts[:20]), "a", "ab", "a  b", " ab cd", "b\ta c", "ab " * 30, "x" * 63, "x" * 64, "x" * 65, "ab cd " * 12, "😀 ab", ""]
+
+
+def test_nearest_by_bounds_is_the_nearest_of_all():
+    """The best by WRatio are those of all pairs, rounded, ties to the smaller number; few pairs are computed."""
+    r = random.Random(7)
+    texts = sorted({*odd_words(r, 400), *(words(r, r.randint(3, 5), "klmnopqrstuv") for _ in range(1500))})
+    queries = [*r.sample(texts, 12), *(q[: r.randint(1, 12)] for q in r.sample(texts, 12)), *(q[::2] for q in r.sample(texts, 12)), "zz", "ab  cd", "", "é", "ab cd " * 11]
+    block, done = ED.Block(texts), 0
+    fast = ED.Pairs.wratio
+
+    def counted(self, qi, ti):
+        nonlocal done
+        done += len(qi)
+        return fast(self, qi, ti)
+
+    for n in (1, 40):
+        ED.Pairs.wratio, done = counted, 0
+        got = block.best("wratio", queries, n)
+        ED.Pairs.wratio = fast
+        assert n > 1 or done < len(queries) * len(texts) / 2
+        for q, found in zip(queries, got):
+            score = ED.round6(np.array([S.wratio_of(q, t) for t in texts]))
+            order = np.lexsort((np.arange(len(texts)), -score))[:n]
+            assert found == list(zip(order.tolist(), score[order].tolist())), q
