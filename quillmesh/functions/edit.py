@@ -18,7 +18,6 @@ from quillmesh.functions import similarity as S
 WORD = 62
 ROWS = 512  # pairs whose places are compared side by side
 PAIRS = 16_384  # pairs computed at once
-BATCH = 64  # queries of a block whose pairs are computed together
 STRIDE = 8_192
 U = np.uint64
 _ONES = U(0xFFFFFFFFFFFFFFFF)
@@ -52,10 +51,14 @@ class Texts:
         self.letters = np.unique(flat) if letters is None else letters
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.codes = np.zeros((len(texts), min(64, int(self.size.max(initial=0)))), np.uint8 if len(self.letters) < 255 else np.uint32)
-        row = np.repeat(np.arange(len(texts)), self.size)
-        col = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        ok = col < 64
-        self.codes[row[ok], col[ok]] = np.searchsorted(self.letters, flat[ok]) + 1
+        end = np.cumsum(self.size)
+        for i in range(0, len(texts), STRIDE):
+            size = self.size[i : i + STRIDE]
+            part = flat[end[i] - size[0] : end[i + len(size) - 1]]
+            row = np.repeat(np.arange(i, i + len(size)), size)
+            col = np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size)
+            ok = col < 64
+            self.codes[row[ok], col[ok]] = np.searchsorted(self.letters, part[ok]) + 1
         self._at: np.ndarray | None = None
 
     @property
@@ -306,11 +309,14 @@ class Bags:
         self.of = self.bits(counts)
 
     def _counts(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([self._some(texts[i : i + STRIDE]) for i in range(0, max(1, len(texts)), STRIDE)])
+
+    def _some(self, texts: list[str]) -> np.ndarray:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         row = np.repeat(np.arange(len(texts)), size)
         place = np.minimum(np.searchsorted(self.letters, flat := _flat(texts)), max(0, len(self.letters) - 1))
         ok = self.letters[place] == flat if len(flat) else np.zeros(0, bool)
-        return np.bincount(row[ok] * self.BINS + self.bin[place[ok]], minlength=len(texts) * self.BINS).reshape(-1, self.BINS)
+        return np.bincount(row[ok] * self.BINS + self.bin[place[ok]], minlength=len(texts) * self.BINS).reshape(-1, self.BINS).astype(np.uint32)
 
     def bits(self, counts: np.ndarray) -> np.ndarray:
         out, at = np.zeros((2, len(counts)), U), 0
@@ -323,11 +329,13 @@ class Bags:
     def asked(self, queries: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of queries, and how many of their characters have none."""
         counts = self._counts(queries)
-        return self.bits(counts), np.maximum(0, counts - self.levels).sum(1)
+        return self.bits(counts), np.maximum(0, counts.astype(np.int64) - self.levels).sum(1)
 
 
 def _neighbours(texts: list[str], padded: bool) -> np.ndarray:
     """Bits of the pairs of neighbouring characters, hashed; words stand between spaces where padded."""
+    if len(texts) > STRIDE:
+        return np.concatenate([_neighbours(texts[i : i + STRIDE], padded) for i in range(0, len(texts), STRIDE)], axis=1)
     if padded:
         texts = [f" {t} " for t in texts]
     flat, size = _flat(texts).astype(np.uint64), np.fromiter(map(len, texts), np.int64, len(texts))
@@ -391,8 +399,8 @@ class Block:
             side = self._first
         out: list[list[tuple[int, float]]] = [[] for _ in queries]
         order = sorted(range(len(queries)), key=lambda i: (len(queries[i]), queries[i]))
-        for i in range(0, len(order), BATCH):
-            some = order[i : i + BATCH]
+        for i in range(0, len(order), side.BATCH):
+            some = order[i : i + side.BATCH]
             for k, found in zip(some, side.best([queries[k] for k in some], n)):
                 out[k] = found
         return out
@@ -485,7 +493,7 @@ _NONE = np.zeros(0, np.int64)
 class _ByPrefix(_Side):
     """Texts as they sort, for Jaro-Winkler: those of a prefix lie together."""
 
-    CHANNEL, FORMS = "jaro_winkler", 1
+    CHANNEL, FORMS, BATCH = "jaro_winkler", 1, 64  # queries whose pairs are computed together
 
     def __init__(self, texts: list[str]):
         super().__init__(texts, sorted(range(len(texts)), key=texts.__getitem__))
@@ -505,10 +513,12 @@ class _ByPrefix(_Side):
         lengths, m = np.arange(self.longest + 1), len(q)
         c = np.minimum(np.arange(Bags.BITS + 1)[:, None] + int(self.over[k]), np.minimum(lengths, m))
         jaro = np.where(c > 0, (c / max(1, m) + c / np.maximum(1, lengths) + 1) / 3, 0.0)
-        at, high = _shared(self.bags.of, self.q[:, k]) * np.int32(len(lengths)) + self.n32, np.empty(len(self.n), np.float32)
+        high = np.empty(len(self.n), np.float32)
         for p, (lo, hi) in enumerate(ranges):
-            if lo < hi:
-                high[lo:hi] = np.where(jaro > 0.7, jaro + 0.1 * p * (1 - jaro), jaro).astype(np.float32).ravel()[at[lo:hi]]
+            table = np.where(jaro > 0.7, jaro + 0.1 * p * (1 - jaro), jaro).astype(np.float32).ravel()
+            for i in range(lo, hi, STRIDE):
+                j = min(hi, i + STRIDE)
+                table.take(_shared(self.bags.of[:, i:j], self.q[:, k]) * np.int32(len(lengths)) + self.n32[i:j], out=high[i:j], mode="clip")
         may = lambda least: high >= least
 
         return _Asked(len(self.n), may if q else lambda least: np.zeros(len(self.n), bool), _NONE, np.zeros(0))
@@ -517,7 +527,7 @@ class _ByPrefix(_Side):
 class _ByLength(_Side):
     """Texts by their length, for WRatio: near ones, those much longer and those much shorter lie together."""
 
-    CHANNEL, FORMS = "wratio", 3
+    CHANNEL, FORMS, BATCH = "wratio", 3, 12
 
     def __init__(self, texts: list[str]):
         super().__init__(texts, sorted(range(len(texts)), key=lambda i: (len(texts[i]), texts[i])))

@@ -97,3 +97,18 @@ def test_nearest_by_bounds_is_the_nearest_of_all():
             score = ED.round6(np.array([S.wratio_of(q, t) for t in texts]))
             order = np.lexsort((np.arange(len(texts)), -score))[:n]
             assert found == list(zip(order.tolist(), score[order].tolist())), q
+
+
+def test_jaro_winkler_by_bounds_is_that_of_all_and_ties_are_of_six_decimals():
+    """Two texts of 0.85 whose doubles differ in the last bit tie, so the smaller number is first; the rest as of all pairs."""
+    assert S.jaro_winkler_of("cadc", "acddc") < S.jaro_winkler_of("cadc", "cbad")
+    assert ED.Block(["acddc", "cbad"]).jaro_winkler("cadc", 1) == [(0, 0.85)]
+    r = random.Random(8)
+    texts = sorted({*odd_words(r, 400), *(words(r, r.randint(3, 5), "klmnopqrstuv") for _ in range(1500))})
+    queries = [*r.sample(texts, 12), *(q[: r.randint(1, 12)] for q in r.sample(texts, 12)), *(q[1::2] for q in r.sample(texts, 12)), "zz", "", "é", "ab cd " * 11]
+    block = ED.Block(texts)
+    for n in (1, 10, 60):
+        for q, found in zip(queries, block.best("jaro_winkler", queries, n)):
+            score = ED.round6(np.array([S.jaro_winkler_of(q, t) for t in texts]))
+            order = np.lexsort((np.arange(len(texts)), -score))[:n]
+            assert found == list(zip(order.tolist(), score[order].tolist())), q
