@@ -106,6 +106,7 @@ class Pairs:
         self.texts = texts
         self.qwords = [frozenset(x.split()) for x in queries]
         self._twords: dict[int, frozenset] = {}
+        self.shared: np.ndarray | None = None  # for each query and text whether they share a word, where that is known
 
     def twords(self, i: int) -> frozenset:
         if i not in self._twords:
@@ -166,6 +167,8 @@ class Pairs:
         return self._split(qi, ti, self._partial, S.partial_ratio_of)
 
     def common_word(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
+        if self.shared is not None:
+            return self.shared[qi, ti]
         return np.fromiter((not self.qwords[a].isdisjoint(self.twords(b)) for a, b in zip(qi.tolist(), ti.tolist())), bool, len(qi))
 
     def _token_set(self, qi: np.ndarray, ti: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -188,6 +191,10 @@ class Pairs:
     def token_set(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
         return self._split(qi, ti, lambda a, b: self._token_set(a, b, self.common_word(a, b)), S.token_set_ratio_of)
 
+    def _repeats(self, qi: np.ndarray, ti: np.ndarray) -> np.ndarray:
+        """Which pairs have a text with a word more than once; to the others their different words are their sorted words."""
+        return np.flatnonzero((self.q[1].size[qi] != self.q[2].size[qi]) | (self.t[1].size[ti] != self.t[2].size[ti]))
+
     def _wratio(self, qi, ti, known: dict | None = None) -> np.ndarray:
         m, n = self.q[0].size[qi], self.t[0].size[ti]
         common = self.common_word(qi, ti)
@@ -203,7 +210,9 @@ class Pairs:
         score[far] = np.maximum(score[far], scale * (known["partial"][far] if known else self._partial(qi[far], ti[far])))
         words, apart = np.ones(len(far)), np.flatnonzero(~common[far])
         a, b = qi[far[apart]], ti[far[apart]]
-        words[apart] = np.maximum(self._partial(a, b, 1), self._partial(a, b, 2))
+        of_words, some = self._partial(a, b, 1), self._repeats(a, b)
+        of_words[some] = np.maximum(of_words[some], self._partial(a[some], b[some], 2))
+        words[apart] = of_words
         score[far] = np.maximum(score[far], 0.95 * scale * words)
         return score
 
@@ -433,6 +442,8 @@ class _Side:
         self.prepare(queries)
         asked = [self.ask(pairs, k, n) for k in range(len(queries))] if n else []
         open_ = [k for k, a in enumerate(asked) if not a.done(n)]
+        if self.CHANNEL == "wratio" and open_:
+            pairs.shared = np.array([a.shares for a in asked])
         while open_:
             new = [asked[k].more(n) for k in open_]
             qi, ti = np.repeat(open_, list(map(len, new))), np.concatenate(new)
@@ -463,6 +474,8 @@ class _Asked:
         self.may, self.asked = may, 2.0
         self.seen = np.zeros(size, bool)  # computed
         self._at, self._score, self._low_at, self._low = np.zeros(0, np.int64), np.zeros(0), at, low
+        self.shares = np.zeros(size, bool)  # a word with the query
+        self.shares[at] = True
         self._join()
 
     def _join(self) -> None:
@@ -572,7 +585,9 @@ class _ByLength(_Side):
         if not q:
             return _Asked(size, lambda least: np.zeros(size, bool), _NONE, np.zeros(0))
         if q != " ".join(q.split()):
-            return _Asked(size, lambda least: np.ones(size, bool), _NONE, np.zeros(0))
+            out = _Asked(size, lambda least: np.ones(size, bool), _NONE, np.zeros(0))
+            out.shares[self._known(pairs, k)[0]] = True
+            return out
         m, dm = len(q), int(pairs.q[2].size[k])
         common = _shared(self.bags.of, self.q[:, k]) + np.int16(min(self.over[k], 1000))
         both = _shared(self.bits, self.q_bits[:, k])

@@ -112,3 +112,18 @@ def test_jaro_winkler_by_bounds_is_that_of_all_and_ties_are_of_six_decimals():
             score = ED.round6(np.array([S.jaro_winkler_of(q, t) for t in texts]))
             order = np.lexsort((np.arange(len(texts)), -score))[:n]
             assert found == list(zip(order.tolist(), score[order].tolist())), q
+
+
+def test_edit_scores_of_pairs_are_the_plain_ones_in_one_pass(spark):
+    """All edit scores of a pair are those of the plain functions, computed for many pairs at once and not text by text."""
+    r = random.Random(9)
+    texts = odd_words(r, 60)
+    rows = [(i, r.choice(texts), r.choice(texts)) for i in range(900)] + [(900, None, "ab"), (901, "ab", None)]
+    df = M.with_edit_scores(spark.createDataFrame(rows, "i int, query_text string, normalized_alias string"))
+    assert "ArrowEvalPython" not in (plan := df._jdf.queryExecution().toString()) and "MapInArrow" in plan
+    plain = {"jaro_winkler": S.jaro_winkler_of, "ratio": S.ratio_of, "partial_ratio": S.partial_ratio_of, "token_set_ratio": S.token_set_ratio_of, "wratio": S.wratio_of}
+    got = {x["i"]: x for x in df.collect()}
+    assert len(got) == 902
+    for i, a, b in rows:
+        for name, f in plain.items():
+            assert np.isclose(got[i][name], f(a, b) if a and b else 0.0, atol=1e-12), (name, a, b)
