@@ -11,6 +11,7 @@ from quillmesh.functions import grams as G
 from quillmesh.functions import similarity as S
 from quillmesh.operators import benchmarks as B
 from quillmesh.operators import matching as M
+from quillmesh.plans import inputs as I
 
 
 def test_terms_are_the_characters_substrings():
@@ -127,3 +128,25 @@ def test_edit_scores_of_pairs_are_the_plain_ones_in_one_pass(spark):
     for i, a, b in rows:
         for name, f in plain.items():
             assert np.isclose(got[i][name], f(a, b) if a and b else 0.0, atol=1e-12), (name, a, b)
+
+
+def test_names_are_the_first_words_of_whole_texts(spark):
+    texts = [None, "", "a", "one two", "...!\n\nzü b1c d\te f g", " x\n", "ends here 9", "a" * 5000 + " b", "1 2 3", "q\u0130w e\u00e7r tt yy uu", "-" * 5000 + "late words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for x in df.select("text", I.first_words("text").alias("w"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0).alias("all")).collect():
+        assert [w for w in x["w"] if w is not None] == (x["all"] or [])[:4]
+
+
+def test_attempts_in_turn_choose_as_all_attempts(spark, monkeypatch):
+    """Shared names, single names and names that repeat make refused and repeated attempts; no variant goes on after one that is accepted."""
+    r = random.Random(5)
+    names = ["Alpha Beta Gama"] * 6 + ["Abc", "Abc De", "Xyz"] * 3 + [words(r, 2, "abgtel") for _ in range(12)]
+    pool = pool_of(spark, [(i, i // 2 if i % 3 else i, n) for i, n in enumerate(names)]).persist()
+    sources = B.source_aliases(pool).persist()
+    made, attempted = [], B._attempted
+    monkeypatch.setattr(B, "_attempted", lambda slots, *a: made.append(slots.count()) or attempted(slots, *a))
+    got = B.positives_in_turn(sources, pool)
+    columns = ["company_id", "variant", "difficulty", "query_text", "normalized_query", "benchmark_collision", "duplicate_generated_query", "benchmark_valid", "generation_attempts"]
+    want = B.positives(B.attempts(sources, pool, named=True)).persist()
+    assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
+    assert len(made) > 2 and sum(made[:-1]) < made[-1]
