@@ -137,7 +137,7 @@ def test_names_are_the_first_words_of_whole_texts(spark):
         assert [w for w in x["w"] if w is not None] == (x["all"] or [])[:4]
 
 
-def test_attempts_in_turn_choose_as_all_attempts(spark, monkeypatch):
+def test_attempts_in_turn_choose_as_all_attempts_and_list_collisions(spark, monkeypatch):
     """Shared names, single names and names that repeat make refused and repeated attempts; no variant goes on after one that is accepted."""
     r = random.Random(5)
     names = ["Alpha Beta Gama"] * 6 + ["Abc", "Abc De", "Xyz"] * 3 + [words(r, 2, "abgtel") for _ in range(12)]
@@ -150,3 +150,18 @@ def test_attempts_in_turn_choose_as_all_attempts(spark, monkeypatch):
     want = B.positives(B.attempts(sources, pool, named=True)).persist()
     assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
     assert len(made) > 2 and sum(made[:-1]) < made[-1]
+    owners, ids = {}, {x["company_id"]: x for x in want.where("benchmark_collision").collect()}
+    for x in pool.collect():
+        owners.setdefault(x["normalized_alias"], {}).setdefault(str(x["company_id"]), set()).add(x["alias_text"].strip())
+    listed, rows = {}, B.with_collisions(got, pool).collect()
+    for x in rows:
+        if not x["benchmark_collision"]:
+            assert (x["collision_owners"], x["collision_company_ids"], x["collision_aliases"]) == (0, "", "")
+            continue
+        own = owners[x["normalized_query"]]
+        assert x["collision_owners"] == len(own)
+        if x["collision_company_ids"] is not None:
+            assert x["normalized_query"] not in listed
+            listed[x["normalized_query"]] = x["company_id"], x["variant"]
+            assert x["collision_company_ids"].split("|") == sorted(own) and x["collision_aliases"].split("|") == [f"{c}:{a}" for c in sorted(own) for a in sorted(own[c])]
+    assert ids and listed == {t: min((x["company_id"], x["variant"]) for x in rows if x["benchmark_collision"] and x["normalized_query"] == t) for t in {x["normalized_query"] for x in rows if x["benchmark_collision"]}}
