@@ -398,8 +398,8 @@ class Block:
     def wratio(self, q: str, n: int) -> list[tuple[int, float]]:
         return self.best("wratio", [q], n)[0]
 
-    def best(self, channel: str, queries: list[str], n: int) -> list[list[tuple[int, float]]]:
-        """For each query the n best (number, score of six decimals), ties to the smaller number."""
+    def best(self, channel: str, queries: list[str], n: int, floors: list[float] | None = None) -> list[list[tuple[int, float]]]:
+        """For each query the n best (number, score of six decimals), ties to the smaller number; below its floor, if there are any, texts may lack."""
         if channel == "wratio":
             self._near = self._near or _ByLength(self.texts)
             side = self._near
@@ -410,7 +410,21 @@ class Block:
         order = sorted(range(len(queries)), key=lambda i: (len(queries[i]), queries[i]))
         for i in range(0, len(order), side.BATCH):
             some = order[i : i + side.BATCH]
-            for k, found in zip(some, side.best([queries[k] for k in some], n)):
+            for k, found in zip(some, side.best([queries[k] for k in some], n, floors and [floors[k] for k in some])):
+                out[k] = found
+        return out
+
+    def reaching(self, queries: list[str], least: list[float], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the numbers of the texts whose weighted similarities (SHARES) add up to ``least``, which is above 0, and which of them are not among the n best by wratio().
+
+        Others that lack EPS at most may be among them; where that of wratio() isn't plain from the words in common it stays open.
+        """
+        side = _Reach(self.texts)
+        out = [(_NONE, np.zeros(0, bool)) for _ in queries]
+        order = sorted(range(len(queries)), key=lambda i: (len(queries[i]), queries[i]))
+        for i in range(0, len(order), side.BATCH):
+            some = order[i : i + side.BATCH]
+            for k, found in zip(some, side.reaching([queries[k] for k in some], [least[k] for k in some], n)):
                 out[k] = found
         return out
 
@@ -437,10 +451,12 @@ class _Side:
         self.forms = getattr(self, "forms", None) or [Texts([f(t) for t in self.texts], letters) for f in Pairs.FORMS[: self.FORMS]]
         return Pairs(queries, self.texts, self.forms, letters)
 
-    def best(self, queries: list[str], n: int) -> list[list[tuple[int, float]]]:
+    def best(self, queries: list[str], n: int, floors: list[float] | None = None) -> list[list[tuple[int, float]]]:
         pairs, n = self._pairs(queries), min(n, len(self.texts))
         self.prepare(queries)
         asked = [self.ask(pairs, k, n) for k in range(len(queries))] if n else []
+        for a, floor in zip(asked, floors or ()):
+            a.floor = floor
         open_ = [k for k, a in enumerate(asked) if not a.done(n)]
         if self.CHANNEL == "wratio" and open_:
             pairs.shared = np.array([a.shares for a in asked])
@@ -471,7 +487,7 @@ class _Asked:
     """
 
     def __init__(self, size: int, may, at: np.ndarray, low: np.ndarray):
-        self.may, self.asked = may, 2.0
+        self.may, self.asked, self.floor = may, 2.0, 0.0
         self.seen = np.zeros(size, bool)  # computed
         self._at, self._score, self._low_at, self._low = np.zeros(0, np.int64), np.zeros(0), at, low
         self.shares = np.zeros(size, bool)  # a word with the query
@@ -486,11 +502,11 @@ class _Asked:
         return np.partition(self.score, len(self.score) - n)[len(self.score) - n] if len(self.score) >= n else -1.0
 
     def done(self, n: int) -> bool:
-        return self.asked <= 0 or self._nth(n) >= self.asked
+        return self.asked <= self.floor or self._nth(n) >= self.asked
 
     def more(self, n: int) -> np.ndarray:
         """The texts to be computed next."""
-        self.asked = max(self._nth(n), next(s for s in STEPS if s < self.asked))
+        self.asked = max(self._nth(n), self.floor, next(s for s in STEPS if s < self.asked))
         at = np.flatnonzero(self.may(self.asked - EPS) & ~self.seen) if self.asked > 0 else np.flatnonzero(~self.seen)
         self.seen[at] = True
         return at
@@ -640,3 +656,229 @@ class _ByLength(_Side):
             return out
 
         return _Asked(size, may, *self._known(pairs, k))
+
+
+class _Reach(_ByLength):
+    """Texts by their length, for the weighted sum of all similarities: bounds from the characters and words in common first."""
+
+    BATCH, CACHED = 64, 20_000_000
+
+    def __init__(self, texts: list[str]):
+        super().__init__(texts)
+        self.n32, self.longest = self.n.astype(np.int32), int(self.n.max(initial=0))
+        self.first = np.array([ord(t[0]) if t else 0 for t in self.texts], np.uint32)
+        self.rare = np.union1d(self.odd, np.flatnonzero(self.repeated))  # their bounds are not those of their lengths
+        order = np.array(sorted(range(len(self.word)), key=list(self.word).__getitem__), np.int64)
+        self.sorted = sorted(self.word)
+        self.sorted_n, self.held_by = np.fromiter(map(len, self.sorted), np.int64, len(order)), np.diff(self.word_begin)[order]
+        begin = np.cumsum(self.held_by) - self.held_by
+        self.sorted_holders = self.holders[np.repeat(self.word_begin[order] - begin, self.held_by) + np.arange(int(self.held_by.sum()))]
+        self.sorted_begin = np.append(begin, len(self.sorted_holders))
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
+        self.prefixes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.cached = 0
+        self.most = _most_partial(self.longest)
+
+    def prepare(self, queries: list[str]) -> None:
+        super().prepare(queries)
+        self.q_first = [ord(q[0]) if q else 0 for q in queries]
+
+    def _prefix(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, the best prefix_of() the word and theirs), those above 0."""
+        if word not in self.prefixes:
+            m, ranges = len(word), []  # of words as they sort those that begin alike lie together
+            for p in range(min(2, m), m + 1):
+                lo = bisect_left(self.sorted, word[:p], *(ranges[-1] if ranges else (0, len(self.sorted))))
+                ranges.append((lo, bisect_left(self.sorted, True, lo, ranges[-1][1] if ranges else len(self.sorted), key=lambda t: t[:p] > word[:p])))  # noqa: B023
+            first, last = ranges[0]
+            n, same = self.sorted_n[first:last], np.zeros(last - first, np.int64)
+            for p, (lo, hi) in enumerate(ranges, min(2, m)):
+                same[lo - first : hi - first] = p
+            least, most = np.minimum(m, n), np.maximum(m, n)
+            score = np.where(same == least, np.minimum(1.0, 0.70 + 0.30 * least / most), np.where(same >= 2, np.minimum(0.55, 0.55 * same / most), 0.0))
+            score = np.where((same == m) & (n == m), 1.0, np.where(least < 3, 0.0, score))
+            best = np.zeros(len(self.n))
+            best_ = self.sorted_holders[self.sorted_begin[first] : self.sorted_begin[last]]
+            each = np.repeat(score, self.held_by[first:last])
+            order = np.argsort(each, kind="stable")
+            best[best_[order]] = each[order]  # the last one stays
+            at = np.flatnonzero(best)
+            if self.cached > self.CACHED:
+                self.prefixes, self.cached = {}, 0
+            self.prefixes[word], self.cached = (at, best[at]), self.cached + len(at)
+        return self.prefixes[word]
+
+    def token_prefix(self, q: str) -> np.ndarray:
+        """token_prefix_score() with every text."""
+        out, all_ = np.zeros(len(self.n)), 0.0
+        for w in q.split():
+            weight = float(max(1, min(8, len(w))))
+            at, s = self._prefix(w)
+            out[at] += weight * s
+            all_ += weight
+        return out / max(1.0, all_)
+
+    def _table(self, m: int, dm: int) -> np.ndarray:
+        """The highest sums by shared characters (rows) and length (columns) of texts that share no word, without prefixes."""
+        if (m, dm) not in self.tables:
+            n = np.arange(self.longest + 1)
+            self.tables[m, dm] = _highest_sum(np.arange(m + 1)[:, None], m, dm, n, n, 0.0, False).astype(np.float32).ravel()
+        return self.tables[m, dm]
+
+    def reaching(self, queries: list[str], least: list[float], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        pairs = self._pairs(queries)
+        self.prepare(queries)
+        pairs.shared = np.zeros((len(queries), len(self.n)), bool)
+        found, sums, limits, lows = [], [], ([], [], []), []
+        for k, q in enumerate(queries):
+            m, dm = len(q), int(pairs.q[2].size[k])
+            prefix = SHARES["token_prefix"] * self.token_prefix(q)
+            base, at = self._sets(pairs, k)
+            pairs.shared[k, at] = True
+            lows.append((_NONE, _NONE))
+            if q != " ".join(q.split()):
+                found.append(np.arange(len(self.n)) if q else _NONE)
+                sums.append(prefix[found[-1]])
+                for x in limits:
+                    x.append(np.full(len(found[-1]), ANY))
+                continue
+            if len(at) >= n:
+                long = np.maximum(m, self.n[at]) / np.minimum(m, self.n[at])
+                lows[-1] = at, round6(np.where(long < 1.5, 0.95 * base, 0.95 * np.where(long <= 8, 0.9, 0.6)))
+            common = np.minimum(_shared(self.bags.of, self.q[:, k]).astype(np.int32) + np.int32(min(self.over[k], 1000)), np.int32(m))
+            high = self._table(m, dm).take(common * np.int32(self.longest + 1) + self.n32)
+            rare = self.rare
+            high[rare] = _highest_sum(common[rare], m, dm, self.n[rare], self.different[rare], 0.0, False)
+            high[at] = _highest_sum(common[at], m, dm, self.n[at], self.different[at], base, True)
+            high[self.first == self.q_first[k]] += SHARES["jaro_winkler"] * 0.4 * 0.3  # a prefix adds .1 of what lacks, beyond .7, for each of four characters
+            high[self.odd] = ANY
+            some = np.flatnonzero(high + prefix >= least[k] - 1e-5)
+            high, *known = self._closer(some, common, base, at, k, m, dm)
+            ok = high + prefix[some] >= least[k] - 1e-5
+            some = some[ok]
+            for x, y in zip(limits, known):
+                x.append(y[ok])
+            found.append(some)
+            sums.append(prefix[some])
+        qi, (ti, sums, *limits_) = np.repeat(np.arange(len(queries)), list(map(len, found))), map(np.concatenate, (found, sums, *limits))
+        wanted, ok, wratio = np.asarray(least)[qi] - EPS - sums, np.zeros(len(qi), bool), np.zeros(len(qi))
+        for i in range(0, len(qi), PAIRS):
+            part = slice(i, i + PAIRS)
+            some, score = self._pass(pairs, qi[part], ti[part], wanted[part], *(x[part] for x in limits_))
+            ok[i + some], wratio[i + some] = True, round6(score)
+        out, end = [], np.cumsum(np.bincount(qi[ok], minlength=len(queries)))[:-1]
+        for t, score, (at, low) in zip(np.split(self.number[ti[ok]], end), np.split(wratio[ok], end), lows):
+            before = (low > score[:, None]) | ((low == score[:, None]) & (self.number[at] < t[:, None])) if len(at) else np.zeros((len(t), 0), bool)
+            out.append((t, before.sum(1) >= n))
+        return out
+
+    def _pass(self, pairs: Pairs, qi: np.ndarray, ti: np.ndarray, want: np.ndarray, partial: np.ndarray, sets: np.ndarray, jaro: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs reach what is wanted, and their wratio(): the cheap scores first, of the rest the bounds are known."""
+        plain = pairs._plain(qi, ti)
+        at = np.flatnonzero(~plain)
+        a, b, partial, sets, jaro = qi[at], ti[at], partial[at], sets[at], jaro[at]
+        m, n, shares = pairs.q[0].size[a], pairs.t[0].size[b], pairs.shared[a, b]
+        long = np.maximum(m, n) / np.maximum(1, np.minimum(m, n))
+        scale, near = np.where(long <= 8, 0.9, 0.6), long < 1.5
+        ratio, words = pairs._ratio(a, b), pairs._ratio(a, b, 1)
+        different, some = words.copy(), pairs._repeats(a, b)
+        different[some] = pairs._ratio(a[some], b[some], 2)
+        sets = np.where(shares, sets, different)  # shared words come first there, and the order decides
+        near_, far_ = np.maximum(ratio, 0.95 * np.maximum(words, sets)), np.maximum(ratio, scale * np.where(shares, 0.95, 0.95 * partial))
+
+        def reach(k: np.ndarray, jaro: np.ndarray, partial: np.ndarray) -> np.ndarray:
+            wratio = np.where(near[k], near_[k], np.maximum(far_[k], scale[k] * partial))
+            return SHARES["wratio"] * wratio + SHARES["partial"] * partial + SHARES["token_set"] * sets[k] + SHARES["jaro_winkler"] * jaro >= want[at[k]]
+
+        k = np.arange(len(at))
+        k = k[reach(k, jaro, partial)]
+        exact = pairs._jaro_winkler(a[k], b[k])
+        ok = reach(k, exact, partial[k])
+        k, exact = k[ok], exact[ok]
+        k = k[reach(k, exact, np.minimum(partial[k], pairs._partial(a[k], b[k])))]
+        rest = np.sort(np.concatenate([at[k], np.flatnonzero(plain)]))
+        scores = pairs.every(qi[rest], ti[rest])
+        ok = sum(w * scores[x] for x, w in SHARES.items() if x in scores) >= want[rest]
+        return rest[ok], scores["wratio"][ok]
+
+    def _closer(self, some: np.ndarray, common: np.ndarray, base: np.ndarray, at: np.ndarray, k: int, m: int, dm: int) -> tuple[np.ndarray, ...]:
+        """The highest sums of some texts by their pairs of neighbours too, and the highest partial, token_set and Jaro-Winkler."""
+        place = np.minimum(np.searchsorted(at, some), max(0, len(at) - 1))
+        shares = at[place] == some if len(at) else np.zeros(len(some), bool)
+        sets = np.where(shares, base[place], 0.0) if len(at) else np.zeros(len(some))
+        mine, q = int(np.bitwise_count(self.q_bits[:, k]).sum()), self.q_bits[:, k]
+        both = _shared(self.bits[:, some], q).astype(np.int32)
+        held, n = self.held[some].astype(np.int32), self.n[some]
+        # of the characters left out each ends at most two pairs of neighbours of its text and one of the other
+        ratio = 1 - np.maximum(0, held + mine - 2 * both) / 3 / np.maximum(1, m + n)
+        size = np.minimum(m, n)
+        lacks = np.where(m <= n, mine, held) - both - 2  # those at the ends may belong to no stretch
+        partial = self.most[size, np.clip(lacks, 0, self.most.shape[1] - 1)]
+        alike = (dm == m) & (self.repeated[some] == 0)
+        partial = np.where(alike & (m != n), partial, 1.0)
+        args = common[some], m, dm, n, self.different[some], sets
+        out, (_, partial, sets) = _highest_sum(*args, shares, ratio, partial), _limits(*args, ratio, partial)
+        out[self.first[some] == self.q_first[k]] += SHARES["jaro_winkler"] * 0.4 * 0.3
+        jaro = _highest_jaro(common[some], m, n)
+        jaro[self.first[some] == self.q_first[k]] += 0.4 * 0.3
+        for x in (out, partial, sets, jaro):
+            x[np.isin(some, self.odd)] = ANY
+        return out, partial, sets, jaro
+
+    def _sets(self, pairs: Pairs, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(what shared words alone give as token_set, texts that share a word with a query)."""
+        found = [(self.holders[self.word_begin[i] : self.word_begin[i + 1]], len(w) + 1) for w in pairs.qwords[k] if (i := self.word.get(w)) is not None]
+        if not found:
+            return np.zeros(0), _NONE
+        both, same = np.zeros(len(self.n), np.int32), np.zeros(len(self.n), np.int16)
+        for h, size in found:
+            both[h] += size
+            same[h] += 1
+        at = np.flatnonzero(same)
+        b, same = both[at] - 1, same[at]
+        return np.where((same == len(pairs.qwords[k])) | (same == self.words[at]), 1.0, 2 * b / (b + np.minimum(int(pairs.q[2].size[k]), self.different[at]))), at
+
+
+#: The parts of the hybrid score that edit similarities have, and words.
+SHARES = {"wratio": 0.20, "partial": 0.10, "token_set": 0.10, "jaro_winkler": 0.10, "token_prefix": 0.10}
+
+
+ANY = 9.0  # no bound
+
+
+def _limits(c, m: int, dm: int, n, dn, base, ratio=1.0, partial=1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The highest ratios of any order of the words, partial ratios and token_sets of a query and texts of ``c`` characters in common.
+
+    ``dm``, ``dn`` are the lengths of their different words, ``base`` is what shared words alone give as token_set; ``ratio`` and ``partial`` are
+    bounds that are known. A common subsequence has c characters at most, and so has the stretch that a partial ratio is highest with.
+    """
+    k = np.minimum(dm, dn)
+    words = np.minimum(ratio, 2 * np.minimum(c, k) / np.maximum(1, dm + dn))
+    return np.minimum(ratio, 2 * c / np.maximum(1, m + n)), np.minimum(partial, 2 * c / np.maximum(1, k + np.minimum(c, k))), np.minimum(1.0, np.maximum(base, words))
+
+
+def _highest_sum(c, m: int, dm: int, n, dn, base, shares, ratio=1.0, partial=1.0) -> np.ndarray:
+    """The highest SHARES of them, without prefixes; ``shares``: whether they have a word in common."""
+    ratio, partial, sets = _limits(c, m, dm, n, dn, base, ratio, partial)
+    long = np.maximum(m, n) / np.maximum(1, np.minimum(m, n))
+    near, far = np.maximum(ratio, 0.95 * sets), np.maximum(ratio, np.where(long <= 8, 0.9, 0.6) * np.maximum(partial, np.where(shares, 0.95, 0.0)))
+    return SHARES["wratio"] * np.where(long < 1.5, near, far) + SHARES["partial"] * partial + SHARES["token_set"] * sets + SHARES["jaro_winkler"] * _highest_jaro(c, m, n)
+
+
+def _highest_jaro(c, m: int, n) -> np.ndarray:
+    """The highest Jaro similarities by the characters in common."""
+    return np.where(c > 0, (np.minimum(1.0, c / max(1, m)) + np.minimum(1.0, c / np.maximum(1, n)) + 1) / 3, 0.0)
+
+
+def _most_partial(longest: int, lacks: int = 129) -> np.ndarray:
+    """By the length of the shorter text and the number of its pairs of neighbours that the other lacks, the highest partial ratio; see _lacking()."""
+    out = np.zeros((longest + 1, lacks))
+    for a in range(1, longest + 1):
+        d = np.arange(a + 1)[:, None]
+        i = np.arange(a + 1)[None, :]
+        ok = i <= d
+        most = np.zeros(3 * a + 1)
+        np.maximum.at(most, (2 * d + i)[ok], (2 * (a - d) / np.maximum(1, 2 * a - d + i))[ok])
+        most = np.maximum.accumulate(most[::-1])[::-1]
+        out[a, : min(lacks, len(most))] = most[:lacks]
+    return out

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_engine import pool_of, queries_of, words
 
@@ -211,3 +212,62 @@ def test_name_scores_of_pairs_are_the_plain_ones(spark):
     pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "query_text string, normalized_alias string")
     for x in M.with_name_scores(pairs).withColumn("want", S.token_prefix_score(F.col("query_text"), F.col("normalized_alias"))).collect():
         assert x["token_prefix"] == x["want"] and abs(x["jaro_winkler"] - S.jaro_winkler_of(x["query_text"], x["normalized_alias"])) < 1e-12
+
+
+def test_texts_that_reach_a_sum_of_edit_scores_are_those_of_the_plain_scores():
+    """Shared, repeated and short words, words out of order, texts of one word, beyond 62 characters, of odd spaces and empty ones."""
+    r = random.Random(17)
+    texts = sorted({words(r, r.randint(1, 5), "abcd") for _ in range(150)} | {"ab ab ab", "ab", "a", "", " ab  cd", "cd ab", words(r, 16, "abcd"), "ab cd " * 12} | {f"ab {words(r, 3, 'abcd')}" for _ in range(40)})
+    queries = ["ab", "ab cd", "ab ab cd", words(r, 3, "abcd"), words(r, 2, "abcd"), "ab " + words(r, 2, "abcd"), words(r, 14, "abcd"), "cd  ab", "", "abcdab xyzq"]
+    plain = {"wratio": S.wratio_of, "partial": S.partial_ratio_of, "token_set": S.token_set_ratio_of, "jaro_winkler": S.jaro_winkler_of}
+    for least in (0.2, 0.35, 0.45):
+        for q, (at, beaten) in zip(queries, ED.Block(texts).reaching(queries, [least] * len(queries), 20)):
+            scores = [{k: f(q, t) if q and t else 0.0 for k, f in plain.items()} for t in texts]
+            prefix = S.token_prefixes([q], texts, np.zeros(len(texts), np.int64), np.arange(len(texts)))
+            sums = [sum(ED.SHARES[k] * s[k] for k in plain) + ED.SHARES["token_prefix"] * p for s, p in zip(scores, prefix)]
+            assert {i for i, s in enumerate(sums) if s >= least} <= set(at.tolist()) <= {i for i, s in enumerate(sums) if s >= least - 1e-5}
+            best = {i for i, _ in ED.best(ED.round6(np.array([s["wratio"] for s in scores])), 20)}
+            assert not best & set(at[beaten].tolist())
+
+
+def test_matches_with_edit_channels_are_those_of_all_channels(spark, monkeypatch):
+    """Ranks over the pairs of every channel, in one block and in blocks of thirty texts, names that companies share; most pairs of the edit channels get no score."""
+    r = random.Random(23)
+    names = [words(r, r.randint(1, 4), "abgtel") for _ in range(260)]
+    names += [f"alpha {words(r, 2, 'abgtel')}" for _ in range(60)] + names[:40] + names[:20] + ["alpha beta"] * 70
+    pool = pool_of(spark, [((i * 7919) % 1009, i, n) for i, n in enumerate(names)]).persist()
+    asked = [(i, words(r, r.randint(1, 3), "abgtel")) for i in range(25)] + [(25, "alpha bta"), (26, "alpha beta"), (27, names[3]), (28, "zzzz"), (29, "lpha " + names[4])]
+    q = queries_of(spark, asked).persist()
+    spaces = [M.TfIdf(pool, True), M.TfIdf(pool, False)]
+    pairs = M.candidate_pairs(q, pool, spaces, 5).join(q, "query_id").join(pool, "alias_id").select("query_id", "alias_id", "company_id", "query_text", "normalized_alias").persist()
+    cosines = {(x[0], x[1]): 0.55 * x[2] + 0.45 * x[3] for x in M.pair_scores(pairs.select("query_text", "normalized_alias"), spaces, [s.query_weights(q) for s in spaces], ("w", "r")).collect()}
+    owners, sums = {}, {}
+    for x in pool.collect():
+        owners.setdefault(x["normalized_alias"], set()).add(x["company_id"])
+    plain = {"wratio": S.wratio_of, "partial_ratio": S.partial_ratio_of, "token_set_ratio": S.token_set_ratio_of, "jaro_winkler": S.jaro_winkler_of}
+    by = {}
+    for x in pairs.collect():
+        a, b = key = x["query_text"], x["normalized_alias"]
+        if key not in sums:
+            prefix = S.token_prefixes([a], [b], np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
+            w = S.WITHOUT_EMBEDDING
+            sums[key] = w["char_tfidf"] * round(cosines[key], 6) + sum(w[k] * round(f(a, b), 6) for k, f in plain.items()) + w["token_prefix"] * round(prefix, 6)
+        unique = a == b and len(owners[b]) == 1 and len(b) > 2
+        s = 1.0 if unique else sums[key]
+        best = by.setdefault(x["query_id"], {})
+        best[x["company_id"]] = min(best.get(x["company_id"], (0, 9.0)), (-unique, -round(s, 5)))
+    kept, keep = [], M.keep
+    monkeypatch.setattr(M, "keep", lambda df, name: (d := keep(df, name), kept.append((name, d)))[0])
+    for size in (160_000, 30):
+        monkeypatch.setattr(M, "BLOCK_ALIASES", size)
+        kept.clear()
+        got = {}
+        for x in M.match(q, pool, limit=5).collect():
+            got.setdefault(x["query_id"], []).append((x["rank"], x["company_id"], x["hybrid_score"]))
+        assert set(got) == set(by)
+        for i, rows in got.items():
+            want = sorted((s, c) for c, s in by[i].items())[:5]
+            assert [s for _, _, s in sorted(rows)] == pytest.approx([-s[1] for s, _ in want], abs=2e-5)
+            last = want[-1][0][1]
+            assert {c for _, c, s in rows if s > 2e-5 - last} == {c for s, c in want if -s[1] > 2e-5 - last}
+        assert sum(d.count() for n, d in kept if n == "scores") < pairs.select("query_text", "normalized_alias").distinct().count() * 0.8
