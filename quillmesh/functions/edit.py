@@ -661,7 +661,7 @@ class _ByLength(_Side):
 class _Reach(_ByLength):
     """Texts by their length, for the weighted sum of all similarities: bounds from the characters and words in common first."""
 
-    BATCH, CACHED = 64, 20_000_000
+    BATCH, CACHED, MANY = 64, 4_000_000, 4_096  # queries at once, texts that prefixes are kept of, texts of a query that don't wait for others
 
     def __init__(self, texts: list[str]):
         super().__init__(texts)
@@ -702,7 +702,7 @@ class _Reach(_ByLength):
             each = np.repeat(score, self.held_by[first:last])
             order = np.argsort(each, kind="stable")
             best[best_[order]] = each[order]  # the last one stays
-            at = np.flatnonzero(best)
+            at = np.flatnonzero(best).astype(np.int32)
             if self.cached > self.CACHED:
                 self.prefixes, self.cached = {}, 0
             self.prefixes[word], self.cached = (at, best[at]), self.cached + len(at)
@@ -755,9 +755,16 @@ class _Reach(_ByLength):
             some = np.flatnonzero(high + prefix >= least[k] - 1e-5)
             high, *known = self._closer(some, common, base, at, k, m, dm)
             ok = high + prefix[some] >= least[k] - 1e-5
-            some = some[ok]
+            some, known = some[ok], [y[ok] for y in known]
+            if len(some) > self.MANY:
+                passed = [np.zeros(0, np.int64)]
+                for i in range(0, len(some), PAIRS):
+                    part = slice(i, i + PAIRS)
+                    passed.append(i + self._pass(pairs, np.full(len(some[part]), k), some[part], least[k] - EPS - prefix[some[part]], *(x[part] for x in known))[0])
+                passed = np.concatenate(passed)
+                some, known = some[passed], [y[passed] for y in known]
             for x, y in zip(limits, known):
-                x.append(y[ok])
+                x.append(y)
             found.append(some)
             sums.append(prefix[some])
         qi, (ti, sums, *limits_) = np.repeat(np.arange(len(queries)), list(map(len, found))), map(np.concatenate, (found, sums, *limits))
